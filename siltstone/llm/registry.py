@@ -1,12 +1,14 @@
 """The queries of this subpackage and their SQL, for the entry module."""
 
-from siltstone.llm import repetition, sharding
+from siltstone.llm import neardup, repetition, sharding
 
 QUERIES = {
     "op1_repetition": repetition.op1_repetition,
     "op2_sharding": sharding.op2_sharding,
+    "op7_neardup": neardup.op7_neardup,
 }
 ORACLES = {
     "op1_repetition": repetition.ORACLE,
     "op2_sharding": sharding.ORACLE,
+    "op7_neardup": neardup.ORACLE,
 }
