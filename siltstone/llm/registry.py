@@ -1,11 +1,15 @@
 """The queries of this subpackage and their SQL, for the entry module."""
 
-from siltstone.llm import neardup, repetition, sharding
+from siltstone.llm import mixing, neardup, packing, pii, repetition, sharding, tokenfiles
 
 QUERIES = {
     "op1_repetition": repetition.op1_repetition,
     "op2_sharding": sharding.op2_sharding,
+    "op3_tokenfiles": tokenfiles.op3_tokenfiles,
     "op7_neardup": neardup.op7_neardup,
+    "op8_mixing": mixing.op8_mixing,
+    "op9_pii": pii.op9_pii,
+    "op10_packing": packing.op10_packing,
 }
 ORACLES = {
     "op1_repetition": repetition.ORACLE,
