@@ -22,6 +22,9 @@ SHINGLE, PERCENT = 5, 85
 #: Two sets at the threshold share no band with a probability of (1 - 0.85 ** 8) ** 44, below 1e-6.
 ROWS, BANDS = 8, 44
 COORDINATES = ROWS * BANDS
+#: Of what rounds of leaders leave, buckets of up to so many classes are joined with themselves; larger ones
+#: are compared in blocks of about BLOCK classes.
+SMALL, BLOCK = 16, 128
 
 
 def shingle_sets(texts: list[bytes | None], k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -80,18 +83,40 @@ def band_keys(sketch: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return key
 
 
+def bit_planes(sketch: np.ndarray) -> np.ndarray:
+    """Two bits of each coordinate, packed: a plane of first bits and a plane of second bits, as 64-bit words."""
+    x = mix(sketch)
+    width = -(-sketch.shape[1] // 64) * 64
+    planes = np.zeros((len(sketch), 2, width), np.uint8)
+    planes[:, 0, : sketch.shape[1]], planes[:, 1, : sketch.shape[1]] = x & U(1), x >> U(1) & U(1)
+    return np.packbits(planes, axis=2).view(np.int64).reshape(len(sketch), -1)
+
+
+def alike(percent: int, a: str = "bits", b: str = "bits_b", t: int = COORDINATES) -> F.Column:
+    """Whether two sketches' bit planes differ in no more coordinates than sets at the threshold do.
+
+    Coordinates of such sets differ with probability 1 - percent / 100, three in four of which show in
+    two bits. The bound lies six standard deviations above the mean.
+    """
+    q = (1 - percent / 100) * 0.75
+    words = -(-t // 64)
+    differ = sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i]).bitwiseOR(F.col(a)[i + words].bitwiseXOR(F.col(b)[i + words]))) for i in range(words)), F.lit(0))
+    return differ <= int(t * q + 6 * (t * q * (1 - q)) ** 0.5)
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for chunk in chunks(batches, limit=1 << 19):
         h, starts = shingle_sets(chunk.column("text").to_pylist())
-        keys = band_keys(sketches(h, starts)).view(np.int64)
+        sketch = sketches(h, starts)
+        keys, bits = band_keys(sketch).view(np.int64), bit_planes(sketch)
         n = np.diff(starts)
         # of equal sets, equal; two numbers, of which one alone would meet by chance among very many sets
         sums = np.zeros((2, len(h) + 1), np.uint64)
         np.cumsum(mix(h), out=sums[0, 1:])
         np.cumsum(mix(h ^ U(0x589965CC75374CC3)), out=sums[1, 1:])
         sig = (sums[:, starts[1:]] - sums[:, starts[:-1]]).view(np.int64)
-        bands = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32), pa.array(keys.ravel()))
-        yield pa.RecordBatch.from_arrays([chunk.column("rid"), chunk.column("id"), pa.array(n, pa.int64()), pa.array(sig[0]), pa.array(sig[1]), bands], ["rid", "id", "n", "sig", "sig2", "bands"])
+        lists = [pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), pa.array(x.ravel())) for x in (keys, bits)]
+        yield pa.RecordBatch.from_arrays([chunk.column("rid"), chunk.column("id"), pa.array(n, pa.int64()), pa.array(sig[0]), pa.array(sig[1]), *lists], ["rid", "id", "n", "sig", "sig2", "bands", "bits"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,13 +142,61 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return full.select("a", "b", "x", "y").mapInArrow(run, pairs.select("a", "b").schema)
 
 
+def shared(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many elements each set of ``a`` has in common with each of ``b``."""
+    owner = np.repeat(np.arange(len(b)), [len(x) for x in b])
+    every = np.concatenate(b)
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], owner[order]
+    out = np.zeros((len(a), len(b)), np.int64)
+    for i, x in enumerate(a):
+        low, high = np.searchsorted(every, x, "left"), np.searchsorted(every, x, "right")
+        n = high - low
+        at = np.repeat(high - np.cumsum(n), n) + np.arange(n.sum())
+        out[i] = np.bincount(owner[at], minlength=len(b))
+    return out
+
+
+def compared(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between classes of different components in large buckets, found block against block.
+
+    A bucket of c classes is cut into c / ``BLOCK`` blocks by a hash; a task has two blocks of a bucket at
+    a time and gives out links alone. A pair that meets in several buckets is compared in the least one.
+    """
+    count = F.ceil(F.col("c") / BLOCK).cast("int")
+    keys = members.groupBy("node").agg(F.collect_list("key").alias("keys"))
+    rows = members.where(F.col("c") > SMALL).select("key", "node", "component", F.pmod(F.xxhash64("node"), count).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), count - 1)).alias("other"))
+    rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other").join(keys, "node").join(sets, "node")
+
+    def links(table: pa.Table) -> pa.Table:
+        key, i, j = (table.column(c)[0].as_py() for c in ("key", "i", "j"))
+        own, node, component = (table.column(c).to_numpy() for c in ("own", "node", "component"))
+        found = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("set")]
+        less = [k[k < key] for k in map(np.array, table.column("keys").to_pylist())]
+        a, b = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        if not len(a) or not len(b):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        both = shared([found[x] for x in a], [found[x] for x in b])
+        n = np.array([len(x) for x in found])
+        near = 100 * both >= percent * (n[a][:, None] + n[b] - both)
+        near &= component[a][:, None] != component[b]
+        if i == j:
+            near &= node[a][:, None] < node[b]
+        near &= shared([less[x] for x in a], [less[x] for x in b]) == 0
+        x, y = np.nonzero(near)
+        return pa.table({"a": node[a][x], "b": node[b][y]})
+
+    return rows.groupBy("key", "i", "j").applyInArrow(links, "a long, b long")
+
+
 def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row per row of ``df``: rid, id, n_shingles, component_id, kept, first.
 
-    Rows with equal sets are one class, and bands are joined between classes only. In a bucket every
-    class is compared with the bucket's least; then, in buckets that still hold several components, the
-    classes of different components are compared with each other, so that no link is lost while a
-    bucket of near copies costs as many comparisons as it has members. Comparisons are exact.
+    Rows with equal sets are one class, and bands are joined between classes only. In rounds, a bucket's
+    classes are compared with a leader, the class that meets most others in all buckets, and the leader
+    leaves the bucket; buckets whose classes are in one component are done. When a round no longer halves
+    the pairs of different components, those that are left are compared with each other. So no link is lost, while a bucket of near copies costs about as many comparisons as it has members. Comparisons
+    are of full sets.
 
     ``rid`` numbers the rows of ``df`` as ``monotonically_increasing_id`` does. ``component_id`` is the
     least non-null id reachable (null: none), ``kept`` is id = component_id (null id: false), ``first``
@@ -133,30 +206,43 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", perce
     """
     docs = df.select(F.monotonically_increasing_id().alias("rid"), F.col(id).alias("id"), F.col(text).cast("binary").alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
-    rows = stage(docs.mapInArrow(_sketch, f"rid long, id {kind}, n long, sig long, sig2 long, bands array<long>"), "sketches")
-    plain = rows.drop("bands")
+    rows = stage(docs.mapInArrow(_sketch, f"rid long, id {kind}, n long, sig long, sig2 long, bands array<long>, bits array<long>"), "sketches")
+    plain = rows.drop("bands", "bits")
     classes = plain.where("n > 0").groupBy("n", "sig", "sig2").agg(F.min("rid").alias("node"), F.min("id").alias("low"))
     classes = stage(classes, "classes")
-    members = rows.join(classes.select(F.col("node").alias("rid")), "rid", "left_semi").select(F.col("rid").alias("node"), "n", F.explode("bands").alias("key"))
-    multi = members.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("c")).where("c > 1").drop("c")
+    members = rows.join(classes.select(F.col("node").alias("rid")), "rid", "left_semi").select(F.col("rid").alias("node"), "n", "bits", F.explode("bands").alias("key"))
+    multi = members.select("key").groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     members = stage(members.join(multi, "key"), "buckets")
-    near = f"100 * least(n, m) >= {int(percent)} * greatest(n, m)"
-
-    def sized(pairs: DataFrame) -> DataFrame:
-        return pairs.join(classes.select(F.col("node").alias("b"), F.col("n").alias("m")), "b").where(near).select("a", "b")
-
-    star = stage(sized(members.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b"), "n").distinct()), "pairs")
-    wanted = members.select("node").distinct()
-    sets = stage(docs.select("rid", "text").join(wanted.withColumnRenamed("node", "rid"), "rid", "left_semi").mapInArrow(_sets, "node long, set binary"), "sets")
-    links = stage(verified(star, sets, percent), "verified")
-    found = stage(components(links), "components")
-    named = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    rest = stage(named.where("node <> leader").join(split, "key", "left_semi"), "rest")
-    other = rest.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("component").alias("d"))
-    pairs = rest.join(other, "key").where(f"node < b AND component <> d AND {near}").select(F.col("node").alias("a"), "b").distinct()
-    links = links.union(stage(verified(stage(pairs, "pairs"), sets, percent), "verified"))
-    found = stage(components(links), "components")
+    weights = members.groupBy("node").agg(F.sum("c").alias("weight"))
+    members = stage(members.drop("c").join(weights, "node"), "members")
+    wanted = members.select(F.col("node").alias("rid")).distinct()
+    sets = stage(docs.select("rid", "text").join(wanted, "rid", "left_semi").mapInArrow(_sets, "node long, set binary"), "sets")
+    near = F.expr(f"component <> d AND 100 * least(n, m) >= {int(percent)} * greatest(n, m)") & alike(percent)
+    links, found, before = None, None, None
+    while True:
+        rest = members if found is None else members.join(found, "node", "left")
+        rest = rest.withColumn("component", F.col("node") if found is None else F.coalesce("component", "node"))
+        sizes = rest.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("s")).where("c * c > s")
+        members = stage(rest.join(sizes.select("key", "c"), "key"), "rest")
+        left = sizes.agg(F.coalesce(F.sum(F.col("c") * F.col("c") - F.col("s")), F.lit(0))).first()[0]
+        every = before is not None and 2 * left > before
+        before = left
+        if every:
+            small = members.where(F.col("c") <= SMALL)
+            other = small.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("component").alias("d"), F.col("bits").alias("bits_b"))
+            pairs = small.join(other, "key").where(near & F.expr("node < b"))
+        else:
+            leaders = members.groupBy("key").agg(F.max(F.struct("weight", "node", "n", "component", "bits")).alias("l")).select("key", F.col("l.node").alias("b"), F.col("l.n").alias("m"), F.col("l.component").alias("d"), F.col("l.bits").alias("bits_b"))
+            led = stage(members.join(leaders, "key"), "led")
+            pairs = led.where(near)
+        fresh = stage(verified(pairs.select(F.col("node").alias("a"), "b").distinct(), sets, percent), "verified")
+        links = fresh if links is None else links.union(fresh)
+        if every:
+            links = links.union(stage(compared(members, sets, percent), "compared"))
+        found = stage(components(links), "components")
+        if every:
+            break
+        members = led.where("node <> b").select("node", "n", "bits", "key", "weight")
     labels = classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = labels.groupBy("component").agg(F.min("low").alias("component_id"), F.min(F.struct(F.col("low").isNull().alias("z"), "low", "node"))["node"].alias("head"))
     labels = labels.join(least, "component").select("n", "sig", "sig2", "node", "low", "component_id", "head")
