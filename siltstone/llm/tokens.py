@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import struct
 import zlib
 from collections.abc import Iterator, Sequence
 
@@ -18,7 +19,7 @@ from siltstone.llm.common import chunks
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 END = 1
 #: Words that a worker remembers; beyond that it begins anew.
-REMEMBERED = 400_000
+REMEMBERED = 500_000
 #: Marks that never join a letter beside them, in this tokenizer's words (an apostrophe can).
 MARKS = ".,!?;:#$%&*|()[]{}<>\"-_/+=~^@\\"
 
@@ -27,44 +28,61 @@ class Encoder(dict):
     """word -> its ids as little-endian unsigned 32-bit integers.
 
     The tokenizer drops white space and never merges across it, so a text's ids are those of its words
-    in turn. A plain word's ids don't depend on its case, nor on marks at its ends, which it encodes apart.
+    in turn. A word of plain letters, with or without marks at its end, is split and put in lower case
+    here as the tokenizer would, and its model is asked for the parts; any other word goes to the
+    tokenizer whole.
     """
 
     def __init__(self, path: str):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.merge = self.tokenizer.model.tokenize
         self.plain: dict[str, bytes] = {}
 
-    def encode(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def base(self, word: str) -> bytes:
-        found = self.plain.get(word)
+    def part(self, part: str) -> bytes:
+        found = self.plain.get(part)
         if found is None:
             if len(self.plain) >= 2 * REMEMBERED:
                 self.plain.clear()
-            found = self.plain[word] = self.encode(word)
+            shown = part if part.isascii() else part.encode().decode("latin-1").translate(SHOWN)
+            found = self.plain[part] = pack(*[t.id for t in self.merge(shown)])
         return found
 
     def __missing__(self, word: str) -> bytes:
-        if len(word) > 64:
-            return self.encode(word)
         body = word.rstrip(MARKS)
-        if body.isalpha() and max(body) < "İ":
-            found = self.base(body.lower()) + (self.base(word[len(body) :]) if len(body) < len(word) else b"")
+        if len(word) <= 64 and body.isalpha() and (body.isascii() or max(body) < "\u0130"):
+            found = self.part(body.lower())
+            if len(body) < len(word):
+                found += self.part(word[len(body) :])
         else:
-            found = self.encode(word)
+            found = pack(*self.tokenizer.encode(word, add_special_tokens=False).ids)
+            if len(word) > 64:
+                return found
         if len(self) >= REMEMBERED:
             self.clear()
         self[word] = found
         return found
 
     def text(self, text: bytes | None) -> bytes:
-        words = (text or b"").decode("utf-8", "replace").translate(OTHER_SPACE).split(" ")
-        return b"".join([self[w] for w in words if w])
+        words = (text or b"").decode("utf-8", "replace")
+        for c in "\t\n\v\f\r":
+            if c in words:
+                words = words.replace(c, " ")
+        return b"".join([self[w] for w in words.split(" ") if w])
+
+
+def pack(*ids: int) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+def shown_bytes() -> dict[int, str]:
+    """How a byte-level vocabulary shows bytes: printable ones as themselves, the others from U+0100 on."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(0x100, 0x200))
+    return {b: chr(b if b in printable else next(others)) for b in range(256)}
 
 
-OTHER_SPACE = {c: " " for c in range(0x09, 0x0E)}
+SHOWN = shown_bytes()
 
 
 @functools.cache
