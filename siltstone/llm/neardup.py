@@ -225,7 +225,7 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", perce
         sizes = rest.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("s")).where("c * c > s")
         members = stage(rest.join(sizes.select("key", "c"), "key"), "rest")
         left = sizes.agg(F.coalesce(F.sum(F.col("c") * F.col("c") - F.col("s")), F.lit(0))).first()[0]
-        every = before is not None and 2 * left > before
+        every = left == 0 or (before is not None and 2 * left > before)
         before = left
         if every:
             small = members.where(F.col("c") <= SMALL)
