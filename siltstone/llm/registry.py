@@ -1,11 +1,12 @@
 """The queries of this subpackage and their SQL, for the entry module."""
 
-from siltstone.llm import mixing, neardup, packing, pii, repetition, sharding, substrings, tokenfiles
+from siltstone.llm import caps, mixing, neardup, packing, pii, repetition, sharding, substrings, tokenfiles
 
 QUERIES = {
     "op1_repetition": repetition.op1_repetition,
     "op2_sharding": sharding.op2_sharding,
     "op3_tokenfiles": tokenfiles.op3_tokenfiles,
+    "op4_caps": caps.op4_caps,
     "op5_substrings": substrings.op5_substrings,
     "op7_neardup": neardup.op7_neardup,
     "op8_mixing": mixing.op8_mixing,
@@ -15,6 +16,7 @@ QUERIES = {
 ORACLES = {
     "op1_repetition": repetition.ORACLE,
     "op2_sharding": sharding.ORACLE,
+    "op4_caps": caps.ORACLE,
     "op5_substrings": substrings.ORACLE,
     "op7_neardup": neardup.ORACLE,
 }
