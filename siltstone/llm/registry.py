@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL, for the entry module."""
 
-from siltstone.llm import caps, mixing, neardup, packing, pii, repetition, sharding, substrings, tokenfiles
+from siltstone.llm import caps, language_model, mixing, neardup, packing, pii, repetition, sharding, substrings, tokenfiles
 
 QUERIES = {
     "op1_repetition": repetition.op1_repetition,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_tokenfiles": tokenfiles.op3_tokenfiles,
     "op4_caps": caps.op4_caps,
     "op5_substrings": substrings.op5_substrings,
+    "op6_language_model": language_model.op6_language_model,
     "op7_neardup": neardup.op7_neardup,
     "op8_mixing": mixing.op8_mixing,
     "op9_pii": pii.op9_pii,
