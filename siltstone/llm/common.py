@@ -148,7 +148,7 @@ def uniform_key(*columns) -> F.Column:
 KEY_BITS = 60
 
 
-def running(df: DataFrame, group: list[str], order: list[str], value: str | None, out: str, total: str | None = None) -> DataFrame:
+def running(df: DataFrame, group: list[str], order: list[str], value: str | None, out: str) -> DataFrame:
     """Per ``group``, the sum of ``value`` (None: the number) over the rows before each row in ``order``.
 
     ``order[0]`` is a ``uniform_key``. Its leading bits cut each group into slices that one task can
@@ -159,20 +159,18 @@ def running(df: DataFrame, group: list[str], order: list[str], value: str | None
 
     slices = 1 << (4 * tasks(df.sparkSession) - 1).bit_length()
     df = df.withColumn("_slice", F.shiftright(F.col(order[0]), KEY_BITS - slices.bit_length() + 1).cast("int"))
+    # without nulls, so that the sums are joined on the columns that the rows are dealt by already
+    keys = ["_slice"]
+    for i, c in enumerate(group):
+        df = df.withColumn(f"_g{i}", F.coalesce(F.col(c).cast("string"), F.lit(""))).withColumn(f"_n{i}", F.col(c).isNull())
+        keys += [f"_g{i}", f"_n{i}"]
     one = F.lit(1).cast("long") if value is None else F.col(value).cast("long")
-    sums = df.groupBy(*group, "_slice").agg(F.sum(one).alias("_sum"))
-    over = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(over), F.lit(0).cast("long")))
-    if total:
-        sums = sums.withColumn(total, F.sum("_sum").over(Window.partitionBy(*group)))
-    inner = Window.partitionBy(*group, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    sums = df.groupBy(*keys).agg(F.sum(one).alias("_sum"))
+    over = Window.partitionBy(*keys[1:]).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*keys, F.coalesce(F.sum("_sum").over(over), F.lit(0).cast("long")).alias("_before"))
+    inner = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     df = df.withColumn("_own", F.coalesce(F.sum(one).over(inner), F.lit(0).cast("long")))
-    renamed = sums.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)], F.col("_slice").alias("_s"), "_before", *([total] if total else []))
-    same = F.col("_slice") == F.col("_s")
-    for i, c in enumerate(group):
-        same = same & F.col(c).eqNullSafe(F.col(f"_g{i}"))
-    joined_ = df.join(renamed, same)
-    return joined_.withColumn(out, F.col("_own") + F.col("_before")).drop("_slice", "_own", "_before", "_sum", "_s", *[f"_g{i}" for i in range(len(group))])
+    return df.join(sums, keys).withColumn(out, F.col("_own") + F.col("_before")).drop("_own", "_before", *keys)
 
 
 def components(edges: DataFrame) -> DataFrame:
