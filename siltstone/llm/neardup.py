@@ -24,7 +24,7 @@ ROWS, BANDS = 8, 44
 COORDINATES = ROWS * BANDS
 #: Of what rounds of leaders leave, buckets of up to so many classes are joined with themselves; larger ones
 #: are compared in blocks of about BLOCK classes.
-SMALL, BLOCK = 16, 128
+SMALL, BLOCK = 16, 384
 
 
 def shingle_sets(texts: list[bytes | None], k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -165,8 +165,9 @@ def compared(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """
     count = F.ceil(F.col("c") / BLOCK).cast("int")
     keys = members.groupBy("node").agg(F.collect_list("key").alias("keys"))
-    rows = members.where(F.col("c") > SMALL).select("key", "node", "component", F.pmod(F.xxhash64("node"), count).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), count - 1)).alias("other"))
-    rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other").join(keys, "node").join(sets, "node")
+    rows = members.where(F.col("c") > SMALL).select("key", "node", "component", "c").join(keys.join(sets, "node"), "node")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), count).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
+    rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "c")
 
     def links(table: pa.Table) -> pa.Table:
         key, i, j = (table.column(c)[0].as_py() for c in ("key", "i", "j"))
@@ -210,11 +211,12 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", perce
     plain = rows.drop("bands", "bits")
     classes = plain.where("n > 0").groupBy("n", "sig", "sig2").agg(F.min("rid").alias("node"), F.min("id").alias("low"))
     classes = stage(classes, "classes")
-    members = rows.join(classes.select(F.col("node").alias("rid")), "rid", "left_semi").select(F.col("rid").alias("node"), "n", "bits", F.explode("bands").alias("key"))
-    multi = members.select("key").groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    heads = rows.join(classes.select(F.col("node").alias("rid")), "rid", "left_semi").withColumnRenamed("rid", "node")
+    members = heads.select("node", F.explode("bands").alias("key"))
+    multi = members.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     members = stage(members.join(multi, "key"), "buckets")
     weights = members.groupBy("node").agg(F.sum("c").alias("weight"))
-    members = stage(members.drop("c").join(weights, "node"), "members")
+    members = stage(members.select("node", "key").join(heads.select("node", "n", "bits").join(weights, "node"), "node"), "members")
     wanted = members.select(F.col("node").alias("rid")).distinct()
     sets = stage(docs.select("rid", "text").join(wanted, "rid", "left_semi").mapInArrow(_sets, "node long, set binary"), "sets")
     near = F.expr(f"component <> d AND 100 * least(n, m) >= {int(percent)} * greatest(n, m)") & alike(percent)
