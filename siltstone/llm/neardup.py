@@ -265,8 +265,8 @@ def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without those that are near copies of another: one of each component stays."""
     kept = stage(near_duplicates(docs).where("first").select(F.col("rid").alias("_rid")), "kept")
-    numbered = docs.withColumn("_rid", F.monotonically_increasing_id())
-    return numbered.join(kept, "_rid", "left_semi").select(*docs.columns)
+    numbered = docs.select(F.struct(*docs.columns).alias("_doc"), F.monotonically_increasing_id().alias("_rid"))
+    return numbered.join(kept, "_rid", "left_semi").select("_doc.*")
 
 
 ORACLE = f"""

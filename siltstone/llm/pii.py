@@ -260,6 +260,9 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def redact_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their personal data replaced; n_chars, where there is one, is that of the new text."""
-    found = personal_data(docs, carry=docs.columns)
-    new = {"text": F.col("redacted"), "n_chars": F.when(F.col("redacted").isNull(), F.col("n_chars")).otherwise(F.length("redacted").cast("long"))}
-    return found.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+    given = docs.select(F.struct(*docs.columns).alias("_doc"), "text")
+    found = personal_data(given, carry=["_doc"])
+    new = {"text": F.col("redacted")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("redacted").isNull(), F.col("_doc.n_chars")).otherwise(F.length("redacted").cast(docs.schema["n_chars"].dataType))
+    return found.select(*[new[c].alias(c) if c in new else F.col(f"_doc.{c}").alias(c) for c in docs.columns])

@@ -102,7 +102,8 @@ def op1_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def filter_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the rules keep, with the columns they came with."""
-    return repetition(docs, carry=docs.columns).where("kept").select(*docs.columns)
+    given = docs.select(F.struct(*docs.columns).alias("_doc"), "text")
+    return repetition(given, carry=["_doc"]).where("kept").select("_doc.*")
 
 
 def _ngram_sql(n: int) -> str:
