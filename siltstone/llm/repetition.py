@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from siltstone.llm.common import SPACE, U, Rolling, Words, chunks, mix
 
 #: Word n-gram lengths, and the percentage of word characters above which duplicates of that length reject.
-NGRAM_LIMITS = {5: 35, 8: 30, 12: 25}
+NGRAM_LIMITS = {5: 40, 8: 32, 12: 30}
 #: The same for lines that repeat an earlier one.
 LINE_LIMIT = 30
 #: The base rule.

@@ -8,7 +8,7 @@ import corpus_pipeline
 import numpy as np
 from tokenizers import Tokenizer
 
-from siltstone.llm import pii, tokens
+from siltstone.llm import pii, repetition, tokens
 from siltstone.llm.common import stage
 
 SF = "/root/testdata/sf0.001"
@@ -31,7 +31,7 @@ def good(text):
             lines += sum(map(len, WORDS.findall(line)))
         elif WORDS.search(line):
             seen.add(line)
-    return 100 * lines <= 30 * chars and all(100 * sum(len(w[k]) for k in repeated(w, n)) <= most * chars for n, most in ((5, 35), (8, 30), (12, 25)))
+    return 100 * lines <= 30 * chars and all(100 * sum(len(w[k]) for k in repeated(w, n)) <= most * chars for n, most in repetition.NGRAM_LIMITS.items())
 
 
 def shingles(text):
