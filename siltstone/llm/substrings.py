@@ -34,7 +34,7 @@ from siltstone.llm.common import BYTE_KEYS, Rolling, U, chunks, joined, mix, scr
 
 LENGTH, ANCHOR = 50, 20
 LEFT = LENGTH - ANCHOR
-MOST = 1 << 17
+MOST = 1 << 21
 #: Anchors, and contexts of anchors, that a task has at once.
 ANCHORS_PER_BUCKET, CONTEXTS_PER_BUCKET = 1 << 20, 1 << 17
 FLUSH = 1 << 19
@@ -51,24 +51,24 @@ def sliding(op: np.ufunc, x: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def anchors(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, text and place of each anchor; and, for all texts joined, where each begins.
+def anchors(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, Rolling]:
+    """Hash, text and place of each anchor; and, for all texts joined, where each begins, and slices' hashes.
 
     The place counts from the start of the joined texts.
     """
     data, starts = joined(texts)
-    none = np.array([], np.int64)
+    rolling, none = Rolling(BYTE_KEYS[data]), np.array([], np.int64)
     if len(data) < LENGTH:
-        return none.astype(np.uint64), none, none, starts
+        return none.astype(np.uint64), none, none, starts, rolling
     at = np.arange(len(data) - ANCHOR + 1)
-    h = mix(Rolling(BYTE_KEYS[data])(at, at + ANCHOR)) | U(1)
+    h = mix(rolling(at, at + ANCHOR)) | U(1)
     least = sliding(np.minimum, h, LEFT + 1)
     owner = np.repeat(np.arange(len(texts)), np.diff(starts))
     ends = starts[1:][owner[: len(least)]] - 1
     least[np.arange(len(least)) + LENGTH > ends] = 0
     padded = np.concatenate([np.zeros(LEFT, np.uint64), least, np.zeros(LEFT, np.uint64)])
     chosen = np.flatnonzero(sliding(np.maximum, padded, LEFT + 1)[: len(h)] == h)
-    return h[chosen], owner[chosen], chosen, starts
+    return h[chosen], owner[chosen], chosen, starts, rolling
 
 
 def extensions(rolling: Rolling, x: np.ndarray, y: np.ndarray, most: np.ndarray) -> np.ndarray:
@@ -133,15 +133,15 @@ def suffix_sort(data: np.ndarray, start: np.ndarray, length: np.ndarray, group:
     return order, lcp
 
 
-def matches(data: np.ndarray, low: np.ndarray, mid: np.ndarray, high: np.ndarray, owner: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For contexts low:mid:high in ``data`` with an anchor at mid, sorted by group: the span of their windows
-    that also occur with a smaller owner, as bytes before the anchor and end after it; (-1, -1) for none.
+def matches(data: np.ndarray, low: np.ndarray, mid: np.ndarray, high: np.ndarray, owner: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """For contexts low:mid:high in ``data`` with an anchor at mid, sorted by group: the smallest owner of each
+    window, a row for each number of bytes that it begins before the anchor.
     """
     n = len(low)
     right, right_lcp = suffix_sort(data, mid, high - mid, group)
     left, left_lcp = suffix_sort(data[::-1], len(data) - mid, mid - low, group)
-    most, least = np.full(n, -1), np.full(n, -1)
-    heads = np.r_[True, group[1:] != group[:-1]] if n else np.zeros(0, bool)
+    heads = np.r_[True, group[1:] != group[:-1]][:n]
+    out = np.full((LEFT + 1, n), LAST)
     for a in range(LEFT + 1):
         runs = []
         for order, lcp, need in ((right, right_lcp, LENGTH - a), (left, left_lcp, a)):
@@ -150,15 +150,32 @@ def matches(data: np.ndarray, low: np.ndarray, mid: np.ndarray, high: np.ndarray
             runs.append(run)
         key = runs[0] * (n + 1) + runs[1]
         by = np.argsort(key, kind="stable")
-        edge = np.flatnonzero(np.r_[True, key[by][1:] != key[by][:-1]])
-        if len(edge) == n:
-            continue
-        smallest = np.empty(n, np.int64)
-        smallest[by] = np.repeat(np.minimum.reduceat(owner[by], edge), np.diff(np.r_[edge, n]))
-        hit = smallest < owner
-        most[hit] = a
-        least[hit & (least < 0)] = a
-    return most, np.where(least < 0, -1, LENGTH - least)
+        edge = np.flatnonzero(np.r_[True, key[by][1:] != key[by][:-1]][:n])
+        if n:
+            out[a, by] = np.repeat(np.minimum.reduceat(owner[by], edge), np.diff(np.r_[edge, n]))
+        out[a, (mid - low < a) | (high - mid < LENGTH - a)] = LAST
+    return out
+
+
+def same_contexts(key: list[np.ndarray], start: np.ndarray, size: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first of each set of equal contexts, by group first, and each context's number among those.
+
+    Contexts with equal hashes are compared by their bytes; should two differ, each stays alone.
+    """
+    n = len(start)
+    order = np.lexsort(key[::-1])
+    fresh = np.r_[True, np.any([k[order][1:] != k[order][:-1] for k in key], axis=0)][:n] if n else np.zeros(0, bool)
+    head = order[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
+    for at in range(0, n, 1 << 15):
+        x, y = order[at : at + (1 << 15)], head[at : at + (1 << 15)]
+        step = np.arange(size[x].max())
+        inside = step < size[x][:, None]
+        last = len(data) - 1
+        equal = data[np.minimum(start[x][:, None] + step, last)] == data[np.minimum(start[y][:, None] + step, last)]
+        fresh[at : at + len(x)] |= ~(equal | ~inside).all(1)
+    number = np.empty(n, np.int64)
+    number[order] = np.cumsum(fresh) - 1
+    return order[np.flatnonzero(fresh)], number
 
 
 def dealt(bucket: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -200,7 +217,7 @@ def repeated_substrings(df: DataFrame, id: str = "doc_id", text: str = "text", m
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*parts, strict=True)], ["b", "h", "o"])
 
         for chunk in chunks(batches):
-            h, owner, _, _ = anchors(chunk.column("text").to_pylist())
+            h, owner, *_ = anchors(chunk.column("text").to_pylist())
             if len(h):
                 held.append((h, chunk.column("o").to_numpy()[owner]))
             if sum(len(x) for x, _ in held) >= FLUSH:
@@ -214,23 +231,17 @@ def repeated_substrings(df: DataFrame, id: str = "doc_id", text: str = "text", m
         order = np.lexsort((o, h))
         h, o = h[order], o[order]
         edge = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-        last = np.r_[edge[1:], len(h)] - 1
-        keep = np.repeat(o[edge] != o[last], last - edge + 1)
-        tagged = h - np.repeat((last - edge + 1 > most).astype(np.uint64), last - edge + 1)
-        h, o = tagged[keep], o[keep]
-        order = np.lexsort((h, o))
-        h, o = h[order], o[order]
-        if not len(h):
-            return pa.table({"o": pa.array([], pa.int64()), "h": pa.array([], pa.binary()), "n": pa.array([], pa.int64())})
-        edge = np.flatnonzero(np.r_[True, o[1:] != o[:-1]])
-        parts = np.split(h, edge[1:])
-        return pa.table({"o": o[edge], "h": pa.array([np.unique(x).tobytes() for x in parts], pa.binary()), "n": pa.array([len(x) for x in parts], pa.int64())})
+        count = np.diff(np.r_[edge, len(h)])
+        keep = np.repeat(o[edge] != o[edge + count - 1], count)
+        keep &= np.r_[True, (h[1:] != h[:-1]) | (o[1:] != o[:-1])]
+        tagged = h - np.repeat((count > most).astype(np.uint64), count)
+        return pa.table({"o": o[keep], "h": tagged[keep].view(np.int64)})
 
     plain = texts.select("o", "rid", "text")
-    found = plain.mapInArrow(find, "b long, h binary, o binary").groupBy("b").applyInArrow(meet, "o long, h binary, n long")
+    found = plain.mapInArrow(find, "b long, h binary, o binary").groupBy("b").applyInArrow(meet, "o long, h long")
     found = stage(found, "anchors")
-    count = found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    spread = max(1, 2 * int(count) // CONTEXTS_PER_BUCKET + 1)
+    count = found.count()
+    spread = max(1, 2 * count // CONTEXTS_PER_BUCKET + 1)
     wanted = found.groupBy("o").agg(F.collect_list("h").alias("hs"))
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,87 +250,118 @@ def repeated_substrings(df: DataFrame, id: str = "doc_id", text: str = "text", m
         kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
         held: list[list[np.ndarray]] = []
         pieces: list[bytes] = []
+        number = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal number
             if held:
-                columns = [np.concatenate(x) for x in zip(*held, strict=True)]
-                size = columns[4] + columns[5]
+                h, context, left, right, item, o, rid, inside = (np.concatenate(x) for x in zip(*held, strict=True))
+                size = left.astype(np.int64) + right
                 ends = np.cumsum(size)
                 data = np.frombuffer(b"".join(pieces), np.uint8)
+                owners = (h[item] >> U(8)) % U(spread)
+                items = dict(dealt(owners, [item, o, rid, inside]))
                 out = []
-                for b, part in dealt((columns[0] >> U(8)) % U(spread), [*columns, ends - size, size]):
-                    at = np.repeat(part[6] - (np.cumsum(part[7]) - part[7]), part[7]) + np.arange(part[7].sum())
-                    head = np.array([len(part[0])], np.int64).tobytes()
-                    blob = b"".join([head, *(c.tobytes() for c in part[:6]), data[at].tobytes()])
+                for b, part in dealt((h >> U(8)) % U(spread), [np.arange(len(h)), h, context, left, right, ends - size, size]):
+                    item_, *rest = items[b]
+                    at = np.repeat(part[5] - (np.cumsum(part[6]) - part[6]), part[6]) + np.arange(part[6].sum())
+                    head = np.array([len(part[0]), len(item_)], np.int64).tobytes()
+                    own = np.searchsorted(part[0], item_).astype(np.uint32)
+                    blob = b"".join([head, *(c.tobytes() for c in (*part[1:5], own, *rest)), data[at].tobytes()])
                     out.append((b, blob, None, None, None, None))
                 held.clear()
                 pieces.clear()
+                number = 0
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
         for chunk in chunks(batches):
             raw = chunk.column("text").to_pylist()
-            h, owner, at, starts = anchors(raw)
-            sought = [np.frombuffer(b"".join(x), np.uint64) for x in chunk.column("hs").to_pylist()]
-            every = np.concatenate(sought)
-            of = np.repeat(np.arange(len(sought)), [len(x) for x in sought])
-            order = np.lexsort((of, every | U(1)))
-            every, of = every[order], of[order]
+            h, owner, at, starts, rolling = anchors(raw)
+            lists = chunk.column("hs")
+            every = lists.flatten().to_numpy().view(np.uint64)
+            of = np.repeat(np.arange(len(raw)), np.diff(lists.offsets.to_numpy()))
             # an anchor is sought if its hash and text are among the pairs
-            both = np.rec.fromarrays([every | U(1), of])
-            place = np.minimum(np.searchsorted(both, np.rec.fromarrays([h, owner])), len(both) - 1)
-            hit = (every[place] | U(1) == h) & (of[place] == owner)
-            h, owner, at, plain_ = h[hit], owner[hit], at[hit], (every[place] & U(1))[hit] == 1
+            sought = mix((every | U(1)) + mix(of.astype(np.uint64) + U(1)))
+            order = np.argsort(sought, kind="stable")
+            sought, rare = sought[order], (every[order] & U(1)) == 1
+            asked = mix(h + mix(owner.astype(np.uint64) + U(1)))
+            place = np.minimum(np.searchsorted(sought, asked), max(len(sought) - 1, 0))
+            hit = sought[place] == asked
+            h, owner, at, plain_ = h[hit], owner[hit], at[hit], rare[place][hit]
             o, rid = (chunk.column(c).to_numpy() for c in ("o", "rid"))
             inside = at - starts[owner]
             left = np.minimum(inside, LEFT)
             right = np.minimum(starts[owner + 1] - 1 - at, LENGTH)
+            data = b"\n".join([*raw, b""])
             p = np.flatnonzero(plain_)
             if len(p):
-                data = b"\n".join([*raw, b""])
-                pieces.extend(data[a:b] for a, b in zip((at - left)[p].tolist(), (at + right)[p].tolist(), strict=True))
-                held.append([h[p], o[owner[p]], rid[owner[p]], inside[p], left[p], right[p]])
-            windows = [(i, s) for i in np.flatnonzero(~plain_).tolist() for s in range(int(inside[i] - left[i]), int(inside[i] + right[i] - LENGTH) + 1)]
-            if windows:
-                digests = [hashlib.md5(raw[owner[i]][s : s + LENGTH]).digest() for i, s in windows]
-                who = np.array([owner[i] for i, _ in windows])
-                nothing = [None] * len(windows)
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip([nothing, nothing, digests, o[who], rid[who], [s for _, s in windows]], kinds, strict=True)], names)
-            if sum(len(x[0]) for x in held) >= FLUSH // 8:
+                context = mix(rolling((at - left)[p], (at + right)[p]) + (left[p] * 64 + right[p]).astype(np.uint64))
+                first, item = same_contexts([h[p], context], (at - left)[p], (left + right)[p], np.frombuffer(data, np.uint8))
+                f = p[first]
+                pieces.extend(data[a:b] for a, b in zip((at - left)[f].tolist(), (at + right)[f].tolist(), strict=True))
+                held.append([h[f], context[first], left[f].astype(np.uint8), right[f].astype(np.uint8), item + number, o[owner[p]], rid[owner[p]], inside[p].astype(np.uint32)])
+                number += len(f)
+            for k in range(0, len(q := np.flatnonzero(~plain_)), 500):
+                part = q[k : k + 500]
+                n = np.maximum(left[part] + right[part] - LENGTH + 1, 0)
+                which = np.repeat(part, n)
+                begin = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + (at - left)[which]
+                digests = [hashlib.md5(data[b : b + LENGTH]).digest() for b in begin.tolist()]
+                nothing = pa.nulls(len(which), pa.int64()), pa.nulls(len(which), pa.binary())
+                yield pa.RecordBatch.from_arrays([*nothing, pa.array(digests, pa.binary()), *[pa.array(x, pa.int64()) for x in (o[owner[which]], rid[owner[which]], begin - starts[owner[which]])]], names)
+            if sum(len(x[5]) for x in held) >= FLUSH // 4:
                 yield from flush()
         yield from flush()
 
     around = plain.join(wanted, "o").select("o", "rid", "text", "hs").mapInArrow(contexts, "b long, blob binary, w binary, o long, rid long, at long")
 
     def sort(table: pa.Table) -> pa.Table:
-        parts = []
+        parts, seen = [], 0
         for blob in table.column("blob"):
             blob = blob.as_buffer()
-            n = int(np.frombuffer(blob, np.int64, 1)[0])
-            columns = [np.frombuffer(blob, k, n, 8 + 8 * n * i) for i, k in enumerate([np.uint64, *[np.int64] * 5])]
-            parts.append((*columns, np.frombuffer(blob, np.uint8, -1, 8 + 48 * n)))
-        h, o, rid, inside, left, right, data = (np.concatenate(x) for x in zip(*parts, strict=True))
-        begin = np.cumsum(left + right) - left - right
-        order = np.argsort(h, kind="stable")
-        h, o, rid, inside, left, right, begin = (x[order] for x in (h, o, rid, inside, left, right, begin))
-        before, after = matches(data, begin, begin + left, begin + left + right, o, h)
+            n, m = np.frombuffer(blob, np.int64, 2).tolist()
+            at, columns = 16, []
+            for kind, count_ in ((np.uint64, n), (np.uint64, n), (np.uint8, n), (np.uint8, n), (np.uint32, m), (np.int64, m), (np.int64, m), (np.uint32, m)):
+                columns.append(np.frombuffer(blob, kind, count_, at))
+                at += columns[-1].nbytes
+            columns[4] = columns[4].astype(np.int64) + seen
+            seen += n
+            parts.append((*columns, np.frombuffer(blob, np.uint8, -1, at)))
+        h, context, left, right, item, o, rid, inside, data = (np.concatenate(x) for x in zip(*parts, strict=True))
+        left, right = left.astype(np.int64), right.astype(np.int64)
+        size = left + right
+        start = np.cumsum(size) - size
+        first, number = same_contexts([h, context], start, size, data)
+        item = number[item]
+        least = np.full(len(first), LAST)
+        np.minimum.at(least, item, o)
+        smallest = matches(data, start[first], (start + left)[first], (start + size)[first], least, h[first])
+        before, after = np.full(len(o), -1), np.full(len(o), -1)
+        for a in range(LEFT + 1):
+            hit = smallest[a][item] < o
+            before[hit] = a
+            after[hit & (after < 0)] = LENGTH - a
         hit = before >= 0
+        inside = inside.astype(np.int64)
         return pa.table({"o": o[hit], "rid": rid[hit], "s": (inside - before)[hit], "e": (inside + after)[hit]})
 
     spans = around.where("b IS NOT NULL").select("b", "blob").groupBy("b").applyInArrow(sort, "o long, rid long, s long, e long")
-    if found.where(F.exists(F.transform(F.sequence(F.lit(1), F.octet_length("h"), F.lit(8)), lambda i: F.substring("h", i, 1)), lambda x: F.conv(F.hex(x), 16, 10).cast("int") % 2 == 0)).limit(1).count():
+    if not found.where("h % 2 = 0").isEmpty():
         windows = stage(around.where("w IS NOT NULL").select("w", "o", "rid", "at"), "windows")
         least = windows.groupBy("w").agg(F.min("o").alias("m"))
         spans = spans.union(windows.join(least, "w").where("m < o").select("o", "rid", F.col("at").alias("s"), (F.col("at") + LENGTH).alias("e")))
-    spans = stage(spans, "spans").groupBy("o", "rid").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("spans"))
+    # by o alone, which the texts are in buckets of
+    spans = spans.groupBy("o").agg(F.sort_array(F.collect_list(F.struct("rid", "s", "e"))).alias("spans"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches):
             out = []
-            for value, found_ in zip(chunk.column("text").to_pylist(), chunk.column("spans"), strict=True):
+            for value, row, found_ in zip(chunk.column("text").to_pylist(), chunk.column("rid").to_pylist(), chunk.column("spans"), strict=True):
                 kept, at, removed, n = [], 0, 0, 0
                 if found_.is_valid:
                     flat = found_.values
-                    for s, e in zip(flat.field(0).to_pylist(), flat.field(1).to_pylist(), strict=True):
+                    own = flat.field(0).to_numpy() == row
+                    for s, e in zip(flat.field(1).to_numpy()[own].tolist(), flat.field(2).to_numpy()[own].tolist(), strict=True):
                         if s > at or n == 0:
                             kept.append(value[at:s])
                             n += 1
@@ -332,7 +374,7 @@ def repeated_substrings(df: DataFrame, id: str = "doc_id", text: str = "text", m
                 out.append((removed, n, rest, hashlib.sha256(rest).hexdigest()))
             yield pa.RecordBatch.from_arrays([chunk.column("tk"), *[pa.array(x) for x in zip(*out, strict=True)]], ["tk", "n_removed", "n_spans", "kept", "kept_sha256"])
 
-    result = texts.join(spans, ["o", "rid"], "left").select("tk", "text", "spans").mapInArrow(cut, "tk binary, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    result = texts.join(spans, "o", "left").select("tk", "rid", "text", "spans").mapInArrow(cut, "tk binary, n_removed long, n_spans long, kept binary, kept_sha256 string")
     firsts = rows.groupBy("tk").agg(F.min("o").alias("least"))
     out = rows.join(firsts, "tk").join(result, "tk")
     gone = (F.col("o") > F.col("least")) & (F.col("n_bytes") >= LENGTH)
