@@ -48,14 +48,19 @@ class Repo:
         return both.withColumn("parent", F.concat_ws("/", F.lit("home"), "lang", "source")).withColumn("name", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
 
     @cached_property
-    def nodes(self) -> DataFrame:
-        """Files and directories, without paths."""
-        f = self.files.select(
-            "snap_id", (F.col("doc_id") + 1).alias("node_id"), F.lit(REGULAR).cast("long").alias("type"), "mode", F.lit(1000).cast("long").alias("uid"), (F.col("doc_id") % 3 + 100).alias("gid"),
+    def file_paths(self) -> DataFrame:
+        """Files by path, with their metadata: what two snapshots are compared by. No join is needed here."""
+        return self.files.select(
+            F.concat_ws("/", "parent", "name").alias("path"), "snap_id", (F.col("doc_id") + 1).alias("node_id"), F.lit(REGULAR).cast("long").alias("type"), "mode", F.lit(1000).cast("long").alias("uid"), (F.col("doc_id") % 3 + 100).alias("gid"),
             F.octet_length("text").cast("long").alias("size"), (F.col("doc_id") + 1700000000).alias("mtime_sec"), text_hash("text").alias("content_hash"),
             F.when(F.col("doc_id") % 4 == 0, text_hash(F.concat(F.lit("xattr:"), "lang"))).alias("xattr_hash"), F.when(F.col("doc_id") % 9 == 0, text_hash(F.concat(F.lit("acl:"), "source"))).alias("acl_hash"),
             F.when(F.col("doc_id") % 50 == 7, 2).otherwise(1).cast("long").alias("link_count"), (F.col("doc_id") * 31 + 17).alias("inode_identity"),
         )
+
+    @cached_property
+    def nodes(self) -> DataFrame:
+        """Files and directories, without paths."""
+        f = self.file_paths.drop("path")
         d = self.directories.select(
             "snap_id", "node_id", F.lit(DIRECTORY).cast("long").alias("type"), F.lit(16877).cast("long").alias("mode"), F.lit(0).cast("long").alias("uid"), F.lit(0).cast("long").alias("gid"), F.lit(0).cast("long").alias("size"),
             F.lit(1700000000).cast("long").alias("mtime_sec"), *[F.lit(None).cast("string").alias(c) for c in ("content_hash", "xattr_hash", "acl_hash")], F.lit(1).cast("long").alias("link_count"), F.col("node_id").alias("inode_identity"),
@@ -79,12 +84,6 @@ class Repo:
         links = f.where("doc_id % 50 = 7").withColumn("name", F.concat(F.lit("link-"), F.col("doc_id").cast("string")))
         return self.directories.select("snap_id", "parent_node", "node_id", "name").unionByName(f.drop("doc_id")).unionByName(links.drop("doc_id"))
 
-    @cached_property
-    def file_paths(self) -> DataFrame:
-        """Files by path, with their metadata: what two snapshots are compared by."""
-        names = self.files.select("snap_id", (F.col("doc_id") + 1).alias("node_id"), F.concat_ws("/", "parent", "name").alias("path"))
-        return names.join(self.nodes.where(f"type = {REGULAR}"), ["snap_id", "node_id"])
-
     @cached_property
     def objects(self) -> DataFrame:
         d = self.table("documents").select(text_hash("text").alias("hash"), "doc_id", F.octet_length("text").cast("long").alias("uncompressed_size"))
