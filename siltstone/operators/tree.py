@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import contains_ascii, glob_regex, type_letter
+from siltstone.operators.common import kept
 
 #: Deeper than any path that a file system allows; a longer chain is a cycle.
 DEEPEST = 4096
@@ -14,20 +15,28 @@ DEEPEST = 4096
 def paths(dirents: DataFrame) -> DataFrame:
     """snap_id, node_id, path and depth of each directory entry.
 
-    Level by level, from the roots; only entries that are parents go on to the next level, so that files
-    are joined once. Entries that no root leads to keep their bare names, at depth 1.
+    Level by level, from the roots, but over directories alone: those that have entries. All other entries
+    are joined once, with the paths of their directories. Entries whose parent is missing keep their bare
+    names, and what is under them is named from there.
     """
-    parents = dirents.select(F.col("snap_id"), F.col("parent_node").alias("node_id")).distinct()
-    level = dirents.where("parent_node = 0").select("snap_id", "node_id", F.col("name").alias("path"), F.lit(1).cast("long").alias("depth"))
-    out, front = level, level.join(parents, ["snap_id", "node_id"], "left_semi")
+    parents = dirents.select("snap_id", F.col("parent_node").alias("node_id")).distinct()
+    ids = dirents.select("snap_id", F.col("node_id").alias("parent_node")).distinct()
+    # entries whose parent is none: that of roots is 0, those of orphans aren't there
+    tops = dirents.join(ids, ["snap_id", "parent_node"], "left_anti").select("snap_id", "node_id", F.col("name").alias("path"), F.lit(1).cast("long").alias("depth"))
+    inner = dirents.join(parents, ["snap_id", "node_id"], "left_semi")
+    level = directories = kept(tops.join(parents, ["snap_id", "node_id"], "left_semi"))
     for _ in range(DEEPEST):
-        if front.isEmpty():
+        level = kept(_under(inner, level))
+        if level.isEmpty():
             break
-        up = front.select("snap_id", F.col("node_id").alias("parent_node"), F.col("path").alias("up"), "depth")
-        level = dirents.join(up, ["snap_id", "parent_node"]).select("snap_id", "node_id", F.concat("up", F.lit("/"), "name").alias("path"), (F.col("depth") + 1).alias("depth"))
-        out, front = out.union(level), level.join(parents, ["snap_id", "node_id"], "left_semi")
-    orphans = dirents.where("parent_node <> 0").join(dirents.select("snap_id", F.col("node_id").alias("parent_node")), ["snap_id", "parent_node"], "left_anti")
-    return out.union(orphans.select("snap_id", "node_id", F.col("name").alias("path"), F.lit(1).cast("long").alias("depth")))
+        directories = directories.union(level)
+    return tops.union(_under(dirents, directories))
+
+
+def _under(dirents: DataFrame, above: DataFrame) -> DataFrame:
+    """The entries of directories whose paths are known, with theirs."""
+    up = above.select("snap_id", F.col("node_id").alias("parent_node"), F.col("path").alias("up"), "depth")
+    return dirents.join(up, ["snap_id", "parent_node"]).select("snap_id", "node_id", F.concat("up", F.lit("/"), "name").alias("path"), (F.col("depth") + 1).alias("depth"))
 
 
 def children(dirents: DataFrame, nodes: DataFrame, parent: int | F.Column) -> DataFrame:

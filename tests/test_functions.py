@@ -91,9 +91,9 @@ def test_diff_cases(spark):
 
 
 def test_tree_cases(spark):
-    rows = [(1, 0, 10, "a"), (1, 10, 11, "b"), (1, 11, 12, "c"), (1, 99, 13, "orphan"), (2, 0, 10, "z")]
+    rows = [(1, 0, 10, "a"), (1, 10, 11, "b"), (1, 11, 12, "c"), (1, 99, 13, "orphan"), (1, 13, 14, "x"), (2, 0, 10, "z")]
     found = {(r.snap_id, r.path, r.depth) for r in tree.paths(spark.createDataFrame(rows, "snap_id long, parent_node long, node_id long, name string")).collect()}
-    assert found == {(1, "a", 1), (1, "a/b", 2), (1, "a/b/c", 3), (1, "orphan", 1), (2, "z", 1)}
+    assert found == {(1, "a", 1), (1, "a/b", 2), (1, "a/b/c", 3), (1, "orphan", 1), (1, "orphan/x", 2), (2, "z", 1)}
     files = spark.createDataFrame([("f", "x\nyes\n"), ("g", "yes\0")], "path string, text string")
     assert [tuple(r) for r in tree.grep(files, "^(yes|)$").collect()] == [("f", 2, "yes"), ("f", 3, "")]
 
