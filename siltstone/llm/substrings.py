@@ -200,8 +200,11 @@ def repeated_substrings(df: DataFrame, id: str = "doc_id", text: str = "text", m
     heads = rows.groupBy("tk").agg(F.min(F.struct("o", "rid")).alias("h")).select("h.o", "h.rid")
     buckets = min(max(tasks(spark), 4), 100_000)
     name, path = f"siltstone_{uuid.uuid4().hex}", scratch(spark, "texts")
-    texts = given.join(heads.select("rid"), "rid", "left_semi").select("o", "rid", "tk", "text")
-    texts.repartition(buckets, "o").write.bucketBy(buckets, "o").option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
+    # joined on o alone, by which the texts are dealt out anyway: they are moved once
+    heads = heads.select(F.col("o").alias("head_o"), F.col("rid").alias("head"))
+    texts = given.select("o", "rid", "tk", "text").repartition(buckets, "o")
+    texts = texts.join(heads, (F.col("o") == F.col("head_o")) & (F.col("rid") - F.col("head") == 0), "left_semi")
+    texts.write.bucketBy(buckets, "o").option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
     texts = spark.table(name)
     total = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     deal = max(1, int(total) // (15 * ANCHORS_PER_BUCKET) + 1)
