@@ -69,7 +69,7 @@ def object_exists(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def object_locate(spark: SparkSession, sf: str) -> DataFrame:
-    return Repo(spark, sf).objects.where("hash < '08'").select("hash", "type", "storage", "uncompressed_size", "compressed_size")
+    return Repo(spark, sf).objects.select("hash", "type", "storage", "uncompressed_size", "compressed_size")
 
 
 def object_content_prefix(spark: SparkSession, sf: str) -> DataFrame:
@@ -167,7 +167,7 @@ PLANS = {
     "object_refs": (object_refs, cte("refs") + """ SELECT hash, snap_id, node_id, CAST(min(field) AS BIGINT) AS field FROM refs WHERE hash IN (SELECT hash FROM refs WHERE field = 1 GROUP BY hash HAVING count(*) >= 3) GROUP BY 1, 2, 3"""),
     "object_lookup": (object_lookup, _LIVE + " SELECT l.hash, coalesce(storage, 'none') AS found, type, uncompressed_size FROM live l LEFT JOIN objects o ON o.hash = l.hash"),
     "object_exists": (object_exists, _LIVE + " SELECT hash FROM live WHERE hash IN (SELECT hash FROM objects)"),
-    "object_locate": (object_locate, cte("objects") + " SELECT hash, type, storage, uncompressed_size, compressed_size FROM objects WHERE hash < '08'"),
+    "object_locate": (object_locate, cte("objects") + " SELECT hash, type, storage, uncompressed_size, compressed_size FROM objects"),
     "object_content_prefix": (object_content_prefix, cte("payloads") + " SELECT hash, lower(substr(hex(payload), 1, 128)) AS prefix, octet_length(payload) > 64 AS truncated, CAST(octet_length(payload) AS BIGINT) AS full_size FROM payloads"),
     "import_new_objects": (import_new_objects, cte("files", "objects") + """ SELECT sha256(text) AS hash, CAST(max(octet_length(encode(text))) AS BIGINT) AS size FROM files WHERE snap_id = 2
       AND sha256(text) NOT IN (SELECT hash FROM objects WHERE storage = 'loose') GROUP BY 1"""),

@@ -73,7 +73,7 @@ def grep_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def cat_file(spark: SparkSession, sf: str) -> DataFrame:
-    f = Repo(spark, sf).files.where("snap_id = 2").where((F.col("parent") == BASE) & tree.named("*0.txt"))
+    f = Repo(spark, sf).files.where("snap_id = 2").where(F.col("parent") == BASE)
     return f.select(F.concat_ws("/", "parent", "name").alias("path"), F.explode(t.hex_lines(F.col("text").cast("binary"))).alias("l")).select("path", F.col("l.offset").cast("long").alias("offset"), F.col("l.bytes").alias("bytes"))
 
 
@@ -126,7 +126,7 @@ PLANS = {
     "grep_lines": (grep_lines, cte("files") + """ SELECT parent || '/' || name AS path, i AS line_no, l AS line FROM files, unnest(string_split(text, chr(10))) WITH ORDINALITY u(l, i)
       WHERE snap_id = 2 AND NOT contains(text, chr(0)) AND regexp_matches(l, '^[A-Z][a-z]+ing (the|of) .*[!-/:-@\\[-`{-~]$')"""),
     "cat_file": (cat_file, cte("files") + f""" SELECT parent || '/' || name AS path, 16 * i AS "offset", lower(substr(hex(encode(text)), CAST(32 * i + 1 AS INT), 32)) AS bytes
-      FROM files, unnest(range(0, (greatest(octet_length(encode(text)), 1) + 15) // 16)) u(i) WHERE snap_id = 2 AND parent = '{BASE}' AND ends_with(name, '0.txt')"""),
+      FROM files, unnest(range(0, (greatest(octet_length(encode(text)), 1) + 15) // 16)) u(i) WHERE snap_id = 2 AND parent = '{BASE}'"""),
     "restore_plan": (restore_plan, cte("nodes", "dirents", "packed") + """ SELECT CASE WHEN n.type = 2 THEN 0 WHEN row_number() OVER (PARTITION BY d.node_id ORDER BY name) = 1 THEN 1 ELSE 2 END::BIGINT AS pass,
       CAST(pack_num AS BIGINT) AS pack_num, CAST(dat_offset AS BIGINT) AS dat_offset, d.node_id, name FROM dirents d JOIN nodes n ON n.snap_id = d.snap_id AND n.node_id = d.node_id LEFT JOIN packed ON hash = content_hash
       WHERE d.snap_id = 1 ORDER BY pass, pack_num NULLS LAST, dat_offset, d.node_id, name"""),
