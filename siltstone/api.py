@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone import tasks
 from siltstone.operators import journal as j
 from siltstone.operators import objects as o
 from siltstone.operators import tree
@@ -85,6 +86,10 @@ ACTIONS: dict[str, Callable[[Store, dict], object]] = {
     "global_pack_index": lambda s, p: page(s.table("objects").select("hash", "type", "size").orderBy("hash"), p, 1000),
     "repo_summary": _summary,
     "journal": _journal,
+    "task_start": lambda s, p: {"task_id": tasks.start(s, p["command"], p.get("params"))},
+    "task_list": lambda s, p: rows(tasks.table(s)),
+    "task_status": lambda s, p: tasks.status(s, p["task_id"]),
+    "task_cancel": lambda s, p: tasks.cancel(s, p["task_id"]),
     "note_get": lambda s, p: s.note(int(p["snap_id"])),
     "note_set": lambda s, p: s.note(int(p["snap_id"]), p["text"]),
     "note_delete": lambda s, p: s.note(int(p["snap_id"]), ""),

@@ -132,7 +132,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     try:
         if a.command in LOGGED:
             Store.open(spark, a.repository).log(op, "started", operation=a.command, source="cli")
-        out = execute(spark, a)
+        if a.command in LOGGED - {"restore"}:
+            with Store.open(spark, a.repository).lock():
+                out = execute(spark, a)
+        else:
+            out = execute(spark, a)
         if hasattr(out, "toJSON"):
             for line in out.toJSON().toLocalIterator():
                 print(line)

@@ -11,7 +11,10 @@ import json
 import re
 import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,6 +89,22 @@ class Store:
             raise StoreError("no repository of this format")
         return store
 
+    @contextmanager
+    def lock(self, wait: bool = False) -> Iterator[None]:
+        """The one writer's lock: a file that only one can create. What a dead writer left has to be removed by hand."""
+        while True:
+            try:
+                self._fs.create(self._path("lock"), False).close()
+                break
+            except Py4JJavaError:
+                if not wait:
+                    raise StoreError("another command is writing") from None
+                time.sleep(0.5)
+        try:
+            yield
+        finally:
+            self._fs.delete(self._path("lock"), False)
+
     def table(self, name: str) -> DataFrame:
         if not self._fs.exists(self._path(name)):
             return self.spark.createDataFrame([], SCHEMAS[name])

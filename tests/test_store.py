@@ -146,6 +146,22 @@ def test_interface(store):
     assert api.call(store, "global_pack_index", {"limit": 2})["data"]["has_more"] is True
 
 
+def test_tasks_and_lock(store):
+    from siltstone import tasks
+
+    with store.lock():
+        with pytest.raises(StoreError), store.lock():
+            pass
+        held = tasks.start(store, "verify")
+        assert tasks.status(store, held)["state"] == "running"
+    tasks.wait(held, 120)
+    assert tasks.status(store, held)["state"] == "completed" and json.loads(tasks.status(store, held)["result"]) == {"ok": 3}
+    done = api.call(store, "task_start", {"command": "gc"})["data"]["task_id"]
+    tasks.wait(done, 120)
+    assert [r["state"] for r in api.call(store, "task_list")["data"]] == ["completed", "completed"]
+    assert api.call(store, "task_start", {"command": "nothing"})["ok"] is False and api.call(store, "task_status", {"task_id": "x"})["ok"] is False
+
+
 def test_retention_cases(spark):
     at = lambda *x: datetime.datetime(*x)
 
