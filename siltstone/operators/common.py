@@ -8,11 +8,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """``df`` computed once: in the folder of checkpoints, where the session has one, else in executors' storage."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
-
-
 def sums_before(df: DataFrame, slice_: F.Column, order: Sequence[str], values: dict[str, str | None]) -> DataFrame:
     """``df`` with, for each column named in ``values``, the sum of its value (None: 1) over all rows before.
 

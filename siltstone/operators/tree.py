@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import contains_ascii, glob_regex, type_letter
-from siltstone.operators.common import kept
 
 #: Deeper than any path that a file system allows; a longer chain is a cycle.
 DEEPEST = 4096
@@ -20,17 +19,23 @@ def paths(dirents: DataFrame) -> DataFrame:
     names, and what is under them is named from there.
     """
     parents = dirents.select("snap_id", F.col("parent_node").alias("node_id")).distinct()
-    ids = dirents.select("snap_id", F.col("node_id").alias("parent_node")).distinct()
-    # entries whose parent is none: that of roots is 0, those of orphans aren't there
-    tops = dirents.join(ids, ["snap_id", "parent_node"], "left_anti").select("snap_id", "node_id", F.col("name").alias("path"), F.lit(1).cast("long").alias("depth"))
-    inner = dirents.join(parents, ["snap_id", "node_id"], "left_semi")
-    level = directories = kept(tops.join(parents, ["snap_id", "node_id"], "left_semi"))
+    # directories with entries, of which there are few beside the entries; executors keep them, and lost ones are
+    # computed again
+    inner = dirents.join(parents, ["snap_id", "node_id"], "left_semi").persist()
+    ids = inner.select("snap_id", F.col("node_id").alias("parent_node")).distinct()
+
+    def tops(entries: DataFrame) -> DataFrame:
+        """Entries whose parent is none: that of roots is 0, those of orphans aren't there."""
+        found = entries.join(ids, ["snap_id", "parent_node"], "left_anti")
+        return found.select("snap_id", "node_id", F.col("name").alias("path"), F.lit(1).cast("long").alias("depth"))
+
+    level = directories = tops(inner).persist()
     for _ in range(DEEPEST):
-        level = kept(_under(inner, level))
+        level = _under(inner, level).persist()
         if level.isEmpty():
             break
         directories = directories.union(level)
-    return tops.union(_under(dirents, directories))
+    return tops(dirents).union(_under(dirents, directories))
 
 
 def _under(dirents: DataFrame, above: DataFrame) -> DataFrame:
