@@ -8,6 +8,7 @@ A text that no transducer changes isn't searched twice.
 
 from __future__ import annotations
 
+import copy
 import hashlib
 import re
 import unicodedata
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import chunks
+from siltstone.llm.endings import ENDINGS
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int]
@@ -104,12 +106,15 @@ _POINT = r"(?:dot|punkt|punto|point)(?![^\W\d_])"
 _GAP = r"[ ,]{0,2}[ \n-]"
 SPELLED = re.compile(rf"(?<![^\W_])(?:plus{_GAP})?(?:{_NAME}|[0-9]++)(?:(?:{_GAP})(?:{_POINT}{_GAP})?(?:{_NAME}|[0-9]++(?![^\W_])))+", re.IGNORECASE)
 PART = re.compile(rf"(?P<plus>plus)|(?P<point>{_POINT})|(?P<name>{_NAME})|(?P<number>[0-9]+)", re.IGNORECASE)
-#: A run is read as spelled digits from this many names on.
-LEAST_NAMES = 4
-ENDINGS = "com|org|net|edu|gov|info|io|co|biz|eu|uk|de|fr|es|it|nl|us|ch|at|be|ca"
+#: Runs of fewer names may be prose beside a number; they are read both as spelled digits and as they stand.
+SURE_NAMES = 4
+#: Endings of a host's or file's name after "at" in prose ("look at main.py"), and words after "at this point":
+#: with a plain point only the first count there, with a spoken one all top-level domains but the second.
+USUAL = frozenset("com org net edu gov info io co biz eu uk de fr es it nl us ch at be ca".split())
+PROSE = frozenset("am as at by do here how in is it me my no now one so to today you".split()) - USUAL
 AT_SIGN = re.compile(r"[ \t]?[\[({<][ \t]*(?:at|arroba|chez|ät|@)[ \t]*[\])}>][ \t]?", re.IGNORECASE)
 DOT_SIGN = re.compile(r"[ \t]?[\[({<][ \t]*(?:dot|punkt|punto|point|\.)[ \t]*[\])}>][ \t]?", re.IGNORECASE)
-SPOKEN = re.compile(rf"(?<=[A-Za-z0-9])(?P<at>[ \t]+(?:at|arroba|ät|@)[ \t]+|@)(?P<labels>(?:[A-Za-z0-9-]+(?:[ \t]+(?:dot|punkt|punto|point)[ \t]+|\.))*[A-Za-z0-9-]+)(?P<dot>[ \t]+(?:dot|punkt|punto|point)[ \t]+|\.)(?P<end>{ENDINGS})(?![A-Za-z0-9])", re.IGNORECASE)
+SPOKEN = re.compile(rf"(?<=[A-Za-z0-9])(?P<at>[ \t]+(?:at|arroba|ät|@)[ \t]+|@)(?P<labels>(?:[A-Za-z0-9-]+(?:[ \t]+(?:dot|punkt|punto|point)[ \t]+|\.))*[A-Za-z0-9-]+)(?P<dot>[ \t]+(?:dot|punkt|punto|point)[ \t]+|\.)(?P<end>{'|'.join(sorted(ENDINGS, key=len, reverse=True))})(?![A-Za-z0-9])", re.IGNORECASE)
 SPOKEN_DOT = re.compile(r"[ \t]+(?:dot|punkt|punto|point)[ \t]+", re.IGNORECASE)
 NAMED_DOT = re.compile(r"(?<=[A-Za-z0-9])[ \t]+(?:dot|punkt|punto|point)[ \t]+(?=[A-Za-z0-9._%+-]*(?:@|[ \t]+(?:at|arroba|ät)[ \t]))", re.IGNORECASE)
 
@@ -146,12 +151,21 @@ def look_alikes(text: str) -> list[tuple[int, int, str]]:
     return [(*m.span(), ALIKE[ord(m[0])]) for m in LOOKS.finditer(text)]
 
 
-def spelled_digits(text: str) -> list[tuple[int, int, str]]:
-    """Runs of names of digits, with numbers among them: gaps beside a name go, and "dot" becomes a point."""
+def spelled_digits(runs: list[list[re.Match]], least: int, trim: bool = False) -> list[tuple[int, int, str]]:
+    """Runs of names of digits, with numbers among them: gaps beside a name go, and "dot" becomes a point.
+
+    A run has ``least`` names, or if one is enough, a point. With ``trim``, names at its ends stay as they
+    are where a number follows or precedes them.
+    """
     edits = []
-    for run in SPELLED.finditer(text):
-        parts = list(PART.finditer(text, *run.span()))
-        if sum(p.lastgroup == "name" for p in parts) < LEAST_NAMES:
+    for parts in runs:
+        kinds = [p.lastgroup for p in parts]
+        if trim and "number" in kinds:
+            while kinds[0] == "name" and next(k for k in kinds if k != "name") == "number":
+                parts, kinds = parts[1:], kinds[1:]
+            while kinds[-1] == "name" and next(k for k in reversed(kinds) if k != "name") == "number":
+                parts, kinds = parts[:-1], kinds[:-1]
+        if kinds.count("name") < least and not (least == 1 and "point" in kinds):
             continue
         for i, p in enumerate(parts):
             new = {"plus": "+", "point": ".", "name": DIGITS.get(p[0].lower(), "")}.get(p.lastgroup)
@@ -172,6 +186,9 @@ def signs(text: str) -> list[tuple[int, int, str]]:
 def spoken(text: str) -> list[tuple[int, int, str]]:
     edits = []
     for m in SPOKEN.finditer(text):
+        end, dot = m["end"].lower(), m["dot"].strip().lower()
+        if m["at"].strip().lower() == "at" and (end in PROSE if dot in ("dot", "point") else dot == "." and end not in USUAL):
+            continue
         edits.append((*m.span("at"), "@"))
         edits += [(*d.span(), ".") for d in SPOKEN_DOT.finditer(text, m.start("labels"), m.end("labels"))]
         edits.append((*m.span("dot"), "."))
@@ -179,32 +196,43 @@ def spoken(text: str) -> list[tuple[int, int, str]]:
     return sorted(edits)
 
 
-def deobfuscated(text: str) -> Rewritten:
-    out = Rewritten(text)
-    out.replace(look_alikes(text))
-    low = out.text.lower()
-    out.replace(spelled_digits(out.text))
-    if any(b in out.text for b in "[({<"):
-        out.replace(signs(out.text))
-    if "@" in out.text or " at " in low or "arroba" in low or " ät " in low:
-        out.replace(spoken(out.text))
-    return out
+def deobfuscated(text: str) -> Iterator[Rewritten]:
+    """Readings of the text, by which runs are spelled digits: the sure ones, all, all without names at their ends."""
+    plain = Rewritten(text)
+    plain.replace(look_alikes(text))
+    low = plain.text.lower()
+    runs = [list(PART.finditer(plain.text, *run.span())) for run in SPELLED.finditer(plain.text)]
+    tried: list[list] = []
+    for least, trim in ((SURE_NAMES, False), (1, False), (1, True)):
+        edits = spelled_digits(runs, least, trim)
+        if edits in tried:
+            continue
+        tried.append(edits)
+        out = copy.copy(plain)
+        out.replace(edits)
+        if any(b in out.text for b in "[({<"):
+            out.replace(signs(out.text))
+        if "@" in out.text or " at " in low or "arroba" in low or " ät " in low:
+            out.replace(spoken(out.text))
+        yield out
 
 
 def find(text: str) -> tuple[dict[str, list[Span]], dict[str, list[Span]]]:
     """The plain spans of each kind, and those that only show when the text is deobfuscated.
 
     Of the latter, those that touch a plain span of their kind are left out: plain spans stay as they are.
+    Runs with few names are read last, so that a name beside a number hides nothing that shows without it.
     """
     base = detect(text)
-    clear = deobfuscated(text)
     added: dict[str, list[Span]] = {k: [] for k in KINDS}
-    if clear.start is not None:
+    for clear in deobfuscated(text):
+        if clear.start is None:
+            continue
         for kind, spans in detect(clear.text).items():
             for span in map(clear.source, spans):
-                if all(span[1] <= a or b <= span[0] for a, b in base[kind]):
+                if all(span[1] <= a or b <= span[0] for a, b in [*base[kind], *added[kind]]):
                     added[kind].append(span)
-    return base, added
+    return base, {k: sorted(v) for k, v in added.items()}
 
 
 def listed(spans: dict[str, list[Span]]) -> str:

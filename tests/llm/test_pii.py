@@ -90,3 +90,22 @@ def test_rows(spark):
     assert [(r.doc_id, r.n_email, r.spans, r.redacted) for r in rows if r.doc_id == 1] == [(1, 1, "email:2:9", "x [EMAIL]")] * 2
     assert {(r.doc_id, r.spans, r.redacted) for r in rows if r.doc_id != 1} == {(2, "", None), (None, "", "")}
     assert pii.personal_data(df.limit(0), carry=["doc_id"]).count() == 0
+
+
+def test_runs_of_few_names_and_other_endings():
+    for text, kind, part in [
+        ("host 192 dot 168 dot 0 dot 1 is up", "ip", "192 dot 168 dot 0 dot 1"),
+        ("server one 192 dot 168 dot 0 dot 1 is up", "ip", "192 dot 168 dot 0 dot 1"),
+        ("host 192 dot 168 dot zero dot 1 is up", "ip", "192 dot 168 dot zero dot 1"),
+        ("call +1 415 five five five 0199 now", "phone", "+1 415 five five five 0199"),
+        ("call plus four four 20 7946 0958 now", "phone", "plus four four 20 7946 0958"),
+        ("card 4111 1111 1111 111 one end", "card", "4111 1111 1111 111 one"),
+        ("card ４１１１ １１１１ １１１１ １１１１ one end", "card", "４１１１ １１１１ １１１１ １１１１"),
+        *[(f"mail jane at example dot {e} please", "email", f"jane at example dot {e}") for e in "ai jp au ru app info museum xn--p1ai".split()],
+        ("jane arroba example punto me", "email", "jane arroba example punto me"),
+    ]:
+        found, _ = spans(text)
+        assert found == [(kind, part)], (text, found)
+    for text in ["We are at this point in time, so one 12 or two 14.", "He stood at the dot in the middle.", "In 2019 one of 300 dot 4 dot 5 dot 6 was 7.", "from one 1 to two 2 at point 3", "Look at main.py and at build.sh first."]:
+        base, added = pii.find(text)
+        assert not any(base.values()) and not any(added.values()), (text, base, added)
