@@ -131,7 +131,8 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def repeat_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents in the mix, each as often as it has copies."""
-    given = docs.select(F.struct(*docs.columns).alias("_doc"), "doc_id", "text", "source", F.monotonically_increasing_id().alias("_rid"))
+    numbered = stage(docs.select(F.struct(*docs.columns).alias("_doc"), F.monotonically_increasing_id().alias("_rid")), "numbered")
+    given = numbered.select("_rid", *[F.col(f"_doc.{c}").alias(c) for c in ("doc_id", "text", "source")])
     copies = stage(mix(given, carry=["_rid"], key=["doc_id"]).select("_rid", "copies").where("copies > 0"), "copies")
-    out = given.select("_doc", "_rid").join(copies, "_rid").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    out = numbered.join(copies, "_rid").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return out.select("_doc.*")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import Rolling, U, Words, chunks, components, mix, stage
+from siltstone.llm.common import Rolling, U, Words, chunks, components, discard, mix, stage
 
 SHINGLE, PERCENT = 5, 85
 #: Two sets at the threshold share no band with a probability of (1 - 0.85 ** 8) ** 44, below 1e-6.
@@ -190,7 +190,7 @@ def compared(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.groupBy("key", "i", "j").applyInArrow(links, "a long, b long")
 
 
-def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", percent: int = PERCENT, number: str | None = None) -> DataFrame:
     """One row per row of ``df``: rid, id, n_shingles, component_id, kept, first.
 
     Rows with equal sets are one class, and bands are joined between classes only. In rounds, a bucket's
@@ -199,13 +199,16 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", perce
     the pairs of different components, those that are left are compared with each other. So no link is lost, while a bucket of near copies costs about as many comparisons as it has members. Comparisons
     are of full sets.
 
-    ``rid`` numbers the rows of ``df`` as ``monotonically_increasing_id`` does. ``component_id`` is the
+    ``rid`` is the column ``number``, a number of each row that is stored, so that every reading has the same;
+    without one, rows are numbered and staged here. ``component_id`` is the
     least non-null id reachable (null: none), ``kept`` is id = component_id (null id: false), ``first``
     is true for one row of each component. A null, empty or wordless text has an empty set, links with
     nothing and is its own component. Repeated rows link. Other columns aren't read. An empty table
     gives an empty result. A very long text is sketched whole by one task.
     """
-    docs = df.select(F.monotonically_increasing_id().alias("rid"), F.col(id).alias("id"), F.col(text).cast("binary").alias("text"))
+    docs = df.select((F.col(number) if number else F.monotonically_increasing_id()).alias("rid"), F.col(id).alias("id"), F.col(text).cast("binary").alias("text"))
+    # a second reading may be split, and so numbered, in another way
+    docs = docs if number else stage(docs, "numbered")
     kind = docs.schema["id"].dataType.simpleString()
     rows = stage(docs.mapInArrow(_sketch, f"rid long, id {kind}, n long, sig long, sig2 long, bands array<long>, bits array<long>"), "sketches")
     plain = rows.drop("bands", "bits")
@@ -214,19 +217,23 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", perce
     heads = rows.join(classes.select(F.col("node").alias("rid")), "rid", "left_semi").withColumnRenamed("rid", "node")
     members = heads.select("node", F.explode("bands").alias("key"))
     multi = members.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    members = stage(members.join(multi, "key"), "buckets")
-    weights = members.groupBy("node").agg(F.sum("c").alias("weight"))
-    members = stage(members.select("node", "key").join(heads.select("node", "n", "bits").join(weights, "node"), "node"), "members")
+    buckets = stage(members.join(multi, "key"), "buckets")
+    weights = buckets.groupBy("node").agg(F.sum("c").alias("weight"))
+    members = stage(buckets.select("node", "key").join(heads.select("node", "n", "bits").join(weights, "node"), "node"), "members")
+    discard(buckets)
     wanted = members.select(F.col("node").alias("rid")).distinct()
     sets = stage(docs.select("rid", "text").join(wanted, "rid", "left_semi").mapInArrow(_sets, "node long, set binary"), "sets")
+    if not number:
+        discard(docs)
     near = F.expr(f"component <> d AND 100 * least(n, m) >= {int(percent)} * greatest(n, m)") & alike(percent)
-    links, found, before = None, None, None
+    links, found, before, source = None, None, None, members
     while True:
         rest = members if found is None else members.join(found, "node", "left")
         rest = rest.withColumn("component", F.col("node") if found is None else F.coalesce("component", "node"))
         sizes = rest.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("s")).where("c * c > s")
         members = stage(rest.join(sizes.select("key", "c"), "key"), "rest")
         left = sizes.agg(F.coalesce(F.sum(F.col("c") * F.col("c") - F.col("s")), F.lit(0))).first()[0]
+        discard(source)
         every = left == 0 or (before is not None and 2 * left > before)
         before = left
         if every:
@@ -236,6 +243,7 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", perce
         else:
             leaders = members.groupBy("key").agg(F.max(F.struct("weight", "node", "n", "component", "bits")).alias("l")).select("key", F.col("l.node").alias("b"), F.col("l.n").alias("m"), F.col("l.component").alias("d"), F.col("l.bits").alias("bits_b"))
             led = stage(members.join(leaders, "key"), "led")
+            discard(members)
             pairs = led.where(near)
         fresh = stage(verified(pairs.select(F.col("node").alias("a"), "b").distinct(), sets, percent), "verified")
         links = fresh if links is None else links.union(fresh)
@@ -244,7 +252,7 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", perce
         found = stage(components(links), "components")
         if every:
             break
-        members = led.where("node <> b").select("node", "n", "bits", "key", "weight")
+        members, source = led.where("node <> b").select("node", "n", "bits", "key", "weight"), led
     labels = classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = labels.groupBy("component").agg(F.min("low").alias("component_id"), F.min(F.struct(F.col("low").isNull().alias("z"), "low", "node"))["node"].alias("head"))
     labels = labels.join(least, "component").select("n", "sig", "sig2", "node", "low", "component_id", "head")
@@ -264,8 +272,9 @@ def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without those that are near copies of another: one of each component stays."""
-    kept = stage(near_duplicates(docs).where("first").select(F.col("rid").alias("_rid")), "kept")
-    numbered = docs.select(F.struct(*docs.columns).alias("_doc"), F.monotonically_increasing_id().alias("_rid"))
+    numbered = stage(docs.select(F.struct(*docs.columns).alias("_doc"), F.monotonically_increasing_id().alias("_rid")), "numbered")
+    given = numbered.select("_rid", F.col("_doc.doc_id").alias("doc_id"), F.col("_doc.text").alias("text"))
+    kept = stage(near_duplicates(given, number="_rid").where("first").select(F.col("rid").alias("_rid")), "kept")
     return numbered.join(kept, "_rid", "left_semi").select("_doc.*")
 
 

@@ -194,16 +194,17 @@ def repeated_substrings(df: DataFrame, id: str = "doc_id", text: str = "text", m
     stay whole. Only the two columns named are read. An empty table gives an empty result.
     """
     spark = df.sparkSession
-    given = df.select(F.col(id).alias("id"), F.coalesce(F.col(id).cast("long"), F.lit(LAST)).alias("o"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"), F.monotonically_increasing_id().alias("rid"))
+    given = df.select(F.col(id).alias("id"), F.coalesce(F.col(id).cast("long"), F.lit(LAST)).alias("o"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"))
     given = given.withColumn("tk", F.unhex(F.md5("text")))
-    rows = stage(given.select("id", "o", "tk", "rid", F.octet_length("text").cast("long").alias("n_bytes")), "rows")
-    heads = rows.groupBy("tk").agg(F.min(F.struct("o", "rid")).alias("h")).select("h.o", "h.rid")
+    rows = stage(given.select("id", "o", "tk", F.octet_length("text").cast("long").alias("n_bytes")), "rows")
+    heads = rows.groupBy("tk").agg(F.min("o").alias("head_o")).select("head_o", F.col("tk").alias("head"))
     buckets = min(max(tasks(spark), 4), 100_000)
     name, path = f"siltstone_{uuid.uuid4().hex}", scratch(spark, "texts")
-    # joined on o alone, by which the texts are dealt out anyway: they are moved once
-    heads = heads.select(F.col("o").alias("head_o"), F.col("rid").alias("head"))
-    texts = given.select("o", "rid", "tk", "text").repartition(buckets, "o")
-    texts = texts.join(heads, (F.col("o") == F.col("head_o")) & (F.col("rid") - F.col("head") == 0), "left_semi")
+    # joined on o alone, by which the texts are dealt out anyway: they are moved once; the texts are known by their
+    # digests, as a number of a row may be another in a second reading, and numbered where they are stored
+    texts = given.select("o", "tk", "text").repartition(buckets, "o")
+    texts = texts.join(heads, (F.col("o") == F.col("head_o")) & (F.greatest("tk", "head") == F.least("tk", "head")), "left_semi")
+    texts = texts.groupBy("o", "tk").agg(F.first("text").alias("text")).select("o", F.monotonically_increasing_id().alias("rid"), "tk", "text")
     texts.write.bucketBy(buckets, "o").option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
     texts = spark.table(name)
     total = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]

@@ -336,3 +336,34 @@ def test_recall(spark):
     v /= np.linalg.norm(v, axis=1, keepdims=True)
     n = ((v @ v.T) >= 0.95).sum(1) - 1
     assert bag(caps.cosine_links(df), "id", "n_links") == Counter(enumerate(n.tolist()))
+
+
+def test_readings_that_are_split_in_another_way(spark, tmp_path, monkeypatch):
+    """Between two jobs the session may come to split the same files in another way, as when executors are lost."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=60)) for _ in range(30)]
+    rows = [(i, texts[i % 30] + (" more" if i < 30 else ""), f"s{i % 3}", len(texts[i % 30])) for i in range(90)] + [(95, texts[3], "s0", 119)] * 2
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long").repartition(6).write.parquet(path)
+    docs = spark.read.parquet(path)
+
+    def found():
+        cut = substrings.repeated_substrings(docs)
+        near = neardup.near_duplicates(docs)
+        return [bag(cut, "id", "n_removed", "kept_sha256"), bag(near, "id", "n_shingles", "component_id", "kept"), bag(neardup.keep_first(spark, docs, ""), *docs.columns), bag(mixing.repeat_documents(spark, docs, ""), *docs.columns)]
+
+    want, plain = found(), common.stage
+    assert sum(want[0].values()) == 92 and sum(want[2].values()) == 30
+    name = "spark.sql.files.maxPartitionBytes"
+
+    def moved(df, label):
+        out = plain(df, label)
+        spark.conf.set(name, "300" if spark.conf.get(name) != "300" else "128m")
+        return out
+
+    for module in (substrings, neardup, mixing):
+        monkeypatch.setattr(module, "stage", moved)
+    try:
+        assert found() == want
+    finally:
+        spark.conf.unset(name)
