@@ -2,12 +2,12 @@
 
 A filter is a direction f; a unit vector v passes it if <v, f> is at least v's bound. The directions are
 product codes: after a random rotation the dimensions are cut into two blocks, each with its own random code,
-and a filter is a pair of codewords, one of each block. A vector's bound is such that it passes ``LISTED``
-filters of each code: one bound for all would leave some vectors without any, and lose their links. Its
+and a filter is a pair of codewords, one of each block. A vector's bound is such that it passes as many
+filters of each code as ``planned`` says: one bound for all would leave some vectors without any, and lose their links. Its
 filters are list-decoded: the best sums come from the best codewords of either block, whatever the size of
 the code. Vectors that pass a filter meet in its bucket, and pairs there are verified.
 
-Measured over 8000 pairs of cosine 0.95 to 0.98 in 64 dimensions: 11 shared filters on average, none missed.
+Measured with four codes and lists of four over 8000 pairs of cosine 0.95 to 0.98 in 64 dimensions: 11 shared filters on average, none missed.
 """
 
 from __future__ import annotations
@@ -22,7 +22,10 @@ from pyspark.sql import functions as F
 from siltstone.llm.common import components, stage
 
 COSINE = 0.95
+#: The least number of codes, and the filters of each that a vector passes.
 CODES, LISTED = 4, 4
+#: The chance that a pair at the threshold shares no filter stays below this; pairs by which it is estimated.
+MISSED, TRIALS = 1e-6, 4096
 #: Vectors at random in a bucket, which sets how many filters there are; vectors of a bucket that a task has at once.
 BUCKET, BLOCK = 64, 1024
 SEED = 20240607
@@ -55,6 +58,40 @@ def decode(v: np.ndarray, first: np.ndarray, second: np.ndarray, listed: int = L
     return np.sort(np.take_along_axis(names, np.argsort(-sums, axis=1, kind="stable")[:, :listed], 1), axis=1)
 
 
+def planned(dimensions: int, n: int, cosine: float = COSINE) -> tuple[int, int, int]:
+    """Codewords of a block, codes, and filters of each code a vector passes, for ``n`` vectors.
+
+    All pairs at one cosine are alike to a randomly turned code, and codes are independent: if one code
+    misses such a pair with probability p, k codes miss it with p ** k. p is estimated from above by pairs
+    drawn at the threshold. Narrow caps have small buckets but need many codes, most of all in few
+    dimensions, so of the widths and list lengths the one with the least work is taken.
+    """
+    most = max(32, int((n * LISTED / BUCKET) ** 0.5))
+    if dimensions == 1:  # all vectors are one of two
+        return 32, CODES, LISTED
+    rng = np.random.default_rng(SEED)
+    a, b = (scaled(rng.standard_normal((TRIALS, dimensions))) for _ in range(2))
+    b = scaled(b - (a * b).sum(1, keepdims=True) * a)
+    b = cosine * a + (1 - cosine * cosine) ** 0.5 * b
+    plans, words = [], 32
+    while True:
+        for listed in (LISTED, 2 * LISTED, 4 * LISTED):
+            missed = 0
+            for seed, at in enumerate(range(0, TRIALS, TRIALS // 4)):
+                code = codes(dimensions, words, SEED - 1 - seed)
+                x, y = (decode(v[at : at + TRIALS // 4], *code, listed) for v in (a, b))
+                missed += int((~(x[:, :, None] == y[:, None, :]).any((1, 2))).sum())
+            p = (missed + 3 * missed**0.5 + 5) / TRIALS
+            if p < 1:
+                k = max(CODES, int(np.ceil(np.log(MISSED) / np.log(p))))
+                # a row for each filter, and what it is compared with there
+                plans.append((k * listed * (1 + n * listed / (BUCKET * words * words)), words, k, listed))
+        if words == most:
+            break
+        words = min(2 * words, most)
+    return min(plans)[1:]
+
+
 def scaled(x: np.ndarray) -> np.ndarray:
     """Rows of finite numbers, not all zero, scaled to length 1 in double precision."""
     x = x.astype(np.float64)
@@ -81,8 +118,7 @@ def cosine_links(df: DataFrame, id: str = "vec_id", vector: str = "embedding", c
     links, narrow = None, df.schema[vector].dataType.simpleString() == "array<float>"
     # one row per length of vectors, as a rule one
     for size, n in sorted(heads.groupBy("size").agg(F.count("*").alias("n")).collect()):
-        words = max(32, int((n * LISTED / BUCKET) ** 0.5))
-        found = _links(rows.select(F.col("rid").alias("node"), "v").join(heads.where(F.col("size") == size).select("node", "c"), "node"), size, words, cosine, narrow)
+        found = _links(rows.select(F.col("rid").alias("node"), "v").join(heads.where(F.col("size") == size).select("node", "c"), "node"), size, planned(size, n, cosine), cosine, narrow)
         links = found if links is None else links.union(found)
     links = stage(links, "links") if links is not None else df.sparkSession.createDataFrame([], "a long, b long, ca long, cb long")
     number = links.select(F.col("a").alias("node"), F.col("cb").alias("n")).union(links.select("b", "ca")).groupBy("node").agg(F.sum("n").alias("other"))
@@ -98,9 +134,10 @@ def cosine_links(df: DataFrame, id: str = "vec_id", vector: str = "embedding", c
     return out.select("rid", "id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"), (lone | F.coalesce("stays", F.lit(False))).alias("first"))
 
 
-def _links(vectors: DataFrame, dimensions: int, words: int, cosine: float, narrow: bool) -> DataFrame:
+def _links(vectors: DataFrame, dimensions: int, plan: tuple[int, int, int], cosine: float, narrow: bool) -> DataFrame:
     """Verified links (a, b, ca, cb) between the classes of ``vectors`` (node, v, c)."""
-    every = [codes(dimensions, words, SEED + i) for i in range(CODES)]
+    words, number, listed = plan
+    every = [codes(dimensions, words, SEED + i) for i in range(number)]
     kind = "<f4" if narrow else "<f8"
 
     def filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,7 +146,7 @@ def _links(vectors: DataFrame, dimensions: int, words: int, cosine: float, narro
                 part = batch.slice(at, 512)
                 v = part.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dimensions)
                 unit = scaled(v)
-                f = np.concatenate([decode(unit, *code) + i * words * words for i, code in enumerate(every)], axis=1)
+                f = np.concatenate([decode(unit, *code, listed) + i * words * words for i, code in enumerate(every)], axis=1)
                 edges = np.arange(0, f.size + 1, f.shape[1], dtype=np.int32)
                 yield pa.RecordBatch.from_arrays([part.column("node"), part.column("c"), pa.array([x.astype(kind).tobytes() for x in v], pa.binary()), pa.ListArray.from_arrays(edges, pa.array(f.ravel(), pa.int64()))], ["node", "c", "v", "filters"])
 

@@ -367,3 +367,21 @@ def test_readings_that_are_split_in_another_way(spark, tmp_path, monkeypatch):
         assert found() == want
     finally:
         spark.conf.unset(name)
+
+
+@pytest.mark.parametrize(("dimensions", "n"), [(64, 10**8), (16, 10**8), (8, 10**6)])
+def test_caps_of_large_tables_miss_no_pair(dimensions, n):
+    """With the filters that a table of n vectors gets, pairs at the threshold meet, drawn apart from the plan's own."""
+    words, number, listed = caps.planned(dimensions, n)
+    rng = np.random.default_rng(77)
+    a, b = (caps.scaled(rng.standard_normal((1000, dimensions))) for _ in range(2))
+    b = caps.scaled(b - (a * b).sum(1, keepdims=True) * a)
+    b = caps.COSINE * a + (1 - caps.COSINE**2) ** 0.5 * b
+    met = np.zeros(len(a), bool)
+    for i in range(number):
+        code = caps.codes(dimensions, words, caps.SEED + i)
+        x, y = (caps.decode(v[~met], *code, listed) for v in (a, b))
+        met[~met] = (x[:, :, None] == y[:, None, :]).any((1, 2))
+        if met.all():
+            break
+    assert met.all()
