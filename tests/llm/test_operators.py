@@ -320,6 +320,22 @@ def test_cosine_links(spark):
     assert caps.cosine_links(df.limit(0)).count() == 0
 
 
+def test_cosine_links_of_one_cluster(spark, monkeypatch):
+    """All vectors in the same buckets, of more blocks than one: what blocks give out grows with the vectors."""
+    rng = np.random.default_rng(15)
+    v = rng.standard_normal(16) + 0.12 * rng.standard_normal((400, 16))
+    v[::7] += 0.3 * rng.standard_normal((58, 16))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    near = u @ u.T >= 0.95
+    low = reachable(len(v), [(a, b) for a, b in zip(*np.nonzero(near), strict=True) if a > b])
+    want = Counter((i, int(near[i].sum()) - 1, low[i]) for i in range(len(v)))
+    for block, strip in ((64, 10), (4096, 512)):
+        monkeypatch.setattr(caps, "BLOCK", block)
+        monkeypatch.setattr(caps, "STRIP", strip)
+        assert bag(caps.cosine_links(df), "id", "n_links", "component_id") == want
+
+
 def test_list_decoding():
     rng = np.random.default_rng(6)
     v = rng.standard_normal((50, 10))
