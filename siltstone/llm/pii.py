@@ -180,11 +180,21 @@ def spelled_digits(runs: list[list[re.Match]], least: int, trim: bool = False) -
 
 def signs(text: str) -> list[tuple[int, int, str]]:
     edits = [(*m.span(), "@") for m in AT_SIGN.finditer(text)] + [(*m.span(), ".") for m in DOT_SIGN.finditer(text)]
-    return sorted(edits)
+    return apart(edits)
+
+
+def apart(edits: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """The edits in order, none of them over another: what an earlier one covers is cut off a later one's beginning."""
+    out: list[tuple[int, int, str]] = []
+    for a, b, new in sorted(set(edits)):
+        a = max(a, out[-1][1]) if out else a
+        if a < b:
+            out.append((a, b, new))
+    return out
 
 
 def spoken(text: str) -> list[tuple[int, int, str]]:
-    edits = []
+    edits, ends = [], set()
     for m in SPOKEN.finditer(text):
         end, dot = m["end"].lower(), m["dot"].strip().lower()
         if m["at"].strip().lower() == "at" and (end in PROSE if dot in ("dot", "point") else dot == "." and end not in USUAL):
@@ -192,8 +202,10 @@ def spoken(text: str) -> list[tuple[int, int, str]]:
         edits.append((*m.span("at"), "@"))
         edits += [(*d.span(), ".") for d in SPOKEN_DOT.finditer(text, m.start("labels"), m.end("labels"))]
         edits.append((*m.span("dot"), "."))
-    edits += [(*m.span(), ".") for m in NAMED_DOT.finditer(text)]
-    return sorted(edits)
+        ends.add(m.end())
+    # a dot right after an address's end doesn't lengthen it
+    edits += [(*m.span(), ".") for m in NAMED_DOT.finditer(text) if m.start() not in ends]
+    return apart(edits)
 
 
 def deobfuscated(text: str) -> Iterator[Rewritten]:

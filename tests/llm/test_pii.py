@@ -109,3 +109,49 @@ def test_runs_of_few_names_and_other_endings():
     for text in ["We are at this point in time, so one 12 or two 14.", "He stood at the dot in the middle.", "In 2019 one of 300 dot 4 dot 5 dot 6 was 7.", "from one 1 to two 2 at point 3", "Look at main.py and at build.sh first."]:
         base, added = pii.find(text)
         assert not any(base.values()) and not any(added.values()), (text, base, added)
+
+
+DISGUISED = [
+    ("email", "jane at example dot com"), ("email", "jane [at] example [dot] com"), ("email", "j.doe at mail dot example dot org"), ("email", "jane dot doe at example dot net"), ("email", "j(at) example (dot)com"),
+    ("email", "jоhn＠exаmple．com"), ("ip", "192 dot 168 dot 0 dot 1"), ("ip", "one nine two dot one six eight dot zero dot one"), ("phone", "plus one three one nine five five five five one three two"), ("card", "four one one one one one one one one one one one one one one one"),
+]
+BEFORE = st.lists(st.sampled_from(["the", "at", "look at", "in", "point", "é", "(at)", "write to", "he [was]", "dotted", "x,"]), max_size=4).map(" ".join)
+AFTER = st.lists(st.sampled_from(["the", "at noon", "at home", "dot the", "in", "point taken", "é", "and at", "(dots)", "at last"]), max_size=4).map(" ".join)
+
+
+@settings(max_examples=400, deadline=None)
+@given(BEFORE, st.sampled_from(DISGUISED), AFTER)
+def test_disguised_among_words(before, what, after):
+    """Whatever stands beside it, a disguised identifier is found, from its first character to its last."""
+    kind, part = what
+    text = f"{before} and {part} {after}."
+    base, added = pii.find(text)
+    assert any(text[a:b] == part for a, b in added[kind]), (text, added)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab @.", max_size=20), st.lists(st.tuples(st.integers(0, 25), st.integers(0, 6), st.text(alphabet="xy", max_size=3)), max_size=5))
+def test_rewritten_text_maps_back(text, edits):
+    """Edits of any places: what is left of the source maps to itself, what is new to what it replaces."""
+    edits = pii.apart([(a, min(a + n, len(text)), new) for a, n, new in edits if a < len(text)])
+    out = pii.Rewritten(text)
+    out.replace(edits)
+    want, at = [], 0
+    for a, b, new in edits:
+        assert at <= a < b
+        want += [(text[k], k, k + 1) for k in range(at, a)] + [(c, a, b) for c in new]
+        at = b
+    want += [(text[k], k, k + 1) for k in range(at, len(text))]
+    assert out.text == "".join(c for c, _, _ in want)
+    if edits:
+        assert [out.source((k, k + 1)) for k in range(len(want))] == [(a, b) for _, a, b in want]
+
+
+def test_words_that_follow_an_address():
+    for text, part in [
+        ("please write jane at example dot com at noon", "jane at example dot com"),
+        ("ask bob dot ray at mail dot com at once", "bob dot ray at mail dot com"),
+        ("x at a dot com at b dot com", "x at a dot com"),
+        ("see a(at) (dot) at b(at)c (dot) com", "b(at)c (dot) com"),
+    ]:
+        assert spans(text)[0] == [("email", part)], text
