@@ -401,3 +401,24 @@ def test_caps_of_large_tables_miss_no_pair(dimensions, n):
         if met.all():
             break
     assert met.all()
+
+
+def test_mixing_rates_against_a_loop(spark):
+    """Rates by bisection of each source's dual, and copies that add up to what the rates say."""
+    rng = random.Random(12)
+    rows = [(i, "w " * rng.choice([0, 1, 3, 9, 40, 200, 1000]), rng.choice(["a", "b", "b", "b", "c", "d", None])) for i in range(1500)]
+    found = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), carry=["doc_id"]).collect()
+    for s in {r.source for r in found}:
+        own = [r for r in found if r.source == s]
+        sizes = [r["size"] for r in own]
+        mean, target = sum(sizes) / sum(x > 0 for x in sizes), own[0].target
+        low, high = -60 * mean, 60 * mean
+        for _ in range(200):
+            lam = (low + high) / 2
+            low, high = (lam, high) if sum(x * min(3.0, np.exp(min(lam * x / mean, 2))) for x in sizes) < target else (low, lam)
+        if target < 3 * sum(sizes):
+            assert all(r.rate == pytest.approx(min(3.0, np.exp(min(lam * r["size"] / mean, 2))), rel=1e-5) for r in own)
+        else:
+            assert all(r.rate == (3 if r["size"] else 1) for r in own)
+        assert all(abs(r.copies - r.rate) < 2 or r["size"] == 0 for r in own)
+        assert abs(sum(r.taken for r in own) - target) <= max(x for x in sizes) / 2 + 1
