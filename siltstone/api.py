@@ -1,50 +1,88 @@
-"""Requests by name: ``call(store, action, params)`` gives what a JSON interface answers."""
+"""Requests by name: ``call(store, action, params)`` gives what a JSON interface answers.
+
+Lists are whole unless ``limit`` is given, or ``offset``: then they are pages, {"rows", "has_more"}. Actions on
+objects, packs and the journal give pages always, as their tables have no bound.
+"""
 
 from __future__ import annotations
 
 import base64
 import json
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone import tasks
+from siltstone.functions.codecs import parity_size
+from siltstone.functions.text import pack_number, pack_path
 from siltstone.operators import journal as j
 from siltstone.operators import objects as o
-from siltstone.operators import tree
+from siltstone.operators import packs, tree
 from siltstone.sources.store import Store, StoreError
 
+HASH = re.compile(r"[0-9a-fA-F]{64}")
+
 
-def rows(df: DataFrame, limit: int = 5000) -> list[dict]:
-    """A page of rows; interfaces give pages, never whole tables."""
-    return [json.loads(r) for r in df.limit(limit).toJSON().collect()]
+def rows(df: DataFrame) -> list[dict]:
+    """All rows, a partition at a time."""
+    return [json.loads(r) for r in df.toJSON().toLocalIterator()]
 
 
 def page(df: DataFrame, p: dict, default: int, most: int = 5000) -> dict:
     n, at = min(int(p.get("limit", default)), most), int(p.get("offset", 0))
     found = rows(df.offset(at).limit(n + 1))
-    return {"rows": found[:n], "has_more": len(found) > n}
+    return {"rows": found[:n], "has_more": len(found) > n, "offset": at, "limit": n}
 
 
-def _object(store: Store, p: dict) -> DataFrame:
-    if len(p["hash"]) != 64:
+def listed(df: DataFrame, p: dict) -> list[dict] | dict:
+    return page(df, p, 5000, 1 << 30) if "limit" in p or "offset" in p else rows(df)
+
+
+def _hash(p: dict) -> str:
+    if not HASH.fullmatch(p["hash"]):
         raise StoreError("a hash has 64 hexadecimal digits")
-    return store.table("objects").where(F.col("hash") == p["hash"].lower())
+    return p["hash"].lower()
+
+
+def _object(store: Store, p: dict) -> DataFrame:
+    return store.table("objects").where(F.col("hash") == _hash(p))
+
+
+def _located(store: Store, p: dict) -> list[dict]:
+    """Where an object is, loose before packed."""
+    found = _object(store, p).groupBy("hash", "storage", "pack_num").agg(F.max("type").alias("type"), F.max("size").alias("size"), F.sum(F.octet_length("payload")).alias("stored"), F.max("dat_offset").alias("dat_offset"))
+    return rows(found.orderBy("storage").limit(1))
 
 
 def _content(store: Store, p: dict) -> dict:
     most = int(p.get("max_bytes", 65536))
-    r = _object(store, p).select(F.substring("payload", 1, most).alias("x"), "size").first()
-    if r is None:
+    out, size = bytearray(), None
+    for r in _object(store, p).where(F.col("at") < most).select("at", "size", F.substring("payload", 1, most).alias("x")).orderBy("part").toLocalIterator():
+        out += b"\0" * (r["at"] - len(out)) + bytes(r["x"])
+        size = r["size"]
+    if size is None:
         raise StoreError("no such object")
-    return {"content": base64.b64encode(bytes(r["x"])).decode(), "size": r["size"], "truncated": r["size"] > most}
+    out = (out + b"\0" * (min(most, size) - len(out)))[:most]
+    return {"content": base64.b64encode(bytes(out)).decode(), "size": size, "truncated": size > most}
 
 
-def _children(store: Store, p: dict) -> list[dict]:
+def _layout(store: Store, p: dict) -> dict:
+    """An object's parts: where each lies in it, and the bytes of its payload and parity."""
+    found = _object(store, p).orderBy("part").select("type", "size", "storage", "part", "at", F.octet_length("payload").alias("payload"), F.octet_length("parity").alias("parity"))
+    parts = rows(found)
+    if not parts:
+        raise StoreError("no such object")
+    segments = [{"kind": kind, "part": r["part"], "offset": r["at"], "size": r[kind]} for r in parts for kind in ("payload", "parity") if r.get(kind)]
+    expected = sum(parity_size(r.get("payload") or 0) for r in parts)
+    return {k: parts[0][k] for k in ("type", "size", "storage")} | {"segments": segments, "parity_expected": expected}
+
+
+def _children(store: Store, p: dict) -> list[dict] | dict:
     d = store.dirents(int(p["id"]))
     x = tree.children(d, store.nodes(int(p["id"])), int(p.get("parent_node", 0)))
-    return rows(tree.with_children_flag(x.select("snap_id", "node_id", "name", "type", "size"), d).orderBy("name"))
+    return listed(tree.with_children_flag(x.select("snap_id", "node_id", "name", "type", "size"), d).orderBy("name"), p)
 
 
 def _journal(store: Store, p: dict) -> dict:
@@ -53,19 +91,82 @@ def _journal(store: Store, p: dict) -> dict:
     return {**page(entries.orderBy(F.col("timestamp").desc(), "op_id"), p, 100), "orphans": unfinished}
 
 
+def _list(store: Store, p: dict) -> list[dict] | dict:
+    """Snapshots with their tags, the newest marked, and how long their note is."""
+    tags: dict[int, list[str]] = {}
+    for t in store.tags():
+        tags.setdefault(t["snap_id"], []).append(t["name"])
+    found, head = listed(store.snapshots().orderBy("snap_id"), p), store.head
+    for r in found["rows"] if isinstance(found, dict) else found:
+        r |= {"tags": sorted(tags.get(r["snap_id"], [])), "is_head": r["snap_id"] == head}
+    return found
+
+
+def _entries(store: Store, p: dict, order: str) -> dict:
+    number = pack_number(p["name"])
+    if number is None:
+        raise StoreError(f"no name of a pack: {p['name']!r}")
+    if str(number) not in store.manifest["packs"]:
+        raise StoreError(f"no pack {p['name']}")
+    found = store.entries().where(F.col("pack_num") == number)
+    return {**page(found.orderBy(order), p, 5000), "count": found.count()}
+
+
+def _scan(store: Store, p: dict) -> dict:
+    meta = {r["pack_num"]: r["bytes"] for r in packs.meta(store.entries()).collect()} if store.manifest["packs"] else {}  # a row per pack
+    return {
+        "snapshot_files": len(store.ids), "loose_objects": store.loose().where("part = 0").count(),
+        "packs": [{"name": pack_path(n), "size": b} for n, b in sorted(meta.items())], "tag_count": len(store.tags()), "format": store._get("format"),
+    }
+
+
+def _by_type(df: DataFrame) -> list[dict]:
+    """All four types, those without objects as zeros."""
+    found = df.where("part = 0").groupBy("type").agg(F.count("*").alias("count"), F.sum("size").alias("bytes"), F.sum(F.when(F.col("storage") == "pack", 1).otherwise(0)).alias("packed"), F.sum(F.when(F.col("storage") == "loose", 1).otherwise(0)).alias("loose"))
+    have = {r["type"]: r for r in rows(found)}
+    return [have.get(t, {"type": t, "count": 0, "bytes": 0, "packed": 0, "loose": 0}) for t in range(1, 5)]
+
+
+def _loose_stats(store: Store, p: dict) -> dict:
+    loose = store.loose()
+    skip = loose.where("part = 0 AND skip <> 0").agg(F.count("*").alias("count"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
+    types = _by_type(loose)
+    return {"count": sum(t["count"] for t in types), "bytes": sum(t["bytes"] for t in types), "per_type": types, "skip": rows(skip)[0]}
+
+
+def _loose_list(store: Store, p: dict) -> dict:
+    found = store.loose().groupBy("hash").agg(F.max("type").alias("type"), F.max("size").alias("uncompressed_size"), F.sum(F.octet_length("payload")).alias("compressed_size"), F.max("skip").alias("skip"))
+    return page(found.orderBy("hash"), p, 5000)
+
+
+def _index(store: Store, p: dict) -> dict:
+    """A page of the index over all packs, and how many hashes begin with each byte or a lower one."""
+    e = store.entries()
+    fanout = [r["cumulative"] for r in packs.fanout(e).orderBy("byte").collect()]  # 256 rows
+    found = page(e.select("hash", "pack_num", "dat_offset", "entry_index").orderBy("hash"), p, 1000)
+    return {"header": {"entry_count": fanout[-1], "pack_count": len(store.manifest["packs"])}, "fanout": fanout, **found}
+
+
+def _search(store: Store, p: dict) -> dict:
+    most = int(p.get("max_results", 500))
+    found = rows(store.search(p["query"], int(p["id"]) if "id" in p else None, most + 1))
+    return {"rows": found[:most], "count": len(found[:most]), "truncated": len(found) > most}
+
+
 def _summary(store: Store, p: dict) -> dict:
+    """Seven answers at once; one that fails is null."""
     out: dict = {}
-    for name in ("stats", "list", "tags", "policy"):
+    for name in ("stats", "list", "tags", "policy", "scan", "loose_stats", "repo_stats"):
         try:
             out[name] = ACTIONS[name](store, {})
-        except StoreError:
+        except Exception:  # whatever it was, the other answers count
             out[name] = None
     return out
 
 
 ACTIONS: dict[str, Callable[[Store, dict], object]] = {
     "stats": lambda s, p: rows(s.stats())[0],
-    "list": lambda s, p: rows(s.snapshots().orderBy("snap_id")),
+    "list": _list,
     "snap": lambda s, p: {"header": rows(s.snapshots().where(F.col("snap_id") == int(p["id"]))), "nodes": page(s.nodes(int(p["id"])).orderBy("node_id"), p, 1000)},
     "snap_header": lambda s, p: rows(s.snapshots().where(F.col("snap_id") == int(p["id"]))),
     "snap_dir_children": _children,
@@ -75,19 +176,25 @@ ACTIONS: dict[str, Callable[[Store, dict], object]] = {
     "tag_rename": lambda s, p: s.rename_tag(p["old"], p["new"]),
     "policy": lambda s, p: s.policy,
     "save_policy": lambda s, p: s.save_policy(p),
-    "object_locate": lambda s, p: rows(_object(s, p).select("hash", "type", "size")),
+    "object_locate": _located,
     "object_content": _content,
-    "object_refs": lambda s, p: rows(o.references(s.live_nodes()).where(F.col("hash") == p["hash"]).groupBy("snap_id", "node_id").agg(F.min("field").alias("field"))),
-    "diff": lambda s, p: rows(s.diff(int(p["id1"]), int(p["id2"]))),
-    "ls": lambda s, p: rows(s.ls(int(p["id"]), p.get("path", ""), bool(p.get("recursive")), p.get("type", ""), p.get("glob", ""))),
-    "search": lambda s, p: rows(s.search(p["query"], int(p["id"]) if "id" in p else None, int(p.get("max_results", 500)))),
-    "scan": lambda s, p: {"snapshots": s.snapshots().count(), "objects": s.table("objects").count(), "tags": len(s.tags())},
-    "repo_stats": lambda s, p: rows(s.table("objects").groupBy("type").agg(F.count("*").alias("objects"), F.sum("size").alias("bytes"))),
-    "global_pack_index": lambda s, p: page(s.table("objects").select("hash", "type", "size").orderBy("hash"), p, 1000),
+    "object_layout": _layout,
+    "object_refs": lambda s, p: listed(o.references(s.live_nodes()).where(F.col("hash") == _hash(p)).groupBy("snap_id", "node_id").agg(F.min("field").alias("field")).orderBy("snap_id", "node_id"), p),
+    "diff": lambda s, p: listed(s.diff(int(p["id1"]), int(p["id2"])), p),
+    "ls": lambda s, p: listed(s.ls(int(p["id"]), p.get("path", ""), bool(p.get("recursive")), p.get("type", ""), p.get("glob", "")), p),
+    "search": _search,
+    "scan": _scan,
+    "pack_entries": lambda s, p: _entries(s, p, "entry_index"),
+    "pack_index": lambda s, p: _entries(s, p, "hash"),
+    "all_pack_entries": lambda s, p: {**page(s.entries().orderBy("pack_num", "entry_index"), p, 5000), "count": s.entries().count()},
+    "loose_list": _loose_list,
+    "loose_stats": _loose_stats,
+    "repo_stats": lambda s, p: {"per_type": _by_type(s.table("objects")), "packs": len(s.manifest["packs"])},
+    "global_pack_index": _index,
     "repo_summary": _summary,
     "journal": _journal,
     "task_start": lambda s, p: {"task_id": tasks.start(s, p["command"], p.get("params"))},
-    "task_list": lambda s, p: rows(tasks.table(s)),
+    "task_list": lambda s, p: listed(tasks.table(s), p),
     "task_status": lambda s, p: tasks.status(s, p["task_id"]),
     "task_cancel": lambda s, p: tasks.cancel(s, p["task_id"]),
     "note_get": lambda s, p: s.note(int(p["snap_id"])),

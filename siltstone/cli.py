@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import getpass
 import json
 import sys
 import time
@@ -11,13 +12,14 @@ import uuid
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from siltstone import api
-from siltstone.sources import filesystem, transfer
+from siltstone import api, tasks
+from siltstone.operators import packs
+from siltstone.sources import transfer
 from siltstone.sources.store import Store, StoreError
 
 COMMANDS = {
     "init": [],
-    "run": ["source", "--exclude="],
+    "run": ["source?", "--exclude=", "--one-file-system", "--no-policy"],
     "list": [],
     "ls": ["ref", "path?", "--recursive", "--type=", "--glob="],
     "cat": ["ref", "path"],
@@ -31,16 +33,23 @@ COMMANDS = {
     "tag": ["action", "name?", "value?", "--preserve"],
     "note": ["ref", "text?"],
     "policy": ["change*"],
-    "snapshot": ["action", "ref", "--force"],
+    "snapshot": ["action", "ref", "--force", "--no-gc"],
     "gc": [],
+    "pack": [],
+    "merge": [],
+    "reindex": [],
+    "reindex-snaps": [],
     "gfs": ["--dry-run"],
     "prune": ["--dry-run"],
-    "verify": [],
+    "verify": ["--repair"],
     "stats": [],
     "journal": ["--limit="],
     "api": ["action", "params?"],
 }
-LOGGED = {"run", "restore", "import", "gc", "gfs", "prune"}
+LOGGED = {"run", "restore", "import", "gc", "gfs", "prune", "pack", "merge", "snapshot"}
+#: Commands that change the repository, and those that it mustn't change under.
+WRITERS = LOGGED - {"restore"} | {"tag", "note", "policy", "reindex", "reindex-snaps"}
+READERS = {"restore", "export"}
 
 
 def parser() -> argparse.ArgumentParser:
@@ -68,10 +77,7 @@ def execute(spark: SparkSession, a: argparse.Namespace) -> object:
     ref = lambda x: s.resolve(x or "HEAD")
     match a.command:
         case "run":
-            filesystem.register(spark)
-            found = spark.read.format("tree").option("exclude", a.exclude).load(a.source)
-            before, snap = s.head, s.run(found)
-            return {"snapshot": snap, "changed": snap != before}
+            return tasks._run(s, {"source": source(s, a), "exclude": [x for x in a.exclude.split(",") if x], "after": not a.no_policy, "one": a.one_file_system})
         case "list":
             return s.snapshots().orderBy("snap_id")
         case "ls":
@@ -85,7 +91,7 @@ def execute(spark: SparkSession, a: argparse.Namespace) -> object:
         case "grep":
             return s.grep(ref(a.ref), a.pattern, a.path)
         case "restore":
-            return {"files": transfer.restore(s, ref(a.ref), a.target, a.path)}
+            return transfer.restore(s, ref(a.ref), a.target, a.path)
         case "export" if a.tar:
             return {"entries": transfer.export_tar(s, ref(a.ref), a.file)}
         case "export":
@@ -110,12 +116,23 @@ def execute(spark: SparkSession, a: argparse.Namespace) -> object:
                 s.save_policy({k: json.loads(v) for k, v in (c.split("=", 1) for c in a.change)})
             return s.policy
         case "snapshot":
-            return s.delete(ref(a.ref), a.force)
+            return s.delete(ref(a.ref), a.force, collect=not a.no_gc)
         case "gc":
             return dict(zip(("kept", "deleted"), s.gc(), strict=True))
         case "gfs" | "prune":
             return {"pruned": s.prune(dry_run=a.dry_run)}
+        case "pack":
+            return s.pack()
+        case "merge":
+            return {"merged": s.merge(force=True)}
+        case "reindex":
+            return packs.fanout(s.entries()).agg(F.max("cumulative").alias("entries"))
+        case "reindex-snaps":
+            return {"built": s.reindex()}
         case "verify":
+            if a.repair:
+                with s.lock():
+                    print(json.dumps(s.repair()), file=sys.stderr)
             return s.verify().groupBy("status").agg(F.count("*").alias("n"))
         case "stats":
             return s.stats()
@@ -125,15 +142,24 @@ def execute(spark: SparkSession, a: argparse.Namespace) -> object:
             return api.call(s, a.action, json.loads(a.params or "{}"))
 
 
+def source(s: Store, a: argparse.Namespace) -> str:
+    """The folder to scan, as given or as the policy has it."""
+    found = a.source or next(iter(s.policy["paths"]), "")
+    if not found:
+        raise StoreError("no folder to scan")
+    return found
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     a = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("siltstone").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     op, began = uuid.uuid4().hex, time.time()
+    result, error = "failed", "interrupted"
     try:
         if a.command in LOGGED:
-            Store.open(spark, a.repository).log(op, "started", operation=a.command, source="cli")
-        if a.command in LOGGED - {"restore"}:
-            with Store.open(spark, a.repository).lock():
+            Store.open(spark, a.repository).log(op, "started", operation=a.command, source="cli", user=getpass.getuser())
+        if a.command in WRITERS or a.command in READERS:
+            with Store.open(spark, a.repository).lock(shared=a.command in READERS):
                 out = execute(spark, a)
         else:
             out = execute(spark, a)
@@ -147,12 +173,16 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         result, error = "success", None
     except StoreError as e:
         print(f"siltstone: {e}", file=sys.stderr)
-        result, error = "failed", str(e)
-    if a.command in LOGGED:
-        try:
-            Store.open(spark, a.repository).log(op, "completed", result=result, error=error, duration_ms=int(1000 * (time.time() - began)))
-        except StoreError:
-            pass
+        error = str(e)
+    except BaseException as e:  # an operation that failed must not look unfinished
+        error = f"{type(e).__name__}: {e}"[:500]
+        raise
+    finally:
+        if a.command in LOGGED:
+            try:
+                Store.open(spark, a.repository).log(op, "completed", result=result, error=error, duration_ms=int(1000 * (time.time() - began)))
+            except StoreError:
+                pass
     return int(result != "success")
 
 

@@ -72,6 +72,56 @@ def human_bytes(n: F.Column) -> F.Column:
     return out
 
 
+def long_bytes(n: F.Column) -> F.Column:
+    """The same in words: 1.5 KB, 1023 B, and nothing above GB."""
+    out = F.concat(n.cast("string"), F.lit(" B"))
+    for i, u in enumerate(("KB", "MB", "GB"), 1):
+        out = F.when(n >= 1 << (10 * i), F.format_string(f"%.1f {u}", n / float(1 << (10 * i)))).otherwise(out)
+    return out
+
+
+def shown_time(seconds: F.Column, with_seconds: bool = False) -> F.Column:
+    """A time of the session's zone, to the minute or the second."""
+    return F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd HH:mm:ss" if with_seconds else "yyyy-MM-dd HH:mm")
+
+
+def basename(path: F.Column) -> F.Column:
+    return F.regexp_extract(path, "[^/]*$", 0)
+
+
+def parent(path: F.Column) -> F.Column:
+    return F.regexp_replace(path, "/?[^/]*$", "")
+
+
+def plain_base64(x: F.Column) -> F.Column:
+    """Base64 without line breaks."""
+    return F.regexp_replace(F.base64(x), "[\\r\\n]", "")
+
+
+def pack_shard(number: F.Column) -> F.Column:
+    """The folder of a pack: its number by 256, in four hexadecimal digits or more."""
+    digits = F.lower(F.hex(F.floor(number / 256).cast("long")))
+    return F.when(F.length(digits) < 4, F.lpad(digits, 4, "0")).otherwise(digits)
+
+
+# Names of packs.
+PACK_NAME = re.compile(r"pack-([0-9]{8})\.(?:dat|idx)")
+
+
+def pack_number(name: str) -> int | None:
+    """The number in a pack's name; none if it isn't one."""
+    found = PACK_NAME.fullmatch(name)
+    return int(found[1]) if found else None
+
+
+def pack_path(number: int, ext: str = "dat") -> str:
+    return f"pack-{number:08d}.{ext}"
+
+
+def is_hash(c: F.Column) -> F.Column:
+    return c.rlike("^[0-9a-fA-F]{64}$")
+
+
 def type_letter(kind: F.Column) -> F.Column:
     # Node types 1 to 7.
     return F.element_at(F.array(*[F.lit(c) for c in "-dl-pcb"]), kind.cast("int"))

@@ -1,13 +1,28 @@
-"""Prefix sums that no single task makes."""
+"""Prefix sums that no single task makes, and lineage that ends in the shared folder."""
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the folder of ``spark.checkpoint.dir`` and read from there: a lost executor costs nothing of it.
+
+    Without that setting a folder of this machine is taken, and only where all of Spark runs on it.
+    """
+    context = df.sparkSession.sparkContext
+    named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if context.getCheckpointDir() is None:
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="siltstone-"))
+    return df.checkpoint()
+
+
 def sums_before(df: DataFrame, slice_: F.Column, order: Sequence[str], values: dict[str, str | None]) -> DataFrame:
     """``df`` with, for each column named in ``values``, the sum of its value (None: 1) over all rows before.
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 META = ("mode", "uid", "gid", "mtime_sec")
 HASHES = ("content_hash", "xattr_hash", "acl_hash")
+#: What an ingest holds against the snapshot before, beside contents; a diff tells of META alone.
+INGEST_META = (*META, "mtime_nsec", "xattr_hash", "acl_hash")
 #: What a row of a comparison carries of either side.
 SIDE = ("content_hash", *META, "size")
 
@@ -31,9 +33,13 @@ def diff(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def classify(previous: DataFrame, scanned: DataFrame) -> DataFrame:
-    """An ingest's view: new, modified, metadata, unchanged and deleted paths."""
-    change = F.when(F.col("in_old").isNull(), "new").when(F.col("in_new").isNull(), "deleted").when(~same(("content_hash",)), "modified").when(~same(META), "metadata").otherwise("unchanged")
-    return matched(previous, scanned).select("path", change.alias("change"), "old_size", "new_size")
+    """An ingest's view: new, modified, metadata, unchanged and deleted paths.
+
+    Attributes, access lists and the nanoseconds of times count as metadata here.
+    """
+    meta = tuple(c for c in INGEST_META if c in previous.columns and c in scanned.columns)
+    change = F.when(F.col("in_old").isNull(), "new").when(F.col("in_new").isNull(), "deleted").when(~same(("content_hash",)), "modified").when(~same(meta), "metadata").otherwise("unchanged")
+    return matched(previous, scanned, ("content_hash", *meta, "size")).select("path", change.alias("change"), "old_size", "new_size")
 
 
 def size_delta() -> F.Column:

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import contains_ascii, glob_regex, type_letter
+from siltstone.operators.common import cut
 
-#: Deeper than any path that a file system allows; a longer chain is a cycle.
-DEEPEST = 4096
+#: Deeper than any path that a file system allows; a longer chain is a cycle. Levels that one job builds.
+DEEPEST, TOGETHER = 4096, 3
 
 
 def paths(dirents: DataFrame) -> DataFrame:
@@ -18,24 +19,47 @@ def paths(dirents: DataFrame) -> DataFrame:
     are joined once, with the paths of their directories. Entries whose parent is missing keep their bare
     names, and what is under them is named from there.
     """
-    parents = dirents.select("snap_id", F.col("parent_node").alias("node_id")).distinct()
-    # directories with entries, of which there are few beside the entries; executors keep them, and lost ones are
-    # computed again
-    inner = dirents.join(parents, ["snap_id", "node_id"], "left_semi").persist()
+    inner = _directories(dirents)
     ids = inner.select("snap_id", F.col("node_id").alias("parent_node")).distinct()
-
-    def tops(entries: DataFrame) -> DataFrame:
-        """Entries whose parent is none: that of roots is 0, those of orphans aren't there."""
-        found = entries.join(ids, ["snap_id", "parent_node"], "left_anti")
-        return found.select("snap_id", "node_id", F.col("name").alias("path"), F.lit(1).cast("long").alias("depth"))
-
-    level = directories = tops(inner).persist()
-    for _ in range(DEEPEST):
-        level = _under(inner, level).persist()
+    # those whose parent is none: that of roots is 0, those of orphans aren't there
+    tops = inner.join(ids, ["snap_id", "parent_node"], "left_anti")
+    up = _levels(inner, tops.select("snap_id", "node_id", F.col("name").alias("path"), F.lit(1).cast("long").alias("depth")))
+    up = up.select("snap_id", F.col("node_id").alias("parent_node"), F.col("path").alias("up"), "depth")
+    placed = dirents.join(up, ["snap_id", "parent_node"], "left")
+    return placed.select("snap_id", "node_id", F.concat_ws("/", "up", "name").alias("path"), (F.coalesce("depth", F.lit(0)) + 1).alias("depth"))
+
+
+def paths_below(dirents: DataFrame, parent: int | F.Column, prefix: str) -> DataFrame:
+    """The same of what lies under one directory, whose path is ``prefix``: nothing else is walked."""
+    top = dirents.where(F.col("parent_node") == parent)
+    depth = prefix.count("/") + 2
+    entries = top.select("snap_id", "node_id", F.concat(F.lit(prefix + "/"), "name").alias("path"), F.lit(depth).cast("long").alias("depth"))
+    inner = _directories(dirents)
+    parents = inner.select("snap_id", "node_id").distinct()
+    return entries.union(_under(dirents, _levels(inner, entries.join(parents, ["snap_id", "node_id"], "left_semi"))))
+
+
+def _directories(dirents: DataFrame) -> DataFrame:
+    """Entries of directories that have entries, of which there are few beside the entries."""
+    parents = dirents.select("snap_id", F.col("parent_node").alias("node_id")).distinct()
+    return cut(dirents.select("snap_id", "parent_node", "node_id", "name").join(parents, ["snap_id", "node_id"], "left_semi"))
+
+
+def _levels(inner: DataFrame, level: DataFrame) -> DataFrame:
+    """The directories of ``level`` and all below them, a few levels in a job."""
+    out = None
+    for _ in range(0, DEEPEST, TOGETHER):
+        steps = level.withColumn("_step", F.lit(0))
+        for i in range(1, TOGETHER + 1):
+            level = _under(inner, level)
+            steps = steps.union(level.withColumn("_step", F.lit(i)))
+        steps = cut(steps)
+        done = steps.where(F.col("_step") < TOGETHER).drop("_step")
+        out = done if out is None else out.union(done)
+        level = steps.where(F.col("_step") == TOGETHER).drop("_step")
         if level.isEmpty():
             break
-        directories = directories.union(level)
-    return tops(dirents).union(_under(dirents, directories))
+    return out
 
 
 def _under(dirents: DataFrame, above: DataFrame) -> DataFrame:

@@ -12,8 +12,9 @@ from siltstone.sources.fixtures import Repo, cte
 
 
 def _sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    p = Repo(spark, sf).file_paths
-    return p.where("snap_id = 1"), p.where("snap_id = 2")
+    """All names of two snapshots, of every type, with their nodes."""
+    r = Repo(spark, sf)
+    return r.tree.where("snap_id = 1"), r.tree.where("snap_id = 2")
 
 
 def diff(spark: SparkSession, sf: str) -> DataFrame:
@@ -82,13 +83,14 @@ def phys_new_bytes(spark: SparkSession, sf: str) -> DataFrame:
     return o.first_seen(Repo(spark, sf).nodes)
 
 
-_BOTH = cte("file_paths") + """, o AS (SELECT * FROM file_paths WHERE snap_id = 1), n AS (SELECT * FROM file_paths WHERE snap_id = 2),
+_BOTH = cte("tree") + """, o AS (SELECT * FROM tree WHERE snap_id = 1), n AS (SELECT * FROM tree WHERE snap_id = 2),
 c AS (SELECT coalesce(o.path, n.path) AS path, o.content_hash AS old_content_hash, n.content_hash AS new_content_hash, o.mode AS old_mode, n.mode AS new_mode,
   o.size AS old_size, n.size AS new_size,
   CASE WHEN o.path IS NULL THEN 'A' WHEN n.path IS NULL THEN 'D' WHEN o.content_hash IS DISTINCT FROM n.content_hash THEN 'M'
-    WHEN o.mode <> n.mode OR o.uid <> n.uid OR o.gid <> n.gid OR o.mtime_sec <> n.mtime_sec THEN 'm' ELSE '' END AS change
+    WHEN o.mode <> n.mode OR o.uid <> n.uid OR o.gid <> n.gid OR o.mtime_sec <> n.mtime_sec THEN 'm' ELSE '' END AS change,
+  o.mtime_nsec IS DISTINCT FROM n.mtime_nsec OR o.xattr_hash IS DISTINCT FROM n.xattr_hash OR o.acl_hash IS DISTINCT FROM n.acl_hash AS more
   FROM o FULL JOIN n ON o.path = n.path)"""
-_NAMES = "CASE change WHEN 'A' THEN 'new' WHEN 'D' THEN 'deleted' WHEN 'M' THEN 'modified' WHEN 'm' THEN 'metadata' ELSE 'unchanged' END"
+_NAMES = "CASE change WHEN 'A' THEN 'new' WHEN 'D' THEN 'deleted' WHEN 'M' THEN 'modified' WHEN 'm' THEN 'metadata' ELSE CASE WHEN more THEN 'metadata' ELSE 'unchanged' END END"
 
 PLANS = {
     "diff": (diff, f"{_BOTH} SELECT path, change, old_content_hash, new_content_hash, old_mode, new_mode, old_size, new_size FROM c WHERE change <> ''"),
@@ -102,8 +104,8 @@ PLANS = {
     "backup_counts": (backup_counts, f"{_BOTH} SELECT {_NAMES} AS change, count(*) AS n, CAST(sum(coalesce(new_size, 0)) AS BIGINT) AS bytes FROM c GROUP BY 1"),
     "deleted_paths": (deleted_paths, f"{_BOTH} SELECT path, old_size AS size FROM c WHERE change = 'D'"),
     "scan_exclude": (scan_exclude, cte("file_paths") + " SELECT path, size FROM file_paths WHERE snap_id = 2 AND NOT regexp_matches(path, '^home/(de|en/src1)(/|$)')"),
-    "scan_node_type": (scan_node_type, cte("nodes") + """ SELECT snap_id, CASE WHEN mode & 61440 = 16384 THEN 2 ELSE 1 END::BIGINT AS kind,
-      CASE mode WHEN 33188 THEN '-rw-r--r--' WHEN 33184 THEN '-rw-r-----' ELSE 'drwxr-xr-x' END AS shown, count(*) AS n FROM nodes GROUP BY ALL"""),
+    "scan_node_type": (scan_node_type, cte("nodes") + """ SELECT snap_id, CASE mode & 61440 WHEN 16384 THEN 2 WHEN 40960 THEN 3 ELSE 1 END::BIGINT AS kind,
+      CASE mode WHEN 33188 THEN '-rw-r--r--' WHEN 33184 THEN '-rw-r-----' WHEN 41471 THEN 'lrwxrwxrwx' WHEN 16832 THEN 'drwx------' ELSE 'drwxr-xr-x' END AS shown, count(*) AS n FROM nodes GROUP BY ALL"""),
     "scan_union": (scan_union, cte("file_paths", "incoming") + """ SELECT 'files' AS root, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM file_paths WHERE snap_id = 2
       UNION ALL SELECT 'pages', count(*), CAST(sum(size) AS BIGINT) FROM incoming"""),
     "hardlink_groups": (hardlink_groups, cte("nodes", "dirents") + """ SELECT d.snap_id, inode_identity, min(n.node_id) AS primary_node, count(*) AS names, min(name) AS first_name

@@ -52,10 +52,8 @@ def verify_after(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def object_refs(spark: SparkSession, sf: str) -> DataFrame:
-    """References to the contents that most nodes share: hashes with at least three."""
-    refs = o.references(Repo(spark, sf).nodes)
-    shared = refs.where("field = 1").groupBy("hash").agg(F.count("*").alias("n")).where("n >= 3")
-    return refs.join(shared.select("hash"), "hash").groupBy("hash", "snap_id", "node_id").agg(F.min("field").alias("field"))
+    """The nodes that refer to each hash, with the first field by which they do: content, attributes, access list."""
+    return o.references(Repo(spark, sf).nodes).groupBy("hash", "snap_id", "node_id").agg(F.min("field").alias("field"))
 
 
 def object_lookup(spark: SparkSession, sf: str) -> DataFrame:
@@ -164,7 +162,7 @@ PLANS = {
     "verify_provenance": (verify_provenance, _V + """ SELECT hash, status, snap_id, node_id, field FROM (SELECT v.hash, status, snap_id, node_id, field, row_number() OVER (PARTITION BY v.hash ORDER BY snap_id, node_id, field) AS r
       FROM v JOIN refs ON refs.hash = v.hash WHERE status <> 'ok') WHERE r = 1"""),
     "verify_after": (verify_after, _LIVE + " SELECT field::BIGINT AS field, count(*) AS missing, count(DISTINCT hash) AS hashes FROM refs WHERE snap_id = 2 AND hash NOT IN (SELECT hash FROM objects) GROUP BY 1"),
-    "object_refs": (object_refs, cte("refs") + """ SELECT hash, snap_id, node_id, CAST(min(field) AS BIGINT) AS field FROM refs WHERE hash IN (SELECT hash FROM refs WHERE field = 1 GROUP BY hash HAVING count(*) >= 3) GROUP BY 1, 2, 3"""),
+    "object_refs": (object_refs, cte("refs") + " SELECT hash, snap_id, node_id, CAST(min(field) AS BIGINT) AS field FROM refs GROUP BY 1, 2, 3"),
     "object_lookup": (object_lookup, _LIVE + " SELECT l.hash, coalesce(storage, 'none') AS found, type, uncompressed_size FROM live l LEFT JOIN objects o ON o.hash = l.hash"),
     "object_exists": (object_exists, _LIVE + " SELECT hash FROM live WHERE hash IN (SELECT hash FROM objects)"),
     "object_locate": (object_locate, cte("objects") + " SELECT hash, type, storage, uncompressed_size, compressed_size FROM objects"),

@@ -93,8 +93,8 @@ def recent_snaps(spark: SparkSession, sf: str) -> DataFrame:
 def list_with_gaps(spark: SparkSession, sf: str) -> DataFrame:
     """All ids up to the newest, with those missing that were pruned: here every one divisible by 9."""
     s = Repo(spark, sf).snapshots.where("snap_id % 9 <> 0")
-    head = s.agg(F.max("snap_id")).first()[0] or 0
-    ids = spark.range(1, head + 1).withColumnRenamed("id", "snap_id")
+    # a row, from which the ids are made as the query runs
+    ids = s.agg(F.max("snap_id").alias("head")).where("head >= 1").select(F.explode(F.sequence(F.lit(1).cast("long"), "head")).alias("snap_id"))
     return ids.join(s.select("snap_id", "created"), "snap_id", "left").withColumn("pruned", F.col("created").isNull())
 
 

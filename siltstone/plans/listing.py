@@ -28,7 +28,8 @@ def _recursive(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ls_recursive(spark: SparkSession, sf: str) -> DataFrame:
-    x = _recursive(spark, sf).where(t.below(F.col("path"), "home/en"))
+    r = Repo(spark, sf)
+    x = tree.paths_below(r.dirents.where("snap_id = 2"), directory_id(F.lit("home/en")), "home/en").join(r.nodes, ["snap_id", "node_id"])
     return x.select(F.substring("path", F.lit(9), F.length("path")).alias("relative"), "type", "size").where("relative <> ''").orderBy("relative")
 
 
@@ -37,7 +38,10 @@ def ls_glob(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ls_type(spark: SparkSession, sf: str) -> DataFrame:
-    return _recursive(spark, sf).where(tree.of_type("d")).select("path", t.type_letter(F.col("type")).alias("letter")).orderBy("path")
+    r = Repo(spark, sf)
+    found = r.nodes.where("snap_id = 2").where(tree.of_type("d"))  # directories have directories above them
+    x = tree.paths(r.dirents.where("snap_id = 2").join(found.select("snap_id", "node_id"), ["snap_id", "node_id"], "left_semi"))
+    return x.join(found, ["snap_id", "node_id"]).select("path", t.type_letter(F.col("type")).alias("letter")).orderBy("path")
 
 
 def dir_children(spark: SparkSession, sf: str) -> DataFrame:
@@ -72,6 +76,16 @@ def grep_lines(spark: SparkSession, sf: str) -> DataFrame:
     return tree.grep(f, "^[[:upper:]][[:lower:]]+ing (the|of) .*[[:punct:]]$")
 
 
+def text_formats(spark: SparkSession, sf: str) -> DataFrame:
+    """How listings show what they have: names, sizes, times, and folders of packs."""
+    p = Repo(spark, sf).file_paths.where("snap_id = 2")
+    path, size = F.col("path"), F.col("size")
+    return p.select(
+        "path", t.basename(path).alias("name"), t.parent(path).alias("parent"), t.human_bytes(size).alias("short"), t.long_bytes(size).alias("long"), t.shown_time(F.col("mtime_sec")).alias("minute"), t.shown_time(F.col("mtime_sec"), True).alias("second"),
+        t.plain_base64(path.cast("binary")).alias("base64"), t.pack_shard(F.col("node_id")).alias("shard"), t.is_hash(F.col("content_hash")).alias("hash_ok"), t.is_hash(path).alias("path_ok"),
+    )
+
+
 def cat_file(spark: SparkSession, sf: str) -> DataFrame:
     f = Repo(spark, sf).files.where("snap_id = 2").where(F.col("parent") == BASE)
     return f.select(F.concat_ws("/", "parent", "name").alias("path"), F.explode(t.hex_lines(F.col("text").cast("binary"))).alias("l")).select("path", F.col("l.offset").cast("long").alias("offset"), F.col("l.bytes").alias("bytes"))
@@ -105,7 +119,7 @@ def restore_verify(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _PATHS = cte("paths", "nodes", "dirents")
-_MODE = "CASE WHEN type = 2 THEN 'drwxr-xr-x' WHEN mode = 33184 THEN '-rw-r-----' ELSE '-rw-r--r--' END"
+_MODE = "CASE WHEN type = 2 THEN 'drwxr-xr-x' WHEN type = 3 THEN 'lrwxrwxrwx' WHEN mode = 33184 THEN '-rw-r-----' ELSE '-rw-r--r--' END"
 _ID = "(CAST('0x' || substr(md5('{}'), 1, 10) AS BIGINT) + 281474976710656)"
 
 PLANS = {
@@ -119,12 +133,17 @@ PLANS = {
       FROM dirents d JOIN nodes n ON n.snap_id = d.snap_id AND n.node_id = d.node_id WHERE d.snap_id = 1 AND parent_node IN ({_ID.format("home/fr")}, {_ID.format("home/fr/src2")})"""),
     "path_prefix": (path_prefix, cte("file_paths") + " SELECT snap_id, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM file_paths WHERE path = 'home/es/src1' OR starts_with(path, 'home/es/src1/') GROUP BY snap_id"),
     "unsafe_paths": (unsafe_paths, cte("incoming") + " SELECT page_id, path FROM incoming WHERE starts_with(path, '/') OR list_contains(string_split(path, '/'), '..')"),
-    "search_name": (search_name, cte("nodes", "dirents") + """ SELECT d.snap_id, d.node_id, name, CASE type WHEN 2 THEN 'd' ELSE '-' END AS kind, size, count(*) OVER () AS total
+    "search_name": (search_name, cte("nodes", "dirents") + """ SELECT d.snap_id, d.node_id, name, CASE type WHEN 2 THEN 'd' WHEN 3 THEN 'l' ELSE '-' END AS kind, size, count(*) OVER () AS total
       FROM dirents d JOIN nodes n ON n.snap_id = d.snap_id AND n.node_id = d.node_id WHERE d.snap_id = 2 AND contains(name, 'link-1')"""),
-    "search_all": (search_all, cte("nodes", "dirents") + """ SELECT d.snap_id, d.node_id, name, CASE type WHEN 2 THEN 'd' ELSE '-' END AS kind, size
+    "search_all": (search_all, cte("nodes", "dirents") + """ SELECT d.snap_id, d.node_id, name, CASE type WHEN 2 THEN 'd' WHEN 3 THEN 'l' ELSE '-' END AS kind, size
       FROM dirents d JOIN nodes n ON n.snap_id = d.snap_id AND n.node_id = d.node_id WHERE contains(name, '7.txt') ORDER BY 1, 2, 3 LIMIT 500"""),
     "grep_lines": (grep_lines, cte("files") + """ SELECT parent || '/' || name AS path, i AS line_no, l AS line FROM files, unnest(string_split(text, chr(10))) WITH ORDINALITY u(l, i)
       WHERE snap_id = 2 AND NOT contains(text, chr(0)) AND regexp_matches(l, '^[A-Z][a-z]+ing (the|of) .*[!-/:-@\\[-`{-~]$')"""),
+    "text_formats": (text_formats, cte("file_paths") + """ SELECT path, split_part(path, '/', 4) AS name, array_to_string(string_split(path, '/')[1:3], '/') AS parent,
+      CASE WHEN size >= 1048576 THEN format('{:.1f}M', size / 1048576.0) WHEN size >= 1024 THEN format('{:.1f}K', size / 1024.0) ELSE size || 'B' END AS short,
+      CASE WHEN size >= 1048576 THEN format('{:.1f} MB', size / 1048576.0) WHEN size >= 1024 THEN format('{:.1f} KB', size / 1024.0) ELSE size || ' B' END AS "long",
+      strftime(make_timestamp(mtime_sec * 1000000), '%Y-%m-%d %H:%M') AS "minute", strftime(make_timestamp(mtime_sec * 1000000), '%Y-%m-%d %H:%M:%S') AS "second",
+      to_base64(encode(path)) AS base64, format('{:04x}', node_id // 256) AS shard, true AS hash_ok, false AS path_ok FROM file_paths WHERE snap_id = 2"""),
     "cat_file": (cat_file, cte("files") + f""" SELECT parent || '/' || name AS path, 16 * i AS "offset", lower(substr(hex(encode(text)), CAST(32 * i + 1 AS INT), 32)) AS bytes
       FROM files, unnest(range(0, (greatest(octet_length(encode(text)), 1) + 15) // 16)) u(i) WHERE snap_id = 2 AND parent = '{BASE}'"""),
     "restore_plan": (restore_plan, cte("nodes", "dirents", "packed") + """ SELECT CASE WHEN n.type = 2 THEN 0 WHEN row_number() OVER (PARTITION BY d.node_id ORDER BY name) = 1 THEN 1 ELSE 2 END::BIGINT AS pass,

@@ -11,10 +11,14 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-REGULAR, DIRECTORY = 1, 2
+from siltstone.operators.tree import paths
+
+REGULAR, DIRECTORY, LINK = 1, 2, 3
 PACK_BYTES = 1 << 18
 #: Ids of directories begin above those of files.
 DIRECTORY_BASE = 1 << 48
+#: Ids of symbolic links.
+LINK_BASE = 1 << 50
 
 
 def text_hash(c: F.Column | str) -> F.Column:
@@ -49,23 +53,43 @@ class Repo:
 
     @cached_property
     def file_paths(self) -> DataFrame:
-        """Files by path, with their metadata: what two snapshots are compared by. No join is needed here."""
+        """Regular files by their first names, with their metadata."""
         return self.files.select(
             F.concat_ws("/", "parent", "name").alias("path"), "snap_id", (F.col("doc_id") + 1).alias("node_id"), F.lit(REGULAR).cast("long").alias("type"), "mode", F.lit(1000).cast("long").alias("uid"), (F.col("doc_id") % 3 + 100).alias("gid"),
-            F.octet_length("text").cast("long").alias("size"), (F.col("doc_id") + 1700000000).alias("mtime_sec"), text_hash("text").alias("content_hash"),
-            F.when(F.col("doc_id") % 4 == 0, text_hash(F.concat(F.lit("xattr:"), "lang"))).alias("xattr_hash"), F.when(F.col("doc_id") % 9 == 0, text_hash(F.concat(F.lit("acl:"), "source"))).alias("acl_hash"),
+            F.octet_length("text").cast("long").alias("size"), (F.col("doc_id") + 1700000000).alias("mtime_sec"), F.when(F.col("doc_id") % 17 == 4, F.col("snap_id") * 1000).otherwise(0).cast("long").alias("mtime_nsec"), text_hash("text").alias("content_hash"),
+            F.when(F.col("doc_id") % 4 == 0, text_hash(F.concat(F.lit("xattr:"), F.when((F.col("doc_id") % 8 == 0) & (F.col("snap_id") == 2), F.col("source")).otherwise(F.col("lang"))))).alias("xattr_hash"), F.when(F.col("doc_id") % 9 == 0, text_hash(F.concat(F.lit("acl:"), "source"))).alias("acl_hash"),
             F.when(F.col("doc_id") % 50 == 7, 2).otherwise(1).cast("long").alias("link_count"), (F.col("doc_id") * 31 + 17).alias("inode_identity"),
         )
 
+    @cached_property
+    def links(self) -> DataFrame:
+        """Symbolic links beside some files; some lead elsewhere in the second snapshot."""
+        f = self.files.where("doc_id % 25 = 3 OR doc_id % 25 = 4")
+        target = F.concat(F.col("doc_id").cast("string"), F.when((F.col("snap_id") == 2) & (F.col("doc_id") % 50 == 4), ".new").otherwise(".txt"))
+        return f.select("snap_id", (F.col("doc_id") + LINK_BASE).alias("node_id"), directory_id(F.col("parent")).alias("parent_node"), F.concat(F.lit("sym-"), F.col("doc_id").cast("string")).alias("name"), target.alias("target"))
+
     @cached_property
     def nodes(self) -> DataFrame:
-        """Files and directories, without paths."""
+        """Files, directories and symbolic links, without paths."""
         f = self.file_paths.drop("path")
+        none = [F.lit(None).cast("string").alias(c) for c in ("xattr_hash", "acl_hash")]
+        long = lambda x, name: (F.lit(x) if isinstance(x, int) else x).cast("long").alias(name)
+        # one directory has another mode in the second snapshot
+        mode = F.when((F.col("snap_id") == 2) & (F.col("name") == "src2"), 16832).otherwise(16877)
         d = self.directories.select(
-            "snap_id", "node_id", F.lit(DIRECTORY).cast("long").alias("type"), F.lit(16877).cast("long").alias("mode"), F.lit(0).cast("long").alias("uid"), F.lit(0).cast("long").alias("gid"), F.lit(0).cast("long").alias("size"),
-            F.lit(1700000000).cast("long").alias("mtime_sec"), *[F.lit(None).cast("string").alias(c) for c in ("content_hash", "xattr_hash", "acl_hash")], F.lit(1).cast("long").alias("link_count"), F.col("node_id").alias("inode_identity"),
+            "snap_id", "node_id", long(DIRECTORY, "type"), long(mode, "mode"), long(0, "uid"), long(0, "gid"), long(0, "size"),
+            long(1700000000, "mtime_sec"), long(0, "mtime_nsec"), F.lit(None).cast("string").alias("content_hash"), *none, long(1, "link_count"), F.col("node_id").alias("inode_identity"),
         )
-        return f.unionByName(d)
+        s = self.links.select(
+            "snap_id", "node_id", long(LINK, "type"), long(41471, "mode"), long(1000, "uid"), long(100, "gid"), long(F.octet_length("target"), "size"),
+            long(1700000000, "mtime_sec"), long(0, "mtime_nsec"), text_hash("target").alias("content_hash"), *none, long(1, "link_count"), F.col("node_id").alias("inode_identity"),
+        )
+        return f.unionByName(d).unionByName(s)
+
+    @cached_property
+    def tree(self) -> DataFrame:
+        """All names of both snapshots with their paths and nodes: what snapshots are compared by."""
+        return paths(self.dirents).join(self.nodes, ["snap_id", "node_id"])
 
     @cached_property
     def directories(self) -> DataFrame:
@@ -82,7 +106,7 @@ class Repo:
         """Directory entries; some files have a second name in their directory."""
         f = self.files.select("snap_id", directory_id(F.col("parent")).alias("parent_node"), (F.col("doc_id") + 1).alias("node_id"), "name", "doc_id")
         links = f.where("doc_id % 50 = 7").withColumn("name", F.concat(F.lit("link-"), F.col("doc_id").cast("string")))
-        return self.directories.select("snap_id", "parent_node", "node_id", "name").unionByName(f.drop("doc_id")).unionByName(links.drop("doc_id"))
+        return self.directories.select("snap_id", "parent_node", "node_id", "name").unionByName(f.drop("doc_id")).unionByName(links.drop("doc_id")).unionByName(self.links.drop("target"))
 
     @cached_property
     def objects(self) -> DataFrame:
@@ -152,12 +176,16 @@ SQL = {
     "directories": ("files", f"""SELECT DISTINCT snap_id, {_dir("path")} AS node_id, CASE WHEN up = '' THEN 0 ELSE {_dir("up")} END AS parent_node, name FROM (
       SELECT snap_id, 'home' AS path, '' AS up, 'home' AS name FROM files UNION SELECT snap_id, 'home/' || lang, 'home', lang FROM files
       UNION SELECT snap_id, 'home/' || lang || '/' || source, 'home/' || lang, source FROM files)"""),
-    "nodes": ("files directories", """SELECT snap_id, doc_id + 1 AS node_id, 1::BIGINT AS type, mode, 1000::BIGINT AS uid, doc_id % 3 + 100 AS gid, CAST(octet_length(encode(text)) AS BIGINT) AS size,
-      doc_id + 1700000000 AS mtime_sec, sha256(text) AS content_hash, CASE WHEN doc_id % 4 = 0 THEN sha256('xattr:' || lang) END AS xattr_hash,
+    "links": ("files", f"""SELECT snap_id, doc_id + {LINK_BASE} AS node_id, {_dir("parent")} AS parent_node, 'sym-' || doc_id AS name, doc_id || CASE WHEN snap_id = 2 AND doc_id % 50 = 4 THEN '.new' ELSE '.txt' END AS target
+      FROM files WHERE doc_id % 25 IN (3, 4)"""),
+    "nodes": ("files directories links", """SELECT snap_id, doc_id + 1 AS node_id, 1::BIGINT AS type, mode, 1000::BIGINT AS uid, doc_id % 3 + 100 AS gid, CAST(octet_length(encode(text)) AS BIGINT) AS size,
+      doc_id + 1700000000 AS mtime_sec, CASE WHEN doc_id % 17 = 4 THEN snap_id * 1000 ELSE 0 END::BIGINT AS mtime_nsec, sha256(text) AS content_hash,
+      CASE WHEN doc_id % 4 = 0 THEN sha256('xattr:' || CASE WHEN doc_id % 8 = 0 AND snap_id = 2 THEN source ELSE lang END) END AS xattr_hash,
       CASE WHEN doc_id % 9 = 0 THEN sha256('acl:' || source) END AS acl_hash, CASE WHEN doc_id % 50 = 7 THEN 2 ELSE 1 END::BIGINT AS link_count, doc_id * 31 + 17 AS inode_identity FROM files
-      UNION ALL SELECT snap_id, node_id, 2, 16877, 0, 0, 0, 1700000000, NULL, NULL, NULL, 1, node_id FROM directories"""),
-    "dirents": ("files directories", f"""SELECT snap_id, parent_node, node_id, name FROM directories UNION ALL SELECT snap_id, {_dir("parent")}, doc_id + 1, name FROM files
-      UNION ALL SELECT snap_id, {_dir("parent")}, doc_id + 1, 'link-' || doc_id FROM files WHERE doc_id % 50 = 7"""),
+      UNION ALL SELECT snap_id, node_id, 2, CASE WHEN snap_id = 2 AND name = 'src2' THEN 16832 ELSE 16877 END, 0, 0, 0, 1700000000, 0, NULL, NULL, NULL, 1, node_id FROM directories
+      UNION ALL SELECT snap_id, node_id, 3, 41471, 1000, 100, CAST(octet_length(encode(target)) AS BIGINT), 1700000000, 0, sha256(target), NULL, NULL, 1, node_id FROM links"""),
+    "dirents": ("files directories links", f"""SELECT snap_id, parent_node, node_id, name FROM directories UNION ALL SELECT snap_id, {_dir("parent")}, doc_id + 1, name FROM files
+      UNION ALL SELECT snap_id, {_dir("parent")}, doc_id + 1, 'link-' || doc_id FROM files WHERE doc_id % 50 = 7 UNION ALL SELECT snap_id, parent_node, node_id, name FROM links"""),
     "file_paths": ("files nodes", "SELECT f.parent || '/' || f.name AS path, n.* FROM files f JOIN nodes n ON n.snap_id = f.snap_id AND n.node_id = f.doc_id + 1"),
     "objects": ("", """SELECT hash, k % 4 + 1 AS type, k % 3 AS compression, CASE WHEN k % 6 = 0 THEN 1 ELSE 0 END::BIGINT AS pack_skip_ver, n AS uncompressed_size, n * (40 + k % 61) // 100 AS compressed_size,
       CASE WHEN k % 3 = 0 THEN 'loose' ELSE 'pack' END AS storage FROM (SELECT sha256(text) AS hash, min(doc_id) AS k, CAST(max(octet_length(encode(text))) AS BIGINT) AS n FROM documents GROUP BY 1)"""),
@@ -175,6 +203,7 @@ SQL = {
       SELECT page_id, regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') AS p, CAST(octet_length(encode(html)) AS BIGINT) AS size FROM pages)"""),
     "paths": ("dirents", """SELECT snap_id, node_id, name AS path, 1::BIGINT AS depth FROM dirents WHERE parent_node = 0
       UNION ALL SELECT d.snap_id, d.node_id, p.path || '/' || d.name, p.depth + 1 FROM paths p JOIN dirents d ON d.snap_id = p.snap_id AND d.parent_node = p.node_id"""),
+    "tree": ("paths nodes", "SELECT p.path, p.depth, n.* FROM paths p JOIN nodes n ON n.snap_id = p.snap_id AND n.node_id = p.node_id"),
     "refs": ("nodes", """SELECT snap_id, node_id, f.field, f.hash FROM nodes, LATERAL (VALUES (1, content_hash), (2, xattr_hash), (3, acl_hash)) f(field, hash) WHERE f.hash IS NOT NULL"""),
     "packed": ("objects", f"""SELECT *, before // {PACK_BYTES} + 1 AS pack_num, row_number() OVER (PARTITION BY before // {PACK_BYTES} ORDER BY hash) - 1 AS entry_index,
       before - min(before) OVER (PARTITION BY before // {PACK_BYTES}) AS dat_offset FROM (SELECT *, CAST(coalesce(sum(compressed_size) OVER (ORDER BY hash ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before

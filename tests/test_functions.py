@@ -1,5 +1,6 @@
 """Codec vectors, patterns, and operators on literal rows."""
 
+import base64
 import random
 import time
 
@@ -142,3 +143,21 @@ def test_stream(spark, tmp_path):
         q.awaitTermination(120)
     assert {(r.op_id, r.result) for r in spark.table("ops").collect()} >= {("a", "success"), ("b", None), ("d", "success")}
     assert {(r["window"].start.hour, r.n) for r in spark.table("rates").collect()} >= {(0, 1), (5, 1)}
+
+
+def test_formats(spark):
+    one = spark.range(1)
+    assert one.select(text.long_bytes(F.lit(1536)), text.long_bytes(F.lit(5)), text.long_bytes(F.lit(3 << 40))).first()[:] == ("1.5 KB", "5 B", "3072.0 GB")
+    assert one.select(text.shown_time(F.lit(60)), text.shown_time(F.lit(61), True)).first()[:] == ("1970-01-01 00:01", "1970-01-01 00:01:01")
+    assert one.select(text.basename(F.lit("a/b")), text.parent(F.lit("a/b")), text.parent(F.lit("a")), text.pack_shard(F.lit(513)), text.is_hash(F.lit("aF" * 32)), text.is_hash(F.lit("ag" * 32))).first()[:] == ("b", "a", "", "0002", True, False)
+    assert one.select(text.plain_base64(F.lit(b"x" * 99))).first()[0] == base64.b64encode(b"x" * 99).decode()
+    assert text.pack_number("pack-00000012.idx") == 12 and text.pack_path(12) == "pack-00000012.dat"
+    assert [text.pack_number(x) for x in ("pack-12.dat", "pack-000000012.dat", "x/pack-00000012.dat", "pack-00000012.da", "")] == [None] * 5
+
+
+def test_paths_below(spark):
+    rows = [(1, 0, 10, "a"), (1, 10, 11, "b"), (1, 11, 12, "c"), (1, 12, 15, "d"), (1, 15, 16, "e"), (1, 16, 17, "f"), (1, 17, 18, "g"), (1, 0, 13, "z"), (1, 13, 14, "x")]
+    df = spark.createDataFrame(rows, "snap_id long, parent_node long, node_id long, name string")
+    every = {(r.path, r.depth) for r in tree.paths(df).collect()}
+    assert ("a/b/c/d/e/f/g", 7) in every and len(every) == 9
+    assert {(r.path, r.depth) for r in tree.paths_below(df, 10, "a").collect()} == {x for x in every if x[0].startswith("a/")}
