@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import components, stage
+from siltstone.llm.common import components, discard, forest, stage
 
 COSINE = 0.95
 #: The least number of codes, and the filters of each that a vector passes.
@@ -220,26 +220,6 @@ def linked(v: np.ndarray, passed: np.ndarray, f: int, a: np.ndarray, b: np.ndarr
     return near, fresh
 
 
-def forest(near: np.ndarray, a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """For each of ``n`` vectors, the least one that it reaches by the links of ``a`` with ``b``."""
-    root, seen = np.arange(n), np.ones(n, bool)
-    seen[a[near.any(1)]], seen[b[near.any(0)]] = False, False
-    for x in np.flatnonzero(~seen):
-        if seen[x]:
-            continue
-        seen[x], new = True, np.zeros(n, bool)
-        new[x] = True
-        # breadth first; a vector is taken up once, so rows and columns are read once
-        while new.any():
-            reached = np.zeros(n, bool)
-            reached[b] |= near[new[a]].any(0)
-            reached[a] |= near[:, new[b]].any(1)
-            new = reached & ~seen
-            seen |= new
-            root[new] = x
-    return root
-
-
 def op4_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = cosine_links(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", "kept")

@@ -33,9 +33,11 @@ CHUNK_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share; one of this machine only where all of Spark runs on it."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="siltstone-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -173,6 +175,44 @@ def running(df: DataFrame, group: list[str], order: list[str], value: str | None
     return df.join(sums, keys).withColumn(out, F.col("_own") + F.col("_before")).drop("_own", "_before", *keys)
 
 
+def forest(near: np.ndarray, a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """For each of ``n`` vectors, the least one that it reaches by the links of ``a`` with ``b``."""
+    root, seen = np.arange(n), np.ones(n, bool)
+    seen[a[near.any(1)]], seen[b[near.any(0)]] = False, False
+    for x in np.flatnonzero(~seen):
+        if seen[x]:
+            continue
+        seen[x], new = True, np.zeros(n, bool)
+        new[x] = True
+        # breadth first; a vector is taken up once, so rows and columns are read once
+        while new.any():
+            reached = np.zeros(n, bool)
+            reached[b] |= near[new[a]].any(0)
+            reached[a] |= near[:, new[b]].any(1)
+            new = reached & ~seen
+            seen |= new
+            root[new] = x
+    return root
+
+
+#: Rows of one key from which a join splits them, at least.
+LEAST_SPLIT = 64
+
+
+def spread_join(many: DataFrame, few: DataFrame, key: str, count: str = "c") -> DataFrame:
+    """``many`` joined with ``few`` on ``key``, keys of very many rows dealt to several tasks.
+
+    ``few`` has a row a key with its number of rows in ``many``. A key with more than a quarter of a task's
+    share is hot: of those there are at most four for each task, so they are broadcast whatever the tables' size.
+    """
+    total = few.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    most = max(LEAST_SPLIT, int(total) // (4 * tasks(many.sparkSession)))
+    parts = F.when(F.col(count) > most, F.ceil(F.col(count) / most)).otherwise(1).cast("int")
+    hot = F.broadcast(few.where(F.col(count) > most).select(key, parts.alias("_parts")))
+    dealt = many.join(hot, key, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*[c for c in many.columns if c != key]), F.col("_parts")).cast("int"), F.lit(0))).drop("_parts")
+    return dealt.join(few.withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))), [key, "_salt"]).drop("_salt")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """The connected components of ``edges`` (a, b: of one type): rows (node, component), the smallest node.
 

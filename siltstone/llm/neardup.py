@@ -9,6 +9,7 @@ independent ones. Most sets need a few rounds, not t hashes of each element.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,17 +17,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import Rolling, U, Words, chunks, components, discard, mix, stage
+from siltstone.llm.common import Rolling, U, Words, chunks, components, discard, forest, mix, spread_join, stage
 
-SHINGLE, PERCENT = 5, 85
-#: Two sets at the threshold share no band with a probability of (1 - 0.85 ** 8) ** 44, below 1e-6.
-ROWS, BANDS = 8, 44
-COORDINATES = ROWS * BANDS
-#: Of what rounds of leaders leave, buckets of up to so many classes are joined with themselves; larger ones
-#: are compared in blocks of about BLOCK classes.
+#: The similarity that op7's contract names, and the one for which near copies leave a corpus.
+SHINGLE, PERCENT, CORPUS_PERCENT = 5, 85, 80
+#: Two sets at the threshold share no band with at most this probability; coordinates of a sketch at most.
+MISSED, COORDINATES = 1e-6, 384
+#: Of what rounds of leaders leave, buckets of up to so many classes are joined with themselves, as their sets are then
+#: moved once; larger ones are compared in blocks of about BLOCK classes. Either way every pair is compared.
 SMALL, BLOCK = 16, 384
 
 
+def banding(percent: int) -> tuple[int, int]:
+    """Rows of a band, and bands: the longest bands that miss a pair at the threshold with probability ``MISSED`` at most."""
+    for rows in range(16, 0, -1):
+        bands = int(np.ceil(np.log(MISSED) / np.log1p(-((percent / 100) ** rows)))) if percent < 100 else 1
+        if rows * bands <= COORDINATES or rows == 1:
+            return rows, bands
+
+
 def shingle_sets(texts: list[bytes | None], k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """The sets of hashed k-word shingles, each sorted, one after the other; where each begins, and the end."""
     words = Words(texts, lower=True)
@@ -74,7 +83,7 @@ def sketches(h: np.ndarray, starts: np.ndarray, t: int = COORDINATES) -> np.ndar
     return out
 
 
-def band_keys(sketch: np.ndarray, bands: int = BANDS) -> np.ndarray:
+def band_keys(sketch: np.ndarray, bands: int) -> np.ndarray:
     """A 64-bit key for each band of each sketch; the band's number is part of it."""
     rows = sketch.reshape(len(sketch), bands, -1)
     key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * U(0xE7037ED1A0B428DB), rows.shape[:2]).copy()
@@ -83,40 +92,19 @@ def band_keys(sketch: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return key
 
 
-def bit_planes(sketch: np.ndarray) -> np.ndarray:
-    """Two bits of each coordinate, packed: a plane of first bits and a plane of second bits, as 64-bit words."""
-    x = mix(sketch)
-    width = -(-sketch.shape[1] // 64) * 64
-    planes = np.zeros((len(sketch), 2, width), np.uint8)
-    planes[:, 0, : sketch.shape[1]], planes[:, 1, : sketch.shape[1]] = x & U(1), x >> U(1) & U(1)
-    return np.packbits(planes, axis=2).view(np.int64).reshape(len(sketch), -1)
-
-
-def alike(percent: int, a: str = "bits", b: str = "bits_b", t: int = COORDINATES) -> F.Column:
-    """Whether two sketches' bit planes differ in no more coordinates than sets at the threshold do.
+def _sketched(percent: int):
+    rows, bands = banding(percent)
 
-    Coordinates of such sets differ with probability 1 - percent / 100, three in four of which show in
-    two bits. The bound lies six standard deviations above the mean.
-    """
-    q = (1 - percent / 100) * 0.75
-    words = -(-t // 64)
-    differ = sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i]).bitwiseOR(F.col(a)[i + words].bitwiseXOR(F.col(b)[i + words]))) for i in range(words)), F.lit(0))
-    return differ <= int(t * q + 6 * (t * q * (1 - q)) ** 0.5)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each set its size, a digest of all of it, and its band keys."""
+        for chunk in chunks(batches, limit=1 << 19):
+            h, starts = shingle_sets(chunk.column("text").to_pylist())
+            keys = band_keys(sketches(h, starts, rows * bands), bands).view(np.int64)
+            sig = [hashlib.blake2b(h[a:b].tobytes(), digest_size=16).digest() for a, b in zip(starts[:-1], starts[1:], strict=True)]
+            lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32), pa.array(keys.ravel()))
+            yield pa.RecordBatch.from_arrays([chunk.column("rid"), chunk.column("id"), pa.array(np.diff(starts), pa.int64()), pa.array(sig, pa.binary()), lists], ["rid", "id", "n", "sig", "bands"])
 
-
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for chunk in chunks(batches, limit=1 << 19):
-        h, starts = shingle_sets(chunk.column("text").to_pylist())
-        sketch = sketches(h, starts)
-        keys, bits = band_keys(sketch).view(np.int64), bit_planes(sketch)
-        n = np.diff(starts)
-        # of equal sets, equal; two numbers, of which one alone would meet by chance among very many sets
-        sums = np.zeros((2, len(h) + 1), np.uint64)
-        np.cumsum(mix(h), out=sums[0, 1:])
-        np.cumsum(mix(h ^ U(0x589965CC75374CC3)), out=sums[1, 1:])
-        sig = (sums[:, starts[1:]] - sums[:, starts[:-1]]).view(np.int64)
-        lists = [pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), pa.array(x.ravel())) for x in (keys, bits)]
-        yield pa.RecordBatch.from_arrays([chunk.column("rid"), chunk.column("id"), pa.array(n, pa.int64()), pa.array(sig[0]), pa.array(sig[1]), *lists], ["rid", "id", "n", "sig", "sig2", "bands", "bits"])
+    return run
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +115,11 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b), those with 100 * intersection >= percent * union of their full sets."""
+    """Of the pairs (a, b, ...), those with 100 * intersection >= percent * union of their full sets.
+
+    A leader is in very many pairs, so its set goes to as many tasks as those need.
+    """
+    names = pairs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,10 +128,11 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select(names).filter(pa.array(keep, pa.bool_()))
 
-    full = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
-    return full.select("a", "b", "x", "y").mapInArrow(run, pairs.select("a", "b").schema)
+    leaders = sets.select(F.col("node").alias("b"), F.col("set").alias("y")).join(pairs.groupBy("b").agg(F.count("*").alias("c")), "b")
+    full = spread_join(pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a"), leaders, "b").drop("c")
+    return full.select(*names, "x", "y").mapInArrow(run, pairs.schema)
 
 
 def shared(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -158,10 +151,11 @@ def shared(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
 
 
 def compared(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between classes of different components in large buckets, found block against block.
+    """Links (a, b) between components whose classes meet in large buckets, found block against block.
 
-    A bucket of c classes is cut into c / ``BLOCK`` blocks by a hash; a task has two blocks of a bucket at
-    a time and gives out links alone. A pair that meets in several buckets is compared in the least one.
+    A bucket of c classes is cut into c / ``BLOCK`` blocks by a hash, and two blocks of it are compared at a time.
+    A pair that meets in several buckets is compared in the least one. What comes out joins what is linked and
+    grows with a block's classes, not with its pairs.
     """
     count = F.ceil(F.col("c") / BLOCK).cast("int")
     keys = members.groupBy("node").agg(F.collect_list("key").alias("keys"))
@@ -171,7 +165,7 @@ def compared(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def links(table: pa.Table) -> pa.Table:
         key, i, j = (table.column(c)[0].as_py() for c in ("key", "i", "j"))
-        own, node, component = (table.column(c).to_numpy() for c in ("own", "node", "component"))
+        own, component = (table.column(c).to_numpy() for c in ("own", "component"))
         found = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("set")]
         less = [k[k < key] for k in map(np.array, table.column("keys").to_pylist())]
         a, b = np.flatnonzero(own == i), np.flatnonzero(own == j)
@@ -181,23 +175,33 @@ def compared(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         n = np.array([len(x) for x in found])
         near = 100 * both >= percent * (n[a][:, None] + n[b] - both)
         near &= component[a][:, None] != component[b]
-        if i == j:
-            near &= node[a][:, None] < node[b]
         near &= shared([less[x] for x in a], [less[x] for x in b]) == 0
-        x, y = np.nonzero(near)
-        return pa.table({"a": node[a][x], "b": node[b][y]})
+        x = component[forest(near, a, b, len(n))]
+        linked = x != component
+        return pa.table({"a": component[linked], "b": x[linked]})
 
     return rows.groupBy("key", "i", "j").applyInArrow(links, "a long, b long")
 
 
+def joined_up(found: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Nodes and their components, after components that ``links`` (a, b) tells of are one."""
+    new = components(links)
+    if found is None:
+        return new
+    to = new.select(F.col("node").alias("component"), F.col("component").alias("_to"))
+    moved = found.join(to, "component", "left").select("node", F.coalesce("_to", "component").alias("component"))
+    return moved.union(new.join(found, "node", "left_anti").select("node", "component"))
+
+
 def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", percent: int = PERCENT, number: str | None = None) -> DataFrame:
     """One row per row of ``df``: rid, id, n_shingles, component_id, kept, first.
 
-    Rows with equal sets are one class, and bands are joined between classes only. In rounds, a bucket's
-    classes are compared with a leader, the class that meets most others in all buckets, and the leader
-    leaves the bucket; buckets whose classes are in one component are done. When a round no longer halves
-    the pairs of different components, those that are left are compared with each other. So no link is lost, while a bucket of near copies costs about as many comparisons as it has members. Comparisons
-    are of full sets.
+    Rows with equal sets are one class, known by a digest of the set, and bands are joined between classes
+    only. In rounds, a bucket's classes are compared with a leader, the class that meets most others in all
+    buckets, and the leader leaves the bucket; buckets whose classes are in one component are done. When a
+    round no longer halves the pairs of different components, those that are left are compared with each
+    other. So no link is lost, while a bucket of near copies costs about as many comparisons as it has
+    members. Comparisons are of full sets. Rows of frequent keys, sets and leaders are dealt to many tasks.
 
     ``rid`` is the column ``number``, a number of each row that is stored, so that every reading has the same;
     without one, rows are numbered and staged here. ``component_id`` is the
@@ -210,59 +214,59 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", perce
     # a second reading may be split, and so numbered, in another way
     docs = docs if number else stage(docs, "numbered")
     kind = docs.schema["id"].dataType.simpleString()
-    rows = stage(docs.mapInArrow(_sketch, f"rid long, id {kind}, n long, sig long, sig2 long, bands array<long>, bits array<long>"), "sketches")
-    plain = rows.drop("bands", "bits")
-    classes = plain.where("n > 0").groupBy("n", "sig", "sig2").agg(F.min("rid").alias("node"), F.min("id").alias("low"))
+    rows = stage(docs.mapInArrow(_sketched(percent), f"rid long, id {kind}, n long, sig binary, bands array<long>"), "sketches")
+    plain = rows.drop("bands")
+    classes = plain.where("n > 0").groupBy("sig").agg(F.min("rid").alias("node"), F.min("id").alias("low"), F.count("*").alias("c"))
     classes = stage(classes, "classes")
     heads = rows.join(classes.select(F.col("node").alias("rid")), "rid", "left_semi").withColumnRenamed("rid", "node")
-    members = heads.select("node", F.explode("bands").alias("key"))
-    multi = members.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    buckets = stage(members.join(multi, "key"), "buckets")
+    banded = heads.select("node", "n", F.explode("bands").alias("key"))
+    counts = stage(banded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "keys")
+    buckets = stage(spread_join(banded, counts, "key"), "buckets")
     weights = buckets.groupBy("node").agg(F.sum("c").alias("weight"))
-    members = stage(buckets.select("node", "key").join(heads.select("node", "n", "bits").join(weights, "node"), "node"), "members")
-    discard(buckets)
-    wanted = members.select(F.col("node").alias("rid")).distinct()
+    members = buckets.select("key", "node", "n").join(weights, "node")
+    wanted = buckets.select(F.col("node").alias("rid")).distinct()
     sets = stage(docs.select("rid", "text").join(wanted, "rid", "left_semi").mapInArrow(_sets, "node long, set binary"), "sets")
-    if not number:
-        discard(docs)
-    near = F.expr(f"component <> d AND 100 * least(n, m) >= {int(percent)} * greatest(n, m)") & alike(percent)
-    links, found, before, source = None, None, None, members
+    used = [counts, buckets, sets, *([] if number else [docs])]
+    near = F.expr(f"component <> d AND 100 * least(n, m) >= {int(percent)} * greatest(n, m)")
+    found, before = None, None
     while True:
         rest = members if found is None else members.join(found, "node", "left")
         rest = rest.withColumn("component", F.col("node") if found is None else F.coalesce("component", "node"))
-        sizes = rest.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("s")).where("c * c > s")
-        members = stage(rest.join(sizes.select("key", "c"), "key"), "rest")
-        left = sizes.agg(F.coalesce(F.sum(F.col("c") * F.col("c") - F.col("s")), F.lit(0))).first()[0]
-        discard(source)
-        every = left == 0 or (before is not None and 2 * left > before)
-        before = left
+        stat = rest.groupBy("key", "component").agg(F.count("*").alias("k"), F.max(F.struct("weight", "node", "n", "component")).alias("l"))
+        stat = stat.groupBy("key").agg(F.sum("k").alias("c"), F.sum(F.col("k") * F.col("k")).alias("s"), F.max("l").alias("l")).where("c * c > s")
+        stat = stage(stat.select("key", "c", "s", F.col("l.node").alias("b"), F.col("l.n").alias("m"), F.col("l.component").alias("d")), "leaders")
+        left = stat.agg(F.coalesce(F.sum(F.col("c") * F.col("c") - F.col("s")), F.lit(0))).first()[0]
+        used.append(stat)
+        if left == 0:
+            break
+        every, before = before is not None and 2 * left > before, left
+        led = stage(spread_join(rest, stat.drop("s"), "key"), "led")
+        used.append(led)
+        pairs = led
         if every:
-            small = members.where(F.col("c") <= SMALL)
-            other = small.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("component").alias("d"), F.col("bits").alias("bits_b"))
-            pairs = small.join(other, "key").where(near & F.expr("node < b"))
-        else:
-            leaders = members.groupBy("key").agg(F.max(F.struct("weight", "node", "n", "component", "bits")).alias("l")).select("key", F.col("l.node").alias("b"), F.col("l.n").alias("m"), F.col("l.component").alias("d"), F.col("l.bits").alias("bits_b"))
-            led = stage(members.join(leaders, "key"), "led")
-            discard(members)
-            pairs = led.where(near)
-        fresh = stage(verified(pairs.select(F.col("node").alias("a"), "b").distinct(), sets, percent), "verified")
-        links = fresh if links is None else links.union(fresh)
+            small = led.where(F.col("c") <= SMALL).drop("b", "m", "d", "c")
+            pairs = small.join(small.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("component").alias("d")), "key").where("node < b")
+        pairs = stage(pairs.where(near).select(F.col("node").alias("a"), "b", "component", "d").distinct(), "pairs")
+        links = verified(pairs, sets, percent).select(F.col("component").alias("a"), F.col("d").alias("b"))
         if every:
-            links = links.union(stage(compared(members, sets, percent), "compared"))
-        found = stage(components(links), "components")
+            links = links.union(compared(led, sets, percent))
+        old, found = found, stage(joined_up(found, links), "components")
+        used += [pairs, *([] if old is None else [old])]
         if every:
             break
-        members, source = led.where("node <> b").select("node", "n", "bits", "key", "weight"), led
-    labels = classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        members = led.where("node <> b").select("key", "node", "n", "weight")
+    labels = classes.withColumn("component", F.col("node")) if found is None else classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = labels.groupBy("component").agg(F.min("low").alias("component_id"), F.min(F.struct(F.col("low").isNull().alias("z"), "low", "node"))["node"].alias("head"))
-    labels = labels.join(least, "component").select("n", "sig", "sig2", "node", "low", "component_id", "head")
+    labels = labels.join(least, "component").select("sig", "c", "node", "low", "component_id", "head")
+    out = stage(spread_join(plain.where("n > 0"), labels, "sig").drop("c"), "labelled")
     # of the head's class, the row with the least id stays, and of equal ids the least rid
-    out = plain.join(labels, ["n", "sig", "sig2"], "left")
-    stays = plain.join(labels.where("node = head").select("n", "sig", "sig2", "low"), ["n", "sig", "sig2"]).where(F.col("id").eqNullSafe(F.col("low"))).groupBy("n", "sig", "sig2").agg(F.min("rid").alias("rid")).select("rid", F.lit(True).alias("stays"))
-    out = out.join(stays, "rid", "left")
-    lone = F.col("n") == 0
-    component = F.when(lone, F.col("id")).otherwise(F.col("component_id"))
-    return out.select("rid", "id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"), (lone | F.coalesce("stays", F.lit(False))).alias("first"))
+    stays = out.where("node = head AND id <=> low").groupBy("sig").agg(F.min("rid").alias("rid")).select("rid", F.lit(True).alias("stays"))
+    out = out.join(stays, "rid", "left").select("rid", "id", F.col("n").alias("n_shingles"), "component_id", F.coalesce("stays", F.lit(False)).alias("first"))
+    lone = plain.where("n = 0").select("rid", "id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"), F.lit(True).alias("first"))
+    for df_ in used:
+        discard(df_)
+    out = out.union(lone)
+    return out.select("rid", "id", "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"), "first")
 
 
 def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -271,10 +275,10 @@ def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without those that are near copies of another: one of each component stays."""
+    """The documents without those that are near copies of another, of similarity 0.8 or more: one of each component stays."""
     numbered = stage(docs.select(F.struct(*docs.columns).alias("_doc"), F.monotonically_increasing_id().alias("_rid")), "numbered")
     given = numbered.select("_rid", F.col("_doc.doc_id").alias("doc_id"), F.col("_doc.text").alias("text"))
-    kept = stage(near_duplicates(given, number="_rid").where("first").select(F.col("rid").alias("_rid")), "kept")
+    kept = stage(near_duplicates(given, percent=CORPUS_PERCENT, number="_rid").where("first").select(F.col("rid").alias("_rid")), "kept")
     return numbered.join(kept, "_rid", "left_semi").select("_doc.*")
 
 

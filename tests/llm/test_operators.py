@@ -223,6 +223,40 @@ def test_near_duplicates_in_large_buckets(spark, monkeypatch):
         assert bag(neardup.near_duplicates(df), "id", "component_id") == Counter(enumerate(low))
 
 
+def test_near_duplicates_of_frequent_keys(spark, monkeypatch):
+    """A third of all rows equal, many near copies of one text: keys, sets and leaders are split, and nothing changes."""
+    monkeypatch.setattr(common, "LEAST_SPLIT", 3)
+    rng = random.Random(14)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(base)) for i in range(60)]
+    for i in range(60, 120):
+        w = list(base)
+        w[rng.randrange(60)] = f"e{i}"
+        rows.append((i, " ".join(w)))
+    rows += [(i, " ".join(rng.choices("abcdefghijklmnop", k=30))) for i in range(120, 180)]
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for _, t in rows]
+    for percent in (85, 80):
+        low = reachable(180, [(a, b) for a in range(180) for b in range(a) if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])])
+        assert bag(neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=percent), "id", "component_id") == Counter(enumerate(low))
+
+
+def test_recall_of_bands():
+    """Pairs of sets at the threshold share a band; the share that doesn't is what ``banding`` allows."""
+    rng = np.random.default_rng(21)
+    for percent in (80, 85):
+        rows, bands = neardup.banding(percent)
+        assert (1 - (percent / 100) ** rows) ** bands <= neardup.MISSED and rows * bands <= neardup.COORDINATES
+        met = 0
+        for _ in range(300):
+            x = rng.integers(0, 2**63, 220, dtype=np.uint64)
+            both = 200 * percent // 100
+            only = (200 - both) // 2
+            a, b = np.sort(x[: both + only]), np.sort(np.r_[x[:both], x[both + only : both + 2 * only]])
+            keys = neardup.band_keys(neardup.sketches(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), rows * bands), bands)
+            met += bool((keys[0] == keys[1]).any())
+        assert met == 300
+
+
 def test_sketches_agree_as_sets_do():
     rng = np.random.default_rng(2)
     agree = []

@@ -49,7 +49,7 @@ def test_stages(spark):
     raw, quality, unique, clean, mixed, packed = ([r.asDict() for r in df.collect()] for df in held)
     assert {r["doc_id"] for r in quality} == {r["doc_id"] for r in raw if good(r["text"])}
     sets = {r["doc_id"]: shingles(r["text"]) for r in quality}
-    links = {i: [j for j in sets if j != i and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]) > 0] for i in sets}
+    links = {i: [j for j in sets if j != i and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) > 0] for i in sets}
     low = {i: i for i in sets}
     for _ in sets:
         low = {i: min(low[j] for j in [i, *links[i]]) for i in sets}
