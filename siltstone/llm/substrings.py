@@ -5,39 +5,47 @@ Bytes are removed that lie in a 50-byte string which also starts in a document w
 1. Equal texts become one, that of the smallest id; its copies go whole.
 2. *Anchors* are chosen by content: of the 20-byte strings in each 50-byte window, the one with the least
    hash. Equal windows have equal anchors, so only texts that share an anchor can share a window. About
-   one byte in fifteen begins an anchor; their hashes are dealt out, and those found in one document only
-   are dropped.
+   one byte in fifteen begins an anchor. A flush of texts (some MB) keeps those that two of its texts have,
+   and of each sends one entry to the task that has the anchor's hash; the others are sent as they are, and
+   those of one text only are dropped there. So an anchor that all texts have costs an entry a flush.
 3. The bytes around the anchors that are left (30 before, 50 from it on) are dealt out by the anchor's hash.
-   In each group the suffixes from the anchor and the reversed prefixes before it are merge-sorted. Two
-   suffixes are compared by their longest common extension, found by binary search over prefix
-   polynomial hashes; neighbours' extensions are then checked byte by byte. A window that begins a bytes
-   before the anchor equals another if they share a run of extensions of at least 50 - a in the first
-   order, and one of at least a in the second.
+   Here too a flush comes first: of equal contexts the smallest id's goes out, and the others are spans already,
+   as a smaller id has all of their bytes. In each group the suffixes from the anchor and the reversed
+   prefixes before it are merge-sorted. Two suffixes are compared by their longest common extension, found
+   by binary search over prefix polynomial hashes; neighbours' extensions are then checked byte by byte. A
+   window that begins a bytes before the anchor equals another if they share a run of extensions of at least
+   50 - a in the first order, and one of at least a in the second.
 4. The windows' spans go back to the texts, which are cut.
 
-An anchor with more than ``MOST`` occurrences is not gathered in a task: its windows are digested one by one,
-and the smallest id of each is an aggregate that is joined back.
+A window has 30 bytes beside its anchor, so at least 15 on one side. Anchors in very many texts, of which there
+are few, are dealt out by those 15 bytes too, once for either side, and sorted for the windows of that side.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import BYTE_KEYS, Rolling, U, chunks, joined, mix, scratch, stage, tasks
+from siltstone.llm.common import BASE, BYTE_KEYS, Rolling, U, chunks, joined, mix, powers, scratch, spread_join, stage, tasks
 
 LENGTH, ANCHOR = 50, 20
 LEFT = LENGTH - ANCHOR
-MOST = 1 << 21
+#: Bytes beside a frequent anchor by which it is dealt out; every window has them on one side.
+SIDE = LEFT // 2
+#: An anchor is frequent from so many texts on, and from a share of all anchors that at most FREQUENT have.
+MOST, FREQUENT = 1 << 17, 4096
 #: Anchors, and contexts of anchors, that a task has at once.
 ANCHORS_PER_BUCKET, CONTEXTS_PER_BUCKET = 1 << 20, 1 << 17
-FLUSH = 1 << 19
+#: Anchors, and contexts, that a task of texts gathers before it deals them out.
+FLUSH, HELD = 1 << 19, 1 << 17
 LAST = 2**63 - 1
 
 
@@ -133,9 +141,12 @@ def suffix_sort(data: np.ndarray, start: np.ndarray, length: np.ndarray, group:
     return order, lcp
 
 
-def matches(data: np.ndarray, low: np.ndarray, mid: np.ndarray, high: np.ndarray, owner: np.ndarray, group: np.ndarray) -> np.ndarray:
+def matches(data: np.ndarray, low: np.ndarray, mid: np.ndarray, high: np.ndarray, owner: np.ndarray, group: np.ndarray, side: np.ndarray) -> np.ndarray:
     """For contexts low:mid:high in ``data`` with an anchor at mid, sorted by group: the smallest owner of each
     window, a row for each number of bytes that it begins before the anchor.
+
+    Where ``side`` is 1 only windows with ``SIDE`` bytes behind the anchor are looked at, where it is 2 those with
+    as many before it.
     """
     n = len(low)
     right, right_lcp = suffix_sort(data, mid, high - mid, group)
@@ -153,7 +164,7 @@ def matches(data: np.ndarray, low: np.ndarray, mid: np.ndarray, high: np.ndarray
         edge = np.flatnonzero(np.r_[True, key[by][1:] != key[by][:-1]][:n])
         if n:
             out[a, by] = np.repeat(np.minimum.reduceat(owner[by], edge), np.diff(np.r_[edge, n]))
-        out[a, (mid - low < a) | (high - mid < LENGTH - a)] = LAST
+        out[a, (mid - low < a) | (high - mid < LENGTH - a) | ((side == 1) & (a > LEFT - SIDE)) | ((side == 2) & (a < SIDE))] = LAST
     return out
 
 
@@ -186,97 +197,145 @@ def dealt(bucket: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int,
         yield int(bucket[order[a]]), [c[order[a:b]] for c in columns]
 
 
+def smaller(h: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of anchor and text, sorted; where each anchor's begin, and how many there are."""
+    order = np.lexsort((d, h))
+    h, d = h[order], d[order]
+    fresh = np.r_[True, (h[1:] != h[:-1]) | (d[1:] != d[:-1])][: len(h)]
+    h, d = h[fresh], d[fresh]
+    edge = np.flatnonzero(np.r_[True, h[1:] != h[:-1]][: len(h)])
+    return h, d, edge, np.diff(np.r_[edge, len(h)])
+
+
+def merged(text: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans by text and place, those that touch as one."""
+    order = np.lexsort((s, text))
+    text, s, e = text[order], s[order], e[order]
+    if not len(s):
+        return text, s, e
+    # ends only grow along a text, as all texts lie one after another in one line
+    line = text.astype(np.int64) << 34
+    reach = np.maximum.accumulate(line + e)
+    first = np.r_[True, (line + s)[1:] > reach[:-1]]
+    at = np.flatnonzero(first)
+    return text[at], s[at], np.r_[reach[at[1:] - 1], reach[-1]] - line[at]
+
+
 def repeated_substrings(df: DataFrame, id: str = "doc_id", text: str = "text", most: int = MOST) -> DataFrame:
     """One row per row of ``df``: id, n_bytes, n_removed, n_spans, kept (binary), kept_sha256.
 
     A null text is empty. A null id counts as larger than all others; rows with equal ids don't remove
     from each other, unless both repeat a smaller one. Repeated rows give equal rows. Texts under 50 bytes
-    stay whole. Only the two columns named are read. An empty table gives an empty result.
+    stay whole. Only the two columns named are read, and they are read once. An empty table gives an empty
+    result. ``most`` is how many texts an anchor is in at least before it is dealt out by the bytes beside it.
     """
     spark = df.sparkSession
     given = df.select(F.col(id).alias("id"), F.coalesce(F.col(id).cast("long"), F.lit(LAST)).alias("o"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"))
     given = given.withColumn("tk", F.unhex(F.md5("text")))
-    rows = stage(given.select("id", "o", "tk", F.octet_length("text").cast("long").alias("n_bytes")), "rows")
-    heads = rows.groupBy("tk").agg(F.min("o").alias("head_o")).select("head_o", F.col("tk").alias("head"))
+    rows = stage(given.select("id", "o", "tk", F.octet_length("text").cast("long").alias("n_bytes"), F.when(F.octet_length("text") < LENGTH, F.col("text")).alias("short")), "rows")
+    firsts = stage(rows.where(F.col("n_bytes") >= LENGTH).groupBy("tk").agg(F.min("o").alias("head_o"), F.count("*").alias("c")), "firsts")
+    heads = firsts.select(F.xxhash64("head_o", "tk").alias("head_d"), "head_o", F.col("tk").alias("head"))
     buckets = min(max(tasks(spark), 4), 100_000)
     name, path = f"siltstone_{uuid.uuid4().hex}", scratch(spark, "texts")
-    # joined on o alone, by which the texts are dealt out anyway: they are moved once; the texts are known by their
-    # digests, as a number of a row may be another in a second reading, and numbered where they are stored
-    texts = given.select("o", "tk", "text").repartition(buckets, "o")
-    texts = texts.join(heads, (F.col("o") == F.col("head_o")) & (F.greatest("tk", "head") == F.least("tk", "head")), "left_semi")
-    texts = texts.groupBy("o", "tk").agg(F.first("text").alias("text")).select("o", F.monotonically_increasing_id().alias("rid"), "tk", "text")
-    texts.write.bucketBy(buckets, "o").option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
+    # texts are dealt out by a hash of id and digest, joined on it with those that are kept, and stored so: they are
+    # moved once, and texts that share an id, or have none, aren't dealt to one task. In a second reading rows may come
+    # in another order, but id and digest are the same; numbers are given where the texts are stored.
+    texts = given.select(F.xxhash64("o", "tk").alias("d"), "o", "tk", "text").repartition(buckets, "d")
+    exact = (F.greatest("o", "head_o") == F.least("o", "head_o")) & (F.greatest("tk", "head") == F.least("tk", "head"))
+    texts = texts.join(heads, (F.col("d") == F.col("head_d")) & exact, "left_semi")
+    texts = texts.groupBy("d", "o", "tk").agg(F.first("text").alias("text")).select("d", "o", F.monotonically_increasing_id().alias("rid"), "tk", "text")
+    texts.write.bucketBy(buckets, "d").option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
     texts = spark.table(name)
-    total = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    deal = max(1, int(total) // (15 * ANCHORS_PER_BUCKET) + 1)
+    total = int(texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
+    deal = total // (15 * ANCHORS_PER_BUCKET) + 1
+    # no table has more anchors than bytes, so at most 15 * FREQUENT anchors are frequent
+    limit = max(most, total // (15 * FREQUENT))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Entries of anchors by bucket; and, dealt anywhere, the anchors that two texts of a flush have, by text."""
         held: list[tuple[np.ndarray, np.ndarray]] = []
+        turn = itertools.count(TaskContext.get().partitionId() * 7919)
 
         def flush() -> Iterator[pa.RecordBatch]:
             if held:
-                h, o = (np.concatenate(x) for x in zip(*held, strict=True))
-                parts = [(b, hs.tobytes(), os.tobytes()) for b, (hs, os) in dealt((h >> U(8)) % U(deal), [h, o])]
+                h, d, edge, count = smaller(*(np.concatenate(x) for x in zip(*held, strict=True)))
                 held.clear()
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*parts, strict=True)], ["b", "h", "o"])
+                both = np.repeat(count > 1, count)
+                parts = [(b, hs.tobytes(), ds.tobytes(), ns.tobytes()) for b, (hs, ds, ns) in dealt((h[edge] >> U(8)) % U(deal), [h[edge], d[edge], count.astype(np.uint32)])]
+                if both.any():
+                    parts.append((deal + next(turn) % deal, h[both].tobytes(), d[both].tobytes(), None))
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*parts, strict=True), (pa.int64(), *[pa.binary()] * 3), strict=True)], ["b", "h", "d", "n"])
 
         for chunk in chunks(batches):
             h, owner, *_ = anchors(chunk.column("text").to_pylist())
             if len(h):
-                held.append((h, chunk.column("o").to_numpy()[owner]))
+                held.append((h, chunk.column("d").to_numpy()[owner]))
             if sum(len(x) for x, _ in held) >= FLUSH:
                 yield from flush()
         yield from flush()
 
     def meet(table: pa.Table) -> pa.Table:
-        """The anchors of a bucket that two documents have, by document; the low bit tells frequent ones."""
+        """The anchors of a bucket that two texts have, by text; frequent ones once more, without a text."""
         h = np.frombuffer(b"".join(table.column("h").to_pylist()), np.uint64)
-        o = np.frombuffer(b"".join(table.column("o").to_pylist()), np.int64)
-        order = np.lexsort((o, h))
-        h, o = h[order], o[order]
+        d = np.frombuffer(b"".join(table.column("d").to_pylist()), np.int64)
+        if table.column("b")[0].as_py() >= deal:
+            return pa.table({"d": d, "h": h.view(np.int64)})
+        n = np.frombuffer(b"".join(table.column("n").to_pylist()), np.uint32).astype(np.int64)
+        order = np.lexsort((d, h))
+        h, d, n = h[order], d[order], n[order]
         edge = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-        count = np.diff(np.r_[edge, len(h)])
-        keep = np.repeat(o[edge] != o[edge + count - 1], count)
-        keep &= np.r_[True, (h[1:] != h[:-1]) | (o[1:] != o[:-1])]
-        tagged = h - np.repeat((count > most).astype(np.uint64), count)
-        return pa.table({"o": o[keep], "h": tagged[keep].view(np.int64)})
-
-    plain = texts.select("o", "rid", "text")
-    found = plain.mapInArrow(find, "b long, h binary, o binary").groupBy("b").applyInArrow(meet, "o long, h long")
-    found = stage(found, "anchors")
+        size = np.diff(np.r_[edge, len(h)])
+        shared = (d[edge] != d[edge + size - 1]) | (np.maximum.reduceat(n, edge) > 1)
+        keep = np.repeat(shared, size) & (n == 1)
+        often = h[edge][np.add.reduceat(n, edge) > limit]
+        return pa.table({"d": pa.concat_arrays([pa.array(d[keep]), pa.nulls(len(often), pa.int64())]), "h": np.r_[h[keep], often].view(np.int64)})
+
+    plain = texts.select("d", "o", "rid", "text")
+    found = stage(plain.mapInArrow(find, "b long, h binary, d binary, n binary").groupBy("b").applyInArrow(meet, "d long, h long"), "anchors")
+    frequent = np.sort(np.array([r["h"] for r in found.where("d IS NULL").select("h").collect()], np.int64).view(np.uint64))
     count = found.count()
-    spread = max(1, 2 * count // CONTEXTS_PER_BUCKET + 1)
-    wanted = found.groupBy("o").agg(F.collect_list("h").alias("hs"))
+    spread = 2 * count // CONTEXTS_PER_BUCKET + 1
+    wanted = found.where("d IS NOT NULL").groupBy("d").agg(F.collect_list("h").alias("hs"))
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of shared anchors the bytes around them, by bucket; of frequent ones each window's digest, as a row."""
-        names = ["b", "blob", "w", "o", "rid", "at"]
-        kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+        """Of shared anchors the bytes around them, by bucket, and spans that are known already, dealt anywhere."""
         held: list[list[np.ndarray]] = []
-        pieces: list[bytes] = []
-        number = 0
+        turn = itertools.count(TaskContext.get().partitionId() * 7919)
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal number
             if held:
-                h, context, left, right, item, o, rid, inside = (np.concatenate(x) for x in zip(*held, strict=True))
-                size = left.astype(np.int64) + right
-                ends = np.cumsum(size)
-                data = np.frombuffer(b"".join(pieces), np.uint8)
-                owners = (h[item] >> U(8)) % U(spread)
-                items = dict(dealt(owners, [item, o, rid, inside]))
-                out = []
-                for b, part in dealt((h >> U(8)) % U(spread), [np.arange(len(h)), h, context, left, right, ends - size, size]):
-                    item_, *rest = items[b]
-                    at = np.repeat(part[5] - (np.cumsum(part[6]) - part[6]), part[6]) + np.arange(part[6].sum())
-                    head = np.array([len(part[0]), len(item_)], np.int64).tobytes()
-                    own = np.searchsorted(part[0], item_).astype(np.uint32)
-                    blob = b"".join([head, *(c.tobytes() for c in (*part[1:5], own, *rest)), data[at].tobytes()])
-                    out.append((b, blob, None, None, None, None))
+                h, context, left, right, o, rid, d, inside, data = (np.concatenate(x) for x in zip(*held, strict=True))
                 held.clear()
-                pieces.clear()
-                number = 0
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+                size = left + right
+                start = np.cumsum(size) - size
+                first, number = same_contexts([h, context], start, size, data)
+                least = np.full(len(first), LAST)
+                np.minimum.at(least, number, o)
+                later = o > least[number]
+                out = []
+                if later.any():
+                    out.append((spread + next(turn) % spread, packed_spans(d[later], rid[later], (inside - left)[later], (inside + right)[later])))
+                # each context with its owners' places; a frequent anchor's twice, by the bytes on either side of it
+                often = np.isin(h[first], frequent)
+                which, key, side = [np.flatnonzero(~often)], [h[first][~often]], [np.zeros(int((~often).sum()), np.uint8)]
+                for code, offset, fits in ((1, (left + ANCHOR)[first], right[first] >= ANCHOR + SIDE), (2, (left - SIDE)[first], left[first] >= SIDE)):
+                    x = np.flatnonzero(often & fits)
+                    beside = data[(start[first] + offset)[x][:, None] + np.arange(SIDE)]
+                    which.append(x)
+                    key.append(mix(h[first][x] + mix((BYTE_KEYS[beside] * powers(BASE, SIDE)).sum(1) + U(code))))
+                    side.append(np.full(len(x), code, np.uint8))
+                which, key, side = (np.concatenate(x) for x in (which, key, side))
+                places = np.flatnonzero(~later)
+                places = places[np.argsort(number[places], kind="stable")]
+                begin = np.searchsorted(number[places], which)
+                n = np.searchsorted(number[places], which, "right") - begin
+                for b, (w, k, sd, at, m) in dealt((key >> U(8)) % U(spread), [which, key, side, begin, n]):
+                    item = places[np.repeat(at - (np.cumsum(m) - m), m) + np.arange(m.sum())]
+                    f = first[w]
+                    bytes_ = data[np.repeat(start[f] - (np.cumsum(size[f]) - size[f]), size[f]) + np.arange(size[f].sum())]
+                    columns = (k, context[f], left[f].astype(np.uint8), right[f].astype(np.uint8), sd, np.repeat(np.arange(len(w)), m).astype(np.uint32), o[item], rid[item], d[item], inside[item].astype(np.uint32))
+                    out.append((b, b"".join([np.array([len(w), len(item)], np.int64).tobytes(), *(c.tobytes() for c in columns), bytes_.tobytes()])))
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.binary()), strict=True)], ["b", "blob"])
 
         for chunk in chunks(batches):
             raw = chunk.column("text").to_pylist()
@@ -285,53 +344,40 @@ def repeated_substrings(df: DataFrame, id: str = "doc_id", text: str = "text", m
             every = lists.flatten().to_numpy().view(np.uint64)
             of = np.repeat(np.arange(len(raw)), np.diff(lists.offsets.to_numpy()))
             # an anchor is sought if its hash and text are among the pairs
-            sought = mix((every | U(1)) + mix(of.astype(np.uint64) + U(1)))
-            order = np.argsort(sought, kind="stable")
-            sought, rare = sought[order], (every[order] & U(1)) == 1
+            sought = np.sort(mix(every + mix(of.astype(np.uint64) + U(1))))
             asked = mix(h + mix(owner.astype(np.uint64) + U(1)))
-            place = np.minimum(np.searchsorted(sought, asked), max(len(sought) - 1, 0))
-            hit = sought[place] == asked
-            h, owner, at, plain_ = h[hit], owner[hit], at[hit], rare[place][hit]
-            o, rid = (chunk.column(c).to_numpy() for c in ("o", "rid"))
-            inside = at - starts[owner]
-            left = np.minimum(inside, LEFT)
+            hit = sought[np.minimum(np.searchsorted(sought, asked), max(len(sought) - 1, 0))] == asked if len(sought) else np.zeros(len(asked), bool)
+            left = np.minimum(at - starts[owner], LEFT)
             right = np.minimum(starts[owner + 1] - 1 - at, LENGTH)
-            data = b"\n".join([*raw, b""])
-            p = np.flatnonzero(plain_)
-            if len(p):
-                context = mix(rolling((at - left)[p], (at + right)[p]) + (left[p] * 64 + right[p]).astype(np.uint64))
-                first, item = same_contexts([h[p], context], (at - left)[p], (left + right)[p], np.frombuffer(data, np.uint8))
-                f = p[first]
-                pieces.extend(data[a:b] for a, b in zip((at - left)[f].tolist(), (at + right)[f].tolist(), strict=True))
-                held.append([h[f], context[first], left[f].astype(np.uint8), right[f].astype(np.uint8), item + number, o[owner[p]], rid[owner[p]], inside[p].astype(np.uint32)])
-                number += len(f)
-            for k in range(0, len(q := np.flatnonzero(~plain_)), 500):
-                part = q[k : k + 500]
-                n = np.maximum(left[part] + right[part] - LENGTH + 1, 0)
-                which = np.repeat(part, n)
-                begin = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + (at - left)[which]
-                digests = [hashlib.md5(data[b : b + LENGTH]).digest() for b in begin.tolist()]
-                nothing = pa.nulls(len(which), pa.int64()), pa.nulls(len(which), pa.binary())
-                yield pa.RecordBatch.from_arrays([*nothing, pa.array(digests, pa.binary()), *[pa.array(x, pa.int64()) for x in (o[owner[which]], rid[owner[which]], begin - starts[owner[which]])]], names)
-            if sum(len(x[5]) for x in held) >= FLUSH // 4:
+            hit &= left + right >= LENGTH
+            h, owner, at, left, right = (x[hit] for x in (h, owner, at, left, right))
+            if len(h):
+                size = left + right
+                data = np.frombuffer(b"\n".join([*raw, b""]), np.uint8)
+                bytes_ = data[np.repeat(at - left - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+                context = mix(rolling(at - left, at + right) + (left * 64 + right).astype(np.uint64))
+                o, rid, d = (chunk.column(c).to_numpy()[owner] for c in ("o", "rid", "d"))
+                held.append([h, context, left, right, o, rid, d, at - starts[owner], bytes_])
+            if sum(len(x[0]) for x in held) >= HELD:
                 yield from flush()
         yield from flush()
 
-    around = plain.join(wanted, "o").select("o", "rid", "text", "hs").mapInArrow(contexts, "b long, blob binary, w binary, o long, rid long, at long")
-
     def sort(table: pa.Table) -> pa.Table:
+        """Of a bucket's contexts, sorted from the anchor on and back from it, the spans that a smaller id has too."""
+        if table.column("b")[0].as_py() >= spread:
+            return unpacked_spans(table.column("blob").to_pylist())
         parts, seen = [], 0
         for blob in table.column("blob"):
             blob = blob.as_buffer()
             n, m = np.frombuffer(blob, np.int64, 2).tolist()
             at, columns = 16, []
-            for kind, count_ in ((np.uint64, n), (np.uint64, n), (np.uint8, n), (np.uint8, n), (np.uint32, m), (np.int64, m), (np.int64, m), (np.uint32, m)):
+            for kind, count_ in ((np.uint64, n), (np.uint64, n), (np.uint8, n), (np.uint8, n), (np.uint8, n), (np.uint32, m), (np.int64, m), (np.int64, m), (np.int64, m), (np.uint32, m)):
                 columns.append(np.frombuffer(blob, kind, count_, at))
                 at += columns[-1].nbytes
-            columns[4] = columns[4].astype(np.int64) + seen
+            columns[5] = columns[5].astype(np.int64) + seen
             seen += n
             parts.append((*columns, np.frombuffer(blob, np.uint8, -1, at)))
-        h, context, left, right, item, o, rid, inside, data = (np.concatenate(x) for x in zip(*parts, strict=True))
+        h, context, left, right, side, item, o, rid, d, inside, data = (np.concatenate(x) for x in zip(*parts, strict=True))
         left, right = left.astype(np.int64), right.astype(np.int64)
         size = left + right
         start = np.cumsum(size) - size
@@ -339,7 +385,7 @@ def repeated_substrings(df: DataFrame, id: str = "doc_id", text: str = "text", m
         item = number[item]
         least = np.full(len(first), LAST)
         np.minimum.at(least, item, o)
-        smallest = matches(data, start[first], (start + left)[first], (start + size)[first], least, h[first])
+        smallest = matches(data, start[first], (start + left)[first], (start + size)[first], least, h[first], side[first])
         before, after = np.full(len(o), -1), np.full(len(o), -1)
         for a in range(LEFT + 1):
             hit = smallest[a][item] < o
@@ -347,15 +393,12 @@ def repeated_substrings(df: DataFrame, id: str = "doc_id", text: str = "text", m
             after[hit & (after < 0)] = LENGTH - a
         hit = before >= 0
         inside = inside.astype(np.int64)
-        return pa.table({"o": o[hit], "rid": rid[hit], "s": (inside - before)[hit], "e": (inside + after)[hit]})
+        return unpacked_spans([packed_spans(d[hit], rid[hit], (inside - before)[hit], (inside + after)[hit])])
 
-    spans = around.where("b IS NOT NULL").select("b", "blob").groupBy("b").applyInArrow(sort, "o long, rid long, s long, e long")
-    if not found.where("h % 2 = 0").isEmpty():
-        windows = stage(around.where("w IS NOT NULL").select("w", "o", "rid", "at"), "windows")
-        least = windows.groupBy("w").agg(F.min("o").alias("m"))
-        spans = spans.union(windows.join(least, "w").where("m < o").select("o", "rid", F.col("at").alias("s"), (F.col("at") + LENGTH).alias("e")))
-    # by o alone, which the texts are in buckets of
-    spans = spans.groupBy("o").agg(F.sort_array(F.collect_list(F.struct("rid", "s", "e"))).alias("spans"))
+    around = plain.join(wanted, "d").select("d", "o", "rid", "text", "hs").mapInArrow(contexts, "b long, blob binary")
+    spans = around.groupBy("b").applyInArrow(sort, "d long, rid long, s long, e long")
+    # by d alone, which the texts are in buckets of
+    spans = spans.groupBy("d").agg(F.sort_array(F.collect_list(F.struct("rid", "s", "e"))).alias("spans"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches):
@@ -378,18 +421,33 @@ def repeated_substrings(df: DataFrame, id: str = "doc_id", text: str = "text", m
                 out.append((removed, n, rest, hashlib.sha256(rest).hexdigest()))
             yield pa.RecordBatch.from_arrays([chunk.column("tk"), *[pa.array(x) for x in zip(*out, strict=True)]], ["tk", "n_removed", "n_spans", "kept", "kept_sha256"])
 
-    result = texts.join(spans, "o", "left").select("tk", "rid", "text", "spans").mapInArrow(cut, "tk binary, n_removed long, n_spans long, kept binary, kept_sha256 string")
-    firsts = rows.groupBy("tk").agg(F.min("o").alias("least"))
-    out = rows.join(firsts, "tk").join(result, "tk")
-    gone = (F.col("o") > F.col("least")) & (F.col("n_bytes") >= LENGTH)
-    return out.select(
-        "id",
-        "n_bytes",
-        F.when(gone, F.col("n_bytes")).otherwise(F.col("n_removed")).alias("n_removed"),
-        F.when(gone, F.lit(1).cast("long")).otherwise(F.col("n_spans")).alias("n_spans"),
-        F.when(gone, F.lit(b"")).otherwise(F.col("kept")).alias("kept"),
-        F.when(gone, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.col("kept_sha256")).alias("kept_sha256"),
-    )
+    result = texts.join(spans, "d", "left").select("tk", "rid", "text", "spans").mapInArrow(cut, "tk binary, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    # short texts stay as they are, and copies of a smaller id's go whole: neither waits for the texts, however many there are
+    none = [F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans")]
+    short = rows.where(F.col("n_bytes") < LENGTH).select("id", "n_bytes", *none, F.col("short").alias("kept"), F.sha2("short", 256).alias("kept_sha256"))
+    placed = spread_join(rows.where(F.col("n_bytes") >= LENGTH).select("id", "o", "tk", "n_bytes"), firsts, "tk")
+    gone = placed.where("o > head_o").select("id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(b"").alias("kept"), F.lit(hashlib.sha256(b"").hexdigest()).alias("kept_sha256"))
+    own = placed.where("o = head_o").join(result, "tk").select("id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256")
+    out = short.union(gone).union(own)
+    # the plan has the table's files; its name is no longer needed
+    spark.sql(f"DROP TABLE {name}")
+    return out
+
+
+def packed_spans(d: np.ndarray, rid: np.ndarray, s: np.ndarray, e: np.ndarray) -> bytes:
+    """Spans of texts, those that touch as one."""
+    _, at, text = np.unique(rid, return_index=True, return_inverse=True)
+    text, s, e = merged(text, s, e)
+    return b"".join([np.array([len(s)], np.int64).tobytes(), d[at][text].tobytes(), rid[at][text].tobytes(), s.astype(np.int64).tobytes(), e.astype(np.int64).tobytes()])
+
+
+def unpacked_spans(blobs: list[bytes]) -> pa.Table:
+    columns: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(4)]
+    for blob in blobs:
+        n = int(np.frombuffer(blob, np.int64, 1)[0])
+        for i, c in enumerate(columns):
+            c.append(np.frombuffer(blob, np.int64, n, 8 + 8 * n * i))
+    return pa.table({name: np.concatenate(c) for name, c in zip(("d", "rid", "s", "e"), columns, strict=True)})
 
 
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
