@@ -1,15 +1,16 @@
 """LM scoring with a hierarchical Pitman-Yor model of words.
 
-Restaurants form a tree: one for each of ``FINE`` classes of the preceding word; their parents, one for each
-of ``COARSE`` classes; above them the restaurant of all words; and at the root a uniform draw from the words
-of the training texts and one that stands for all others. A customer who opens a table sends a customer to
+Restaurants form a tree: one for each class of the preceding word, ``FINE`` or more as the corpus grows, so that
+a frequent word has one nearly for itself; their parents, one for each of ``COARSE`` classes; above them the
+restaurant of all words; and at the root a uniform draw from the words of the training texts and one that stands
+for all others. A customer who opens a table sends a customer to
 the parent. Who opens tables is sampled by Gibbs sweeps: the customers of a word leave a restaurant together
 and are seated again one by one, by the Chinese-restaurant probabilities that the parent's word probability
 gives. A word's probability is averaged over the sweeps after the first ones.
 
 Words are dealt out by their hashes: all that a word's customers need to know of other words are the
-restaurants' totals, a few hundred numbers, which are summed over all tasks after each sweep. A task's
-random numbers follow from its words and the sweep, so the state needs no storing: a later pass makes the
+restaurants' totals, a vector of a few numbers a restaurant, which is summed over all tasks after each sweep. A
+task's random numbers follow from its words and the sweep, so the state needs no storing: a later pass makes the
 same sweeps again from the counts and the totals so far.
 
 Texts are never dealt out. A group of texts sends each word's occurrences to where the word's customers are,
@@ -23,12 +24,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import U, Words, chunks, mix, stage
 
-COARSE, FINE = 32, 256
+#: Classes of the preceding word: the parents, and at least and at most the restaurants below them; bytes of text for each.
+COARSE, FINE, MOST_FINE, CLASS_BYTES = 32, 1 << 16, 1 << 20, 1 << 17
 SWEEPS, BURN_IN = 3, 1
 STRENGTH = 1.0
 SEED = 20240611
@@ -36,10 +39,17 @@ SEED = 20240611
 FLUSH, BUCKET_BYTES = 3 << 19, 16 << 20
 #: Tokens of a bucket that are scored in one task, and parts of a bucket's counts that are merged at once.
 SCORED, MERGED = 1 << 22, 1 << 10
+#: Numbers of a totals vector before those of classes; numbers of it that a task sums up at once.
+SCALARS, RANGE = 10, 1 << 13
 END, START = U(0x51C6B0F5A3D98E27), U(0x2B9A6F4471D0C835)
 
 
-def tokens(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def classes(size: int) -> int:
+    """How many classes a corpus of so many bytes has: a power of two."""
+    return min(max(FINE, 1 << max(size // CLASS_BYTES, 1).bit_length() - 1), MOST_FINE)
+
+
+def tokens(texts: list[bytes | None], fine: int = FINE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The hash, the class of the preceding token, and the text, of each token; a text's last is its end."""
     words = Words(texts, lower=True)
     ends = words.first[1:]
@@ -52,8 +62,8 @@ def tokens(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     opens = np.r_[True, doc[1:] != doc[:-1]] if len(doc) else np.zeros(0, bool)
     before[:1], before[1:][opens[1:]] = START, START
     coarse[opens] = mix(np.array([START]))[0] % U(COARSE)
-    fine = coarse * U(FINE // COARSE) + mix(before) % U(FINE // COARSE)
-    return h, fine[: len(h)].astype(np.uint8), doc
+    x = coarse * U(fine // COARSE) + mix(before) % U(fine // COARSE)
+    return h, x[: len(h)].astype(np.uint32), doc
 
 
 def counted(h: np.ndarray, x: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -85,12 +95,12 @@ def seats(c: np.ndarray, a: np.ndarray, d: float, rng: np.random.Generator) -> n
 class Restaurants:
     """The customers of a bucket's words: ``h``, ``x``, ``c`` sorted by word and class."""
 
-    def __init__(self, bucket: int, h: np.ndarray, x: np.ndarray, c: np.ndarray):
-        self.bucket, self.c2, self.x2 = bucket, c, x.astype(np.int64)
+    def __init__(self, bucket: int, h: np.ndarray, x: np.ndarray, c: np.ndarray, fine: int = FINE):
+        self.bucket, self.c2, self.x2, self.fine = bucket, c, x.astype(np.int64), fine
         fresh = np.r_[True, h[1:] != h[:-1]][: len(h)]
         self.words, self.word = h[fresh], np.cumsum(fresh) - 1
-        self.key2 = self.word * FINE + self.x2
-        x1 = self.x2 // (FINE // COARSE)
+        self.key2 = self.word * fine + self.x2
+        x1 = self.x2 // (fine // COARSE)
         self.key1, self.up = np.unique(self.word * COARSE + x1, return_inverse=True)
         self.word1, self.x1 = self.key1 // COARSE, self.key1 % COARSE
         self.t2 = np.minimum(self.c2, 1)
@@ -99,17 +109,14 @@ class Restaurants:
         self.c0 = np.bincount(self.word1, weights=self.t1, minlength=len(self.words)).astype(np.int64)
         self.t0 = np.minimum(self.c0, 1)
 
-    def totals(self) -> dict[str, float]:
-        """What other buckets need to know."""
-        out: dict[str, float] = {"N": int(self.c2.sum()), "V": len(self.words)}
-        for name, by, n, k in (("C2", self.x2, self.c2, FINE), ("T2", self.x2, self.t2, FINE), ("C1", self.x1, self.c1, COARSE), ("T1", self.x1, self.t1, COARSE)):
-            out |= {f"{name}:{i}": int(v) for i, v in enumerate(np.bincount(by, weights=n, minlength=k))}
-        out |= {"C0": int(self.c0.sum()), "T0": int(self.t0.sum())}
-        for level, c in ((2, self.c2), (1, self.c1), (0, self.c0)):
-            out |= {f"n{level}:{i}": int((c == i).sum()) for i in (1, 2)}
-        return out
-
-    def sweep(self, known: dict[str, float], number: int) -> None:
+    def totals(self) -> np.ndarray:
+        """What other buckets need to know: customers, words, the upper restaurants, and of each class customers and tables."""
+        seen = [int((c == i).sum()) for c in (self.c0, self.c1, self.c2) for i in (1, 2)]
+        scalars = np.array([self.c2.sum(), len(self.words), self.c0.sum(), self.t0.sum(), *seen], np.int64)
+        sums = [np.bincount(by, weights=n, minlength=k).astype(np.int64) for by, n, k in ((self.x1, self.c1, COARSE), (self.x1, self.t1, COARSE), (self.x2, self.c2, self.fine), (self.x2, self.t2, self.fine))]
+        return np.concatenate([scalars, *sums])
+
+    def sweep(self, known: np.ndarray, number: int) -> None:
         rng = np.random.default_rng([SEED, self.bucket, number])
         p0, p1, _ = self.probabilities(known)
         k = Totals(known)
@@ -119,7 +126,7 @@ class Restaurants:
         self.c0 = np.bincount(self.word1, weights=self.t1, minlength=len(self.words)).astype(np.int64)
         self.t0 = seats(self.c0, np.full(len(self.c0), (STRENGTH + k.d[0] * k.T0) * k.uniform), k.d[0], rng)
 
-    def probabilities(self, known: dict[str, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def probabilities(self, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each word, of each word in each coarse class, and in each fine one, where there are customers."""
         k = Totals(known)
         p0 = (self.c0 - k.d[0] * self.t0 + (STRENGTH + k.d[0] * k.T0) * k.uniform) / (STRENGTH + k.C0)
@@ -127,13 +134,13 @@ class Restaurants:
         p2 = (self.c2 - k.d[2] * self.t2 + (STRENGTH + k.d[2] * k.T2[self.x2]) * p1[self.up]) / (STRENGTH + k.C2[self.x2])
         return p0, p1, p2
 
-    def ask(self, known: dict[str, float], word: np.ndarray, x: np.ndarray) -> np.ndarray:
+    def ask(self, known: np.ndarray, word: np.ndarray, x: np.ndarray) -> np.ndarray:
         """The probability of words (numbers in ``words``, -1: not among them) after fine classes."""
         k = Totals(known)
         p0, p1, p2 = (np.r_[p, 0.0] for p in self.probabilities(known))
-        x1 = x // (FINE // COARSE)
+        x1 = x // (self.fine // COARSE)
         p = np.where(word < 0, (STRENGTH + k.d[0] * k.T0) * k.uniform / (STRENGTH + k.C0), p0[word])
-        for keys, own, asked, c, t, d in ((self.key1, p1, word * COARSE + x1, k.C1[x1], k.T1[x1], k.d[1]), (self.key2, p2, word * FINE + x, k.C2[x], k.T2[x], k.d[2])):
+        for keys, own, asked, c, t, d in ((self.key1, p1, word * COARSE + x1, k.C1[x1], k.T1[x1], k.d[1]), (self.key2, p2, word * self.fine + x, k.C2[x], k.T2[x], k.d[2])):
             at = np.searchsorted(keys, asked)
             here = np.r_[keys, -1][at] == asked
             p = np.where(here & (word >= 0), own[at], (STRENGTH + d * t) * p / (STRENGTH + c))
@@ -141,13 +148,14 @@ class Restaurants:
 
 
 class Totals:
-    def __init__(self, known: dict[str, float]):
-        row = lambda name, n: np.array([known.get(f"{name}:{i}", 0) for i in range(n)], np.float64)
-        self.C2, self.T2, self.C1, self.T1 = row("C2", FINE), row("T2", FINE), row("C1", COARSE), row("T1", COARSE)
-        self.C0, self.T0, self.uniform = known.get("C0", 0), known.get("T0", 0), 1 / (known.get("V", 0) + 1)
+    def __init__(self, known: np.ndarray):
+        known = known.astype(np.float64)
+        self.C1, self.T1 = known[SCALARS : SCALARS + 2 * COARSE].reshape(2, -1)
+        self.C2, self.T2 = known[SCALARS + 2 * COARSE :].reshape(2, -1)
+        _, words, self.C0, self.T0, *seen = known[:SCALARS]
+        self.uniform = 1 / (words + 1)
         # the usual estimate of a discount, from how many words were seen once and twice
-        ones = [(known.get(f"n{level}:1", 0), known.get(f"n{level}:2", 0)) for level in range(3)]
-        self.d = [min(max((a + 1) / (a + 2 * b + 2), 0.05), 0.95) for a, b in ones]
+        self.d = [min(max((a + 1) / (a + 2 * b + 2), 0.05), 0.95) for a, b in zip(seen[::2], seen[1::2], strict=True)]
 
 
 def dealt(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -159,7 +167,7 @@ def dealt(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 
 def score(df: DataFrame, id: str = "doc_id", text: str = "text", train: str | None = None) -> DataFrame:
-    """One row per row of ``df``: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+    """One row per row of ``df``: id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity.
 
     ``train`` is a condition that tells the rows to learn from; without one, those for which
     crc32(id as text) mod 10 is not 0. Every row is scored. A null or empty text has one token, its end.
@@ -171,7 +179,8 @@ def score(df: DataFrame, id: str = "doc_id", text: str = "text", train: str | No
     learnt = F.expr(train) if train else F.crc32(F.coalesce(F.col(id).cast("string"), F.lit("")).cast("binary")) % 10 != 0
     docs = df.select(F.monotonically_increasing_id().alias("rid"), F.col(id).cast("long").alias("id"), F.coalesce(learnt, F.lit(False)).alias("learnt"), F.col(text).cast("binary").alias("text"))
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0))).first()[0]
-    buckets = max(1, int(size) // BUCKET_BYTES + 1)
+    buckets, fine = max(1, int(size) // BUCKET_BYTES + 1), classes(int(size))
+    narrow = np.uint16 if fine <= 1 << 16 else np.uint32
 
     def flushes(batches: Iterator[pa.RecordBatch], learnt_only: bool) -> Iterator[tuple]:
         """Tokens of many texts at a time: hashes, classes, numbers of the texts, and the texts' columns."""
@@ -181,7 +190,7 @@ def score(df: DataFrame, id: str = "doc_id", text: str = "text", train: str | No
             if learnt_only:
                 raw = [t for t, use in zip(raw, chunk.column("learnt").to_pylist(), strict=True) if use]
             for at in range(0, len(raw), 1 << 14):
-                h, x, doc = tokens(raw[at : at + (1 << 14)])
+                h, x, doc = tokens(raw[at : at + (1 << 14)], fine)
                 if held and (n + len(h) > FLUSH or docs_ + len(raw[at : at + (1 << 14)]) > 1 << 16):
                     yield *(np.concatenate(c) for c in zip(*held, strict=True)), columns
                     held, columns, docs_, n = [], [[], [], []], 0, 0
@@ -200,10 +209,10 @@ def score(df: DataFrame, id: str = "doc_id", text: str = "text", train: str | No
             h, x, n = counted(h, x, np.ones(len(h), np.uint32))
             names, order, edge = dealt(h, buckets)
             rows = [order[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.full(len(names), number)), *[pa.array([c[r].tobytes() for r in rows], pa.binary()) for c in (h, x, n.astype(np.int64))]], ["b", "part", "h", "x", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.full(len(names), number)), *[pa.array([c[r].tobytes() for r in rows], pa.binary()) for c in (h, x.astype(narrow), n.astype(np.int64))]], ["b", "part", "h", "x", "c"])
 
     def merge(table: pa.Table) -> pa.Table:
-        h, x, c = (np.frombuffer(b"".join(table.column(n).to_pylist()), k) for n, k in (("h", np.uint64), ("x", np.uint8), ("c", np.int64)))
+        h, x, c = (np.frombuffer(b"".join(table.column(n).to_pylist()), k) for n, k in (("h", np.uint64), ("x", narrow), ("c", np.int64)))
         h, x, c = counted(h, x, c)
         return pa.table({"b": table.column("b")[:1], "part": pa.array([0], pa.int64()), "h": [h.tobytes()], "x": [x.tobytes()], "c": [c.tobytes()]})
 
@@ -215,24 +224,36 @@ def score(df: DataFrame, id: str = "doc_id", text: str = "text", train: str | No
     counts = stage(counts.groupBy("b").applyInArrow(merge, kind).drop("part"), "counts")
 
     def load(b: int, h: bytes, x: bytes, c: bytes) -> Restaurants:
-        return Restaurants(b, np.frombuffer(h, np.uint64), np.frombuffer(x, np.uint8), np.frombuffer(c, np.int64))
+        return Restaurants(b, np.frombuffer(h, np.uint64), np.frombuffer(x, narrow), np.frombuffer(c, np.int64), fine)
 
-    history: list[dict[str, float]] = []
+    def added(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, np.int64) for x in table.column("v").to_pylist())
+        return pa.table({"r": table.column("r")[:1], "s": pa.array([0], pa.int64()), "v": [total.tobytes()]})
+
+    length = SCALARS + 2 * COARSE + 2 * fine
+    history: list[np.ndarray] = []
     while len(history) <= SWEEPS:
         so_far = list(history)
 
         def totals(batches: Iterator[pa.RecordBatch], so_far: list = so_far) -> Iterator[pa.RecordBatch]:
+            """The sum of a task's totals, in ranges."""
+            found = np.zeros(length, np.int64)
             for batch in batches:
                 for row in batch.to_pylist():
                     state = load(**row)
                     for i, known in enumerate(so_far):
                         state.sweep(known, i)
-                    found = state.totals()
-                    yield pa.RecordBatch.from_arrays([pa.array(list(found)), pa.array([int(v) for v in found.values()], pa.int64())], ["k", "v"])
-
-        # a few hundred sums
-        history.append({r["k"]: r["v"] for r in counts.mapInArrow(totals, "k string, v long").groupBy("k").agg(F.sum("v").alias("v")).collect()})
-    n_train, n_words = history[0].get("N", 0), history[0].get("V", 0)
+                    found += state.totals()
+            starts = range(0, length, RANGE)
+            salt = TaskContext.get().partitionId() % 64
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(starts)), pa.int64()), pa.array([salt] * len(starts), pa.int64()), pa.array([found[a : a + RANGE].tobytes() for a in starts], pa.binary())], ["r", "s", "v"])
+
+        kinds = "r long, s long, v binary"
+        sums = counts.mapInArrow(totals, kinds).groupBy("r", "s").applyInArrow(added, kinds).groupBy("r").applyInArrow(added, kinds)
+        # a vector as long as there are classes, whatever the corpus
+        vector = [np.frombuffer(r["v"], np.int64) for r in sorted(sums.collect(), key=lambda r: r["r"])]
+        history.append(np.concatenate(vector) if vector else np.zeros(length, np.int64))
+    n_train, n_words = int(history[0][0]), int(history[0][1])
 
     def request(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each group of texts, its header (bucket -1), and each bucket's words, classes and texts."""
@@ -247,7 +268,7 @@ def score(df: DataFrame, id: str = "doc_id", text: str = "text", train: str | No
             for k, (s, e) in zip(b.tolist(), zip(ends[:-1], ends[1:], strict=True), strict=True):
                 r = by[s:e]
                 at = np.repeat(edge[r] - (np.cumsum(n[r]) - n[r]), n[r]) + np.arange(n[r].sum())
-                rows.append((k, rid[0], h[edge][r].tobytes(), x[edge][r].tobytes(), n[r].astype(np.uint32).tobytes(), doc[at].astype(np.uint16).tobytes(), None, None))
+                rows.append((k, rid[0], h[edge][r].tobytes(), x[edge][r].astype(narrow).tobytes(), n[r].astype(np.uint32).tobytes(), doc[at].astype(np.uint16).tobytes(), None, None))
             rows.append((-1, rid[0], None, None, np.bincount(doc, minlength=len(rid)).astype(np.uint32).tobytes(), None, ids, learnt_))
             kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 4, pa.list_(pa.int64()), pa.list_(pa.bool_())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
@@ -272,7 +293,7 @@ def score(df: DataFrame, id: str = "doc_id", text: str = "text", train: str | No
         seen = np.r_[np.bincount(state.word, weights=state.c2, minlength=len(state.words)), 0.0]
         out = []
         for flush, h, x, n, docs_ in zip(*(asks.column(c).to_pylist() for c in ("flush", "h", "x", "n", "docs")), strict=True):
-            h, x, n = np.frombuffer(h, np.uint64), np.frombuffer(x, np.uint8).astype(np.int64), np.frombuffer(n, np.uint32).astype(np.int64)
+            h, x, n = np.frombuffer(h, np.uint64), np.frombuffer(x, narrow).astype(np.int64), np.frombuffer(n, np.uint32).astype(np.int64)
             docs_ = np.frombuffer(docs_, np.uint16)
             word = np.searchsorted(state.words, h)
             word = np.where(np.r_[state.words, U(0)][word] == h, word, -1) if len(state.words) else np.full(len(h), -1)
@@ -301,9 +322,9 @@ def score(df: DataFrame, id: str = "doc_id", text: str = "text", train: str | No
                 part = np.frombuffer(part, np.float64)
                 total[: len(part)] += part
         held = [not x for x in head["learnt"]]
-        return pa.table({"id": pa.array(head["ids"], pa.int64()), "held_out": held, "n_tokens": n, "n_known": np.rint(sums["known"]).astype(np.int64), "train_tokens": np.full(len(n), n_train), "base_score": sums["base"], "score": sums["score"]})
+        return pa.table({"id": pa.array(head["ids"], pa.int64()), "held_out": held, "n_tokens": n, "n_known": np.rint(sums["known"]).astype(np.int64), "train_tokens": np.full(len(n), n_train), "base_score": sums["base"], "score": sums["score"], "perplexity": 10 ** (-sums["score"] / np.maximum(n, 1))})
 
-    return both.groupBy("flush").applyInArrow(gather, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return both.groupBy("flush").applyInArrow(gather, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
 
 
 def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,16 +49,51 @@ def test_edges(spark):
 
 def test_probabilities_sum_to_one():
     rng = np.random.default_rng(1)
-    h, x, c = lm.counted(rng.integers(1, 60, 3000).astype(np.uint64), rng.integers(0, lm.FINE, 3000).astype(np.uint8), np.ones(3000, np.int64))
+    h, x, c = lm.counted(rng.integers(1, 60, 3000).astype(np.uint64), rng.integers(0, lm.FINE, 3000).astype(np.uint32), np.ones(3000, np.int64))
     state = lm.Restaurants(0, h, x, c)
     for i in range(3):
         state.sweep(state.totals(), i)
         assert (state.t2 <= state.c2).all() and (state.t2 >= 1).all()
     known = state.totals()
     every = np.r_[np.arange(len(state.words)), -1]
-    for fine in (0, 17, 255):
+    for fine in (0, 17, int(x[5]), lm.FINE - 1):
         assert state.ask(known, every, np.full(len(every), fine)).sum() == pytest.approx(1)
 
 
+def test_contexts_tell_words_apart(spark):
+    """A word that its predecessor alone foretells; and scores that plain Python makes from one state."""
+    rng = np.random.default_rng(3)
+    pairs = [(f"a{i}", f"b{i}") for i in range(40)]
+    rows = [(i, " ".join(w for k in rng.integers(0, 40, 60) for w in pairs[k])) for i in range(200)]
+    found = lm.score(spark.createDataFrame(rows, "doc_id long, text string")).where("held_out").collect()
+    # half of the words are drawn from 40, the others follow: about the square root of 40
+    assert all(r.perplexity < 9 and r.perplexity == pytest.approx(10 ** (-r.score / r.n_tokens)) for r in found)
+
+
+def test_seating_against_exact_enumeration():
+    """How many tables a word's customers take, on average over seatings one by one, against the sum over all ways."""
+    n, a, d = 6, 0.7, 0.4
+    ways = {1: 1.0}
+    for c in range(1, n):
+        new = {}
+        for t, p in ways.items():
+            opens = a / (a + c - d * t)
+            new[t + 1] = new.get(t + 1, 0) + p * opens
+            new[t] = new.get(t, 0) + p * (1 - opens)
+        ways = new
+    drawn = lm.seats(np.full(40000, n), np.full(40000, a), d, np.random.default_rng(2))
+    for t, p in ways.items():
+        assert abs((drawn == t).mean() - p) < 0.01
+    large = [lm.seats(np.full(2000, 400), np.full(2000, a), d, np.random.default_rng(k)).mean() for k in range(3)]
+    one = []
+    rng = np.random.default_rng(9)
+    for _ in range(300):
+        t = 1
+        for c in range(1, 400):
+            t += rng.random() < a / (a + c - d * t)
+        one.append(t)
+    assert abs(np.mean(large) - np.mean(one)) < 0.06 * np.mean(one)
+
+
 def test_condition():
     assert [lm.in_training(i) for i in range(30)] == [zlib.crc32(str(i).encode()) % 10 != 0 for i in range(30)]
