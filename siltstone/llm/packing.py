@@ -1,17 +1,21 @@
 """Mixture-controlled packing: deficit round-robin over source queues.
 
 Every window of ``size`` ids draws from each source's queue what the queue's deficit counter allows. A
-counter gains the queue's share of a window, loses what is drawn, and carries the rest on. Counters only
-depend on the shares: with M_i the ids of the queues up to i and N those of all, queue i has given
+counter gains the queue's target share of a window, loses what is drawn, and carries the rest on. While all
+queues last, counters only depend on the shares: with M_i the ids of the queues up to i in these windows and N
+those of all, queue i has given
 
     B_i(k) = C_i(k) - C_(i-1)(k),    C_i(k) = floor(k * size * M_i / N)
 
 ids in the first k windows. So its counter, k * size * m_i / N - B_i(k), stays within one id of zero, each
 window is full, and any task can take up the round at any window with the counters that belong there:
-deficits are carried across windows and partitions without one task going through all of them.
+deficits are carried across windows and partitions without one task going through all of them. Where a queue
+can't fill its share of one more window a *phase* ends, and the others share the windows of the next by their
+targets; the rests of queues, less than a window's share each, fill the last windows together. Without targets
+of its own the mixture is the corpus's, and one phase has all.
 
-A queue must have a share of at least one id a window, else it could not be served in whole ids. Sources
-below that share one queue, in the order of a hash.
+A queue must have a share of at least one id a window, else its documents would be cut into single ids. Sources
+below that share one queue, in the order of a hash, and have its target.
 """
 
 from __future__ import annotations
@@ -71,6 +75,26 @@ def cut(start: np.ndarray, n: np.ndarray, low: np.ndarray, high: np.ndarray, tot
     return tuple(x[some] for x in (doc, a - start[doc], b - a, k, before + a - begin))
 
 
+def phases(m: list[int], shares: list[int] | None, size: int) -> list[np.ndarray]:
+    """How many ids each queue gives in each phase, queues with ``m`` ids and the target shares; all of them in all."""
+    left, out = [int(x) for x in m], []
+    open_ = [i for i, x in enumerate(shares or []) if x > 0]
+    while open_:
+        whole = sum(shares[i] for i in open_)
+        # of so many windows each queue can fill its share, rounded up
+        k = min((left[i] - 1) * whole // (size * shares[i]) for i in open_)
+        if k > 0:
+            given_, at, up = [0] * len(left), 0, 0
+            for i in open_:
+                up += shares[i]
+                given_[i] = k * size * up // whole - at
+                at += given_[i]
+            left = [x - g for x, g in zip(left, given_, strict=True)]
+            out.append(np.array(given_, np.int64))
+        open_ = [i for i in open_ if (left[i] - 1) * whole >= size * shares[i]]
+    return [*out, np.array(left, np.int64)] if sum(left) or not out else out
+
+
 def numbered(sources: list) -> F.Column:
     """The queue of a row's source: its place in the list, or the queue after them."""
     pairs = [F.lit(x) for i, s in enumerate(sources) if s is not None for x in (s, i)]
@@ -79,10 +103,11 @@ def numbered(sources: list) -> F.Column:
     return F.when(F.col("source").isNull(), F.lit(null)).otherwise(other)
 
 
-def pack(df: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", size: int = SIZE, vocabulary: str = VOCABULARY, with_ids: bool = True) -> DataFrame:
+def pack(df: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", size: int = SIZE, vocabulary: str = VOCABULARY, with_ids: bool = True, shares: dict | None = None) -> DataFrame:
     """One row per piece: id, source, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (unless not wanted).
 
-    Every id of every row lies in one piece; all sequences have ``size`` ids but the last. A null or
+    ``shares`` are the sources' target proportions in each window, as whole numbers; sources that it doesn't name
+    come last. Without them targets are the sources' shares of all ids. Every id of every row lies in one piece; all sequences have ``size`` ids but the last. A null or
     empty text is the end id alone. A null source is a source. Rows with equal ids are packed apart,
     repeated rows too. A document's place in its queue is a hash's. Other columns aren't read. An empty
     table gives no rows.
@@ -98,10 +123,16 @@ def pack(df: DataFrame, id: str = "doc_id", text: str = "text", source: str = "s
     if pooled and pooled[0][1] * size < total and len(queues) > 1:
         pooled.append(min((q for q in queues if q[0] is not None), key=lambda q: q[1]))
     alone = [q for q in queues if q not in pooled]
-    ends = np.cumsum([q[1] for q in alone] + [sum(q[1] for q in pooled)])
+    held = [q[1] for q in alone] + [sum(q[1] for q in pooled)]
+    aims = None if shares is None else [int(shares.get(q[0]["source"], 0)) for q in alone] + [sum(int(shares.get(q[0]["source"], 0)) for q in pooled if q[0] is not None)]
+    steps = phases(held, aims, size)
     placed = table.withColumn("queue", numbered([q[0]["source"] for q in alone]))
     placed = running(placed.withColumn("_key", uniform_key("id", "crc", "n_ids")), ["queue"], ["_key", "id", "crc", "n_ids"], "n_ids", "_at")
-    kind, bounds = width(vocabulary), np.concatenate([[0], ends]).astype(np.int64)
+    kind = width(vocabulary)
+    # for each phase: where it begins in each queue, the ends of the queues in it, all its ids, and its first window
+    begins = np.concatenate([np.zeros((1, len(held)), np.int64), np.cumsum(steps, axis=0)])
+    bounds = [np.concatenate([[0], np.cumsum(x)]) for x in steps]
+    opens = np.cumsum([0, *[-(-int(x.sum()) // size) for x in steps]])
     schema = placed.select("id", "source").schema.add("start", "long").add("length", "long").add("ids_crc32", "long").add("doc_tokens", "long").add("sequence_id", "long").add("offset", "long")
     if with_ids:
         schema = schema.add("ids", T.ArrayType(T.IntegerType()))
@@ -111,7 +142,15 @@ def pack(df: DataFrame, id: str = "doc_id", text: str = "text", source: str = "s
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
                 queue, start, n = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("queue", "_at", "n_ids"))
-                doc, begin, length, k, offset = cut(start, n, bounds[queue], bounds[queue + 1], total, size)
+                found = []
+                for p, x in enumerate(bounds):
+                    a, b = np.maximum(start, begins[p][queue]), np.minimum(start + n, begins[p + 1][queue])
+                    some = np.flatnonzero(b > a)
+                    if len(some):
+                        q = queue[some]
+                        doc, at_, length, k, offset = cut((a - begins[p][queue])[some], (b - a)[some], x[q], x[q + 1], int(x[-1]), size)
+                        found.append((some[doc], at_ + (a - start)[some][doc], length, k + opens[p], offset))
+                doc, begin, length, k, offset = (np.concatenate(c) for c in zip(*found, strict=True))
                 ids = [np.frombuffer(x, kind).astype("<u4") for x in batch.column("ids").to_pylist()]
                 pieces = [ids[d][a : a + m] for d, a, m in zip(doc.tolist(), begin.tolist(), length.tolist(), strict=True)]
                 crc = [zlib.crc32(p.tobytes()) for p in pieces]
