@@ -158,7 +158,8 @@ def write_token_files(df: DataFrame, folder: str, id: str = "doc_id", text: str
             yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array(tally[:1], pa.int64()), pa.array(tally[1:], pa.int64())], ["file", "docs", "ids"])
 
     files = max(tasks(spark), -(-int(seen.sum()) // file_ids))
-    ranged = table.repartitionByRange(files, "_id").sortWithinPartitions("_id", "n_ids", "crc").select("_id", "ids")
+    # equal ids, and equal rows, may go to several files: those are of bounded size however often an id occurs
+    ranged = table.withColumn("_at", F.monotonically_increasing_id()).repartitionByRange(files, "_id", "n_ids", "crc", "_at").sortWithinPartitions("_id", "n_ids", "crc").select("_id", "ids")
     return stage(ranged.mapInArrow(write, "file long, docs long, ids long"), "files")
 
 

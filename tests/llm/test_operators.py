@@ -95,6 +95,17 @@ def test_token_files(docs, spark):
     assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in spans) == Counter((i, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in ids)
     empty = common.scratch(spark, "test")
     tokenfiles.write_token_files(docs.limit(0), empty)
+    assert tokenfiles.read_token_files(spark, empty).count() == 0 and tokenfiles.read_token_spans(spark, empty).count() == 0
+
+
+def test_token_files_of_one_id(spark):
+    """Rows of one id, and without one, in several files, still in order."""
+    rows = [(7 if i % 3 else None, "some words " * (1 + i % 4)) for i in range(300)]
+    folder = common.scratch(spark, "test")
+    files = tokenfiles.write_token_files(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), folder, file_ids=200)
+    assert files.count() >= 5 and files.agg(F.sum("docs")).first()[0] == 300
+    found = tokenfiles.read_token_files(spark, folder).orderBy("file", "place").collect()
+    assert [r.doc_id for r in found] == [None] * 100 + [7] * 200
 
 
 def test_variable_length_code():
@@ -142,6 +153,42 @@ def test_packing_keeps_proportions(spark):
             assert all(abs(found[s] - 2048 * total[s] / every) <= 2 for s in total)
 
 
+def test_packing_meets_targets(spark):
+    """Windows by target shares while the queues last, the others' shares kept after one is empty."""
+    words = "a b c d e f g h "
+    rows = [(i, words * (1 + i % 7), ("x", "y", "z", None, "rest")[i % 5]) for i in range(900)]
+    shares = {"x": 6, "y": 2, "z": 1, None: 1}
+    out = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, source string"), size=512, with_ids=False, shares=shares).collect()
+    left, by = Counter(), defaultdict(Counter)
+    for r in out:
+        left[r.source] += r.length
+        by[r.sequence_id][r.source] += r.length
+    assert sum(left.values()) == sum(8 * (1 + i % 7) + 1 for i in range(900))
+    exact = 0
+    for k in sorted(by):
+        assert sum(by[k].values()) == 512 or k == max(by)
+        # so long as all that still have a window's share are drawn by their targets
+        last = [s for s in shares if left[s] - 1 >= 512 * shares[s] / sum(shares.values())]
+        total = sum(shares[s] for s in last)
+        if last and all(left[s] - 1 >= 512 * shares[s] / total for s in last):
+            exact += all(abs(by[k][s] - 512 * shares[s] / total) <= 2 for s in last)
+        left.subtract(by[k])
+    assert exact >= 0.8 * len(by) - 25 and exact >= 10
+
+
+def test_phases():
+    rng = random.Random(6)
+    for _ in range(300):
+        q = rng.randrange(1, 8)
+        m, w, size = [rng.randrange(0, 5000) for _ in range(q)], [rng.randrange(0, 9) for _ in range(q)], rng.choice([16, 128, 512])
+        found = packing.phases(m, w, size)
+        assert sum(found).tolist() == m and all((x >= 0).all() for x in found) and all(x.sum() % size == 0 for x in found[:-1])
+        for x in found[:-1]:
+            on = x > 0
+            assert all(abs(a - x.sum() * b / sum(np.array(w)[on])) <= 1 for a, b in zip(x[on], np.array(w)[on], strict=True))
+    assert [x.tolist() for x in packing.phases([5, 7], None, 4)] == [[5, 7]]
+
+
 def test_large_products():
     rng = random.Random(3)
     for _ in range(200):
