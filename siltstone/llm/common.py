@@ -199,38 +199,41 @@ def forest(near: np.ndarray, a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray
 LEAST_SPLIT = 64
 
 
-def spread_join(many: DataFrame, few: DataFrame, key: str, count: str = "c") -> DataFrame:
+def spread_join(many: DataFrame, few: DataFrame, key: str, count: str = "c", total: int | None = None) -> DataFrame:
     """``many`` joined with ``few`` on ``key``, keys of very many rows dealt to several tasks.
 
     ``few`` has a row a key with its number of rows in ``many``. A key with more than a quarter of a task's
     share is hot: of those there are at most four for each task, so they are broadcast whatever the tables' size.
+    ``total`` is the rows of ``many``, if that is known.
     """
-    total = few.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    if total is None:
+        total = few.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
     most = max(LEAST_SPLIT, int(total) // (4 * tasks(many.sparkSession)))
     parts = F.when(F.col(count) > most, F.ceil(F.col(count) / most)).otherwise(1).cast("int")
     hot = F.broadcast(few.where(F.col(count) > most).select(key, parts.alias("_parts")))
     dealt = many.join(hot, key, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*[c for c in many.columns if c != key]), F.col("_parts")).cast("int"), F.lit(0))).drop("_parts")
-    return dealt.join(few.withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))), [key, "_salt"]).drop("_salt")
+    # by shuffle at every size: ``few`` grows with the data
+    return dealt.join(few.withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).hint("merge"), [key, "_salt"]).drop("_salt")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """The connected components of ``edges`` (a, b: of one type): rows (node, component), the smallest node.
 
     Large-star and small-star steps alternate until nothing changes. A node's smallest neighbour is an
-    aggregate that is joined back, so that no node's neighbours are gathered in one task.
+    aggregate that is joined back, the edges of a hub in many tasks, so that no node's neighbours meet in one.
     """
     links = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    seen = None
-    while True:
+    seen, n = None, links.count()
+    while n:
         both = links.union(links.select("b", "a")).toDF("u", "v")
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*")
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("c"))
+        large = spread_join(both, low, "u", total=2 * n).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("c"))
+        small = spread_join(large, low, "a", total=n).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*")
         old, links = links, stage(small.where("a <> b").distinct(), "links")
         now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         discard(old)
         if now == seen:
             break
-        seen = now
+        seen, n = now, now[0]
     return links.select(F.col("a").alias("node"), F.col("b").alias("component")).union(links.select("b", "b").distinct())

@@ -130,8 +130,9 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(names).filter(pa.array(keep, pa.bool_()))
 
-    leaders = sets.select(F.col("node").alias("b"), F.col("set").alias("y")).join(pairs.groupBy("b").agg(F.count("*").alias("c")), "b")
-    full = spread_join(pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a"), leaders, "b").drop("c")
+    # by shuffle at every size, as pairs and sets both grow with the data
+    leaders = sets.select(F.col("node").alias("b"), F.col("set").alias("y")).hint("merge").join(pairs.groupBy("b").agg(F.count("*").alias("c")), "b")
+    full = spread_join(pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")).hint("merge"), "a"), leaders, "b").drop("c")
     return full.select(*names, "x", "y").mapInArrow(run, pairs.schema)
 
 
