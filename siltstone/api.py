@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 from siltstone import tasks
 from siltstone.functions.codecs import parity_size
 from siltstone.functions.text import pack_number, pack_path
+from siltstone.operators import diff as d
 from siltstone.operators import journal as j
 from siltstone.operators import objects as o
-from siltstone.operators import packs, tree
+from siltstone.operators import packs, retention, tree
 from siltstone.sources.store import Store, StoreError
 
 HASH = re.compile(r"[0-9a-fA-F]{64}")
@@ -80,23 +81,58 @@ def _layout(store: Store, p: dict) -> dict:
 
 
 def _children(store: Store, p: dict) -> list[dict] | dict:
-    d = store.dirents(int(p["id"]))
-    x = tree.children(d, store.nodes(int(p["id"])), int(p.get("parent_node", 0)))
-    return listed(tree.with_children_flag(x.select("snap_id", "node_id", "name", "type", "size"), d).orderBy("name"), p)
+    entries = store.dirents(int(p["id"]))
+    x = tree.children(entries, store.nodes(int(p["id"])), int(p.get("parent_node", 0)))
+    return listed(tree.with_children_flag(x.select("snap_id", "node_id", "name", "type", "size"), entries).orderBy("name"), p)
+
+
+#: Operations that change a repository.
+WRITES = ("run", "gc", "gfs", "prune", "pack", "merge", "import", "snapshot")
 
 
 def _journal(store: Store, p: dict) -> dict:
     entries = j.query(store.journal(), **{k: p.get(k) for k in ("operation", "result", "state", "since")})
+    if p.get("kind"):
+        writes = F.col("operation").isin(*WRITES)
+        entries = entries.where(writes if p["kind"] == "write" else ~writes)
     unfinished = store.journal().where("state = 'started'").join(store.journal().where("state = 'completed'").select("op_id"), "op_id", "left_anti").count()
     return {**page(entries.orderBy(F.col("timestamp").desc(), "op_id"), p, 100), "orphans": unfinished}
 
 
+#: Orders of a diff, by name.
+DIFF_ORDERS = {
+    "path": ["path"], "change": ["change", "path"], "delta": [F.desc, "delta", "path"], "old_size": [F.desc, "old_size", "path"], "new_size": [F.desc, "new_size", "path"],
+}
+
+
+def _diff(store: Store, p: dict) -> list[dict] | dict:
+    """Changes with sizes: all, or those of some kinds (``change``: letters), by path or as ``sort`` says."""
+    order = p.get("sort", "path")
+    if order not in DIFF_ORDERS:
+        raise StoreError(f"no order {order!r}")
+    x = d.diff(store.files(int(p["id1"])), store.files(int(p["id2"]))).withColumn("delta", d.size_delta())
+    if p.get("change"):
+        x = x.where(F.col("change").isin(list(p["change"])))
+    falling, *keys = DIFF_ORDERS[order] if order in ("delta", "old_size", "new_size") else [None, *DIFF_ORDERS[order]]
+    by = [falling(keys[0]), *keys[1:]] if falling else keys
+    return listed(x.select("change", "path", "old_size", "new_size", "delta").orderBy(*by), p)
+
+
 def _list(store: Store, p: dict) -> list[dict] | dict:
-    """Snapshots with their tags, the newest marked, and how long their note is."""
+    """Snapshots with their tags, the newest marked: all, or those of a retention tier, by id or as ``sort`` says."""
     tags: dict[int, list[str]] = {}
     for t in store.tags():
         tags.setdefault(t["snap_id"], []).append(t["name"])
-    found, head = listed(store.snapshots().orderBy("snap_id"), p), store.head
+    known = store.snapshots()
+    if p.get("tier"):
+        bits = dict(retention.TIERS)
+        if p["tier"] not in bits:
+            raise StoreError(f"no tier {p['tier']!r}")
+        known = known.where(F.col("gfs_flags").bitwiseAND(bits[p["tier"]]) != 0)
+    key = p.get("sort", "snap_id")
+    if key not in known.columns:
+        raise StoreError(f"no order {key!r}")
+    found, head = listed(known.orderBy(F.desc(key) if p.get("descending") else F.asc(key), "snap_id"), p), store.head
     for r in found["rows"] if isinstance(found, dict) else found:
         r |= {"tags": sorted(tags.get(r["snap_id"], [])), "is_head": r["snap_id"] == head}
     return found
@@ -180,7 +216,7 @@ ACTIONS: dict[str, Callable[[Store, dict], object]] = {
     "object_content": _content,
     "object_layout": _layout,
     "object_refs": lambda s, p: listed(o.references(s.live_nodes()).where(F.col("hash") == _hash(p)).groupBy("snap_id", "node_id").agg(F.min("field").alias("field")).orderBy("snap_id", "node_id"), p),
-    "diff": lambda s, p: listed(s.diff(int(p["id1"]), int(p["id2"])), p),
+    "diff": _diff,
     "ls": lambda s, p: listed(s.ls(int(p["id"]), p.get("path", ""), bool(p.get("recursive")), p.get("type", ""), p.get("glob", "")), p),
     "search": _search,
     "scan": _scan,

@@ -54,6 +54,9 @@ def test_ingest_and_diff(spark, store, tree):
     assert run(store, spark, tree) == 2
     assert [tuple(r) for r in store.diff(1, 2).collect()] == [("m", "etc"), ("D", "etc/conf"), ("m", "home"), ("M", "home/a.txt"), ("m", "home/b.txt"), ("A", "home/new.txt")]
     assert store.diff(2, 2).count() == 0
+    shown = lambda **p: [r["path"] for r in api.call(store, "diff", {"id1": 1, "id2": 2, **p})["data"]]
+    assert shown(change="AD") == ["etc/conf", "home/new.txt"] and shown(sort="delta")[0] == "home/new.txt" and shown(sort="change")[0] == "home/new.txt"
+    assert not api.call(store, "diff", {"id1": 1, "id2": 2, "sort": "x"})["ok"]
     assert store.table("objects").count() == 5
     with pytest.raises(StoreError):
         store.diff(1, 9)
@@ -147,6 +150,11 @@ def test_command_line(spark, tmp_path, tree, capfd):
 
 def test_interface(store):
     assert api.call(store, "stats")["data"]["snapshots"] == 1
+    assert api.call(store, "list", {"tier": "daily"})["data"] == [] and not api.call(store, "list", {"tier": "hourly"})["ok"] and not api.call(store, "list", {"sort": "x"})["ok"]
+    assert api.call(store, "list", {"sort": "logical_bytes", "descending": True})["data"][0]["is_head"] is True
+    store.log("a", "started", operation="run")
+    store.log("b", "started", operation="restore")
+    assert [[r["op_id"] for r in api.call(store, "journal", {"kind": k})["data"]["rows"]] for k in ("write", "read")] == [["a"], ["b"]]
     assert api.call(store, "nothing")["ok"] is False and api.call(store, "diff", {"id1": 1, "id2": 7})["ok"] is False
     assert [r["name"] for r in api.call(store, "ls", {"id": 1, "path": "home", "type": "f"})["data"]] == ["a.txt", "b.txt"]
     top = api.call(store, "snap_dir_children", {"id": 1})["data"]
