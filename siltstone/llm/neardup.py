@@ -226,7 +226,8 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", perce
     weights = buckets.groupBy("node").agg(F.sum("c").alias("weight"))
     members = buckets.select("key", "node", "n").join(weights, "node")
     wanted = buckets.select(F.col("node").alias("rid")).distinct()
-    sets = stage(docs.select("rid", "text").join(wanted, "rid", "left_semi").mapInArrow(_sets, "node long, set binary"), "sets")
+    # by shuffle at every size too: Spark would guess ``wanted`` from all buckets
+    sets = stage(docs.select("rid", "text").join(wanted.hint("merge"), "rid", "left_semi").mapInArrow(_sets, "node long, set binary"), "sets")
     used = [counts, buckets, sets, *([] if number else [docs])]
     near = F.expr(f"component <> d AND 100 * least(n, m) >= {int(percent)} * greatest(n, m)")
     found, before = None, None
