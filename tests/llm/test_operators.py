@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from siltstone.llm import caps, common, mixing, neardup, packing, repetition, sharding, substrings, tokenfiles, tokens
+from siltstone.llm import caps, common, mixing, neardup, packing, pii, repetition, sharding, substrings, tokenfiles, tokens
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 PHRASE = " ".join(f"word{i}" for i in range(40))
@@ -522,3 +522,25 @@ def test_mixing_rates_against_a_loop(spark):
             assert all(r.rate == (3 if r["size"] else 1) for r in own)
         assert all(abs(r.copies - r.rate) < 2 or r["size"] == 0 for r in own)
         assert abs(sum(r.taken for r in own) - target) <= max(x for x in sizes) / 2 + 1
+
+
+def test_stages_on_odd_rows(spark, docs):
+    """Null ids and texts, repeated rows, and columns with names that the operators use: each stage carries them whole."""
+    rows = {tuple(r) for r in docs.collect()}
+    for step in (repetition.filter_documents, neardup.keep_first, mixing.repeat_documents):
+        out = step(spark, docs, "")
+        assert out.columns == docs.columns and {tuple(r) for r in out.collect()} <= rows
+    clean = pii.redact_documents(spark, docs.withColumn("n_chars", F.length("text")), "")
+    assert clean.columns == [*docs.columns, "n_chars"] and Counter(r.text for r in clean.collect()) == Counter(t for _, t in TEXTS)
+    packed = packing.pack_documents(spark, docs, "")
+    assert packed.columns == list(packing.DIGEST) and packed.where("start = 0").count() == len(TEXTS)
+
+
+def test_slots_of_one_key(spark):
+    df = spark.createDataFrame([(5, "x")] * 40 + [(None, None)] * 9, "doc_id long, text string")
+    found = sharding.slots(sharding.shard(df, "doc_id", [1.0] * 4), ["doc_id"]).collect()
+    for key, n in ((5, 40), (None, 9)):
+        own = [r for r in found if r.doc_id == key]
+        assert len({r["shard"] for r in own}) == 1 and len({r.slot for r in own}) == n
+    by = Counter(r["shard"] for r in found)
+    assert all(sorted(r.slot for r in found if r["shard"] == s) == list(range(n)) for s, n in by.items())
