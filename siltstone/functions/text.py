@@ -63,20 +63,24 @@ def unsafe_path(path: F.Column) -> F.Column:
     return path.rlike(r"(^/)|(^|/)\.\.(/|$)")
 
 
-def human_bytes(n: F.Column) -> F.Column:
-    """Bytes with one decimal and a unit, from 1024 on."""
-    units = ["K", "M", "G", "T"]
+def tenths(x: F.Column) -> F.Column:
+    """One decimal of the exact value, a tie to the even one, as C's and DuckDB's formats have it; Java's %.1f rounds ties up."""
+    return F.call_function("format_number", x, F.lit("0.0"))
+
+
+def human_bytes(n: F.Column, units: str = "KMGT") -> F.Column:
+    """Bytes with one decimal and a unit, from 1024 on; what is above the last unit stays in it."""
     out = F.concat(n.cast("string"), F.lit("B"))
     for i, u in enumerate(units, 1):
-        out = F.when(n >= 1 << (10 * i), F.format_string(f"%.1f{u}", n / float(1 << (10 * i)))).otherwise(out)
+        out = F.when(n >= 1 << (10 * i), F.concat(tenths(n / float(1 << (10 * i))), F.lit(u))).otherwise(out)
     return out
 
 
-def long_bytes(n: F.Column) -> F.Column:
+def long_bytes(n: F.Column, units: tuple[str, ...] = ("KB", "MB", "GB")) -> F.Column:
     """The same in words: 1.5 KB, 1023 B, and nothing above GB."""
     out = F.concat(n.cast("string"), F.lit(" B"))
-    for i, u in enumerate(("KB", "MB", "GB"), 1):
-        out = F.when(n >= 1 << (10 * i), F.format_string(f"%.1f {u}", n / float(1 << (10 * i)))).otherwise(out)
+    for i, u in enumerate(units, 1):
+        out = F.when(n >= 1 << (10 * i), F.concat(tenths(n / float(1 << (10 * i))), F.lit(f" {u}"))).otherwise(out)
     return out
 
 

@@ -161,3 +161,24 @@ def test_paths_below(spark):
     every = {(r.path, r.depth) for r in tree.paths(df).collect()}
     assert ("a/b/c/d/e/f/g", 7) in every and len(every) == 9
     assert {(r.path, r.depth) for r in tree.paths_below(df, 10, "a").collect()} == {x for x in every if x[0].startswith("a/")}
+
+
+def test_sizes_as_sql_shows_them(spark, tmp_path):
+    """Ties go to the even digit; a listing has no unit above K, and the formats none above M."""
+    import duckdb
+
+    from siltstone.plans import listing
+
+    sizes = [0, 1, 1023, 1024, 1280, 1792, 24832, 25344, 1048575, 1 << 20, 5 << 18, 7 << 18, 3 << 20]
+    rows = [(10 * i + 1, "x" * n, "en", "src1") for i, n in enumerate(sizes)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("ls_children", "text_formats"):
+        query, sql = listing.PLANS[name]
+        found, out = query(spark, str(tmp_path)), con.execute(sql)
+        want = [dict(zip([d[0] for d in out.description], r, strict=True)) for r in out.fetchall()]
+        found = [r.asDict() for r in found.collect()]
+        assert found == want if name == "ls_children" else sorted(found, key=str) == sorted(want, key=str)
+    big = [F.lit(x) for x in (5 << 28, 5 << 38, (1 << 53) + 1)]
+    assert spark.range(1).select(*map(text.human_bytes, big), text.long_bytes(big[0])).first()[:] == ("1.2G", "1.2T", "8192.0T", "1.2 GB")
