@@ -37,10 +37,12 @@ STRENGTH = 1.0
 SEED = 20240611
 #: Tokens that a task gathers before it deals them out, at most 65,536 texts at a time; bytes of text for each bucket.
 FLUSH, BUCKET_BYTES = 3 << 19, 16 << 20
-#: Tokens of a bucket that are scored in one task, and parts of a bucket's counts that are merged at once.
-SCORED, MERGED = 1 << 22, 1 << 10
+#: Tokens of a bucket that are scored in one task, parts of a bucket's counts that are merged in one, and counts added up at once.
+SCORED, MERGED, HELD = 1 << 22, 1 << 10, 1 << 20
 #: Numbers of a totals vector before those of classes; numbers of it that a task sums up at once.
 SCALARS, RANGE = 10, 1 << 13
+#: Columns of packed words, classes and counts.
+BYTES = ("h", "runs", "x", "n")
 END, START = U(0x51C6B0F5A3D98E27), U(0x2B9A6F4471D0C835)
 
 
@@ -74,6 +76,35 @@ def counted(h: np.ndarray, x: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np
     return h[edge], x[edge], np.add.reduceat(n, edge) if len(edge) else n
 
 
+def added_up(parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sums of words, classes and counts of any number of parts, of which about ``HELD`` are held beside the sums so far.
+
+    A frequent word is in each part with most classes: its parts grow with the corpus, its sums don't.
+    """
+    held, n = [], 0
+    for part in parts:
+        held.append(part)
+        n += len(part[0])
+        if n > HELD + len(held[0][0]) and len(held) > 1:
+            held = [counted(*(np.concatenate(c) for c in zip(*held, strict=True)))]
+            n = len(held[0][0])
+    return held[0] if len(held) == 1 else counted(*(np.concatenate(c) for c in zip(*held, strict=True)))
+
+
+def packed(h: np.ndarray, x: np.ndarray, n: np.ndarray, narrow: type) -> list[bytes]:
+    """Sorted words, classes and counts in few bytes: a word once, how many classes it has, and counts as wide as the largest."""
+    edge = np.flatnonzero(np.r_[True, h[1:] != h[:-1]][: len(h)])
+    runs = np.diff(np.r_[edge, len(h)])
+    return [h[edge].tobytes(), runs.astype(np.uint32).tobytes(), x.astype(narrow).tobytes(), n.astype(np.min_scalar_type(int(n.max(initial=0)))).tobytes()]
+
+
+def unpacked(batch: pa.RecordBatch, i: int, narrow: type) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words, how many classes each has, classes and counts of a row, where they lie."""
+    h, runs, x, n = (batch.column(c)[i].as_buffer() for c in ("h", "runs", "x", "n"))
+    x = np.frombuffer(x, narrow)
+    return np.frombuffer(h, np.uint64), np.frombuffer(runs, np.uint32), x, np.frombuffer(n, f"u{n.size // len(x)}" if len(x) else np.uint8)
+
+
 def seats(c: np.ndarray, a: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
     """Tables of words with ``c`` customers each, if a new table draws ``a`` and n seated at t tables n - d * t.
 
@@ -96,12 +127,23 @@ class Restaurants:
     """The customers of a bucket's words: ``h``, ``x``, ``c`` sorted by word and class."""
 
     def __init__(self, bucket: int, h: np.ndarray, x: np.ndarray, c: np.ndarray, fine: int = FINE):
-        self.bucket, self.c2, self.x2, self.fine = bucket, c, x.astype(np.int64), fine
         fresh = np.r_[True, h[1:] != h[:-1]][: len(h)]
-        self.words, self.word = h[fresh], np.cumsum(fresh) - 1
-        self.key2 = self.word * fine + self.x2
-        x1 = self.x2 // (fine // COARSE)
-        self.key1, self.up = np.unique(self.word * COARSE + x1, return_inverse=True)
+        self.seat(bucket, h[fresh], np.diff(np.r_[np.flatnonzero(fresh), len(h)]), x, c, fine)
+
+    @classmethod
+    def of(cls, bucket: int, words: np.ndarray, runs: np.ndarray, x: np.ndarray, c: np.ndarray, fine: int) -> Restaurants:
+        """From each word once and how many classes it has."""
+        out = cls.__new__(cls)
+        out.seat(bucket, words, runs, x, c, fine)
+        return out
+
+    def seat(self, bucket: int, words: np.ndarray, runs: np.ndarray, x: np.ndarray, c: np.ndarray, fine: int) -> None:
+        self.bucket, self.words, self.c2, self.x2, self.fine = bucket, words, c.astype(np.int64), x.astype(np.int32), fine
+        self.key2 = np.repeat(np.arange(len(words)), runs) * fine + self.x2
+        # sorted by class, so by coarse class too
+        key1 = self.key2 // (fine // COARSE)
+        fresh = np.r_[True, key1[1:] != key1[:-1]][: len(key1)]
+        self.key1, self.up = key1[fresh], np.cumsum(fresh, dtype=np.int32) - np.int32(1)
         self.word1, self.x1 = self.key1 // COARSE, self.key1 % COARSE
         self.t2 = np.minimum(self.c2, 1)
         self.c1 = np.bincount(self.up, weights=self.t2, minlength=len(self.key1)).astype(np.int64)
@@ -134,17 +176,37 @@ class Restaurants:
         p2 = (self.c2 - k.d[2] * self.t2 + (STRENGTH + k.d[2] * k.T2[self.x2]) * p1[self.up]) / (STRENGTH + k.C2[self.x2])
         return p0, p1, p2
 
+    def counts(self) -> np.ndarray:
+        """How often each word occurs."""
+        return np.bincount(self.key2 // self.fine, weights=self.c2, minlength=len(self.words))
+
+    def places(self, word: np.ndarray, x: np.ndarray) -> list[np.ndarray]:
+        """Where words (numbers in ``words``, -1: not among them) after fine classes have customers, coarse and fine; -1: nowhere."""
+        out = []
+        for keys, asked in ((self.key1, word * COARSE + x // (self.fine // COARSE)), (self.key2, word * self.fine + x)):
+            at = np.searchsorted(keys, asked)
+            at[(word < 0) | (np.r_[keys, -1][at] != asked)] = -1
+            out.append(at)
+        return out
+
     def ask(self, known: np.ndarray, word: np.ndarray, x: np.ndarray) -> np.ndarray:
         """The probability of words (numbers in ``words``, -1: not among them) after fine classes."""
+        return Asked(self, known)(word, x, *self.places(word, x))
+
+
+class Asked:
+    """The probabilities of one state of restaurants, made once for all that is asked of it."""
+
+    def __init__(self, state: Restaurants, known: np.ndarray):
         k = Totals(known)
-        p0, p1, p2 = (np.r_[p, 0.0] for p in self.probabilities(known))
-        x1 = x // (self.fine // COARSE)
-        p = np.where(word < 0, (STRENGTH + k.d[0] * k.T0) * k.uniform / (STRENGTH + k.C0), p0[word])
-        for keys, own, asked, c, t, d in ((self.key1, p1, word * COARSE + x1, k.C1[x1], k.T1[x1], k.d[1]), (self.key2, p2, word * self.fine + x, k.C2[x], k.T2[x], k.d[2])):
-            at = np.searchsorted(keys, asked)
-            here = np.r_[keys, -1][at] == asked
-            p = np.where(here & (word >= 0), own[at], (STRENGTH + d * t) * p / (STRENGTH + c))
-        return p
+        self.p0, self.p1, self.p2 = (np.r_[p, 0.0] for p in state.probabilities(known))
+        self.p0[-1] = (STRENGTH + k.d[0] * k.T0) * k.uniform / (STRENGTH + k.C0)
+        self.up1, self.up2 = (STRENGTH + k.d[1] * k.T1) / (STRENGTH + k.C1), (STRENGTH + k.d[2] * k.T2) / (STRENGTH + k.C2)
+        self.share = state.fine // COARSE
+
+    def __call__(self, word: np.ndarray, x: np.ndarray, at1: np.ndarray, at2: np.ndarray) -> np.ndarray:
+        p = np.where(at1 < 0, self.up1[x // self.share] * self.p0[word], self.p1[at1])
+        return np.where(at2 < 0, self.up2[x] * p, self.p2[at2])
 
 
 class Totals:
@@ -208,23 +270,32 @@ def score(df: DataFrame, id: str = "doc_id", text: str = "text", train: str | No
         for number, (h, x, _, _) in enumerate(flushes(batches, True)):
             h, x, n = counted(h, x, np.ones(len(h), np.uint32))
             names, order, edge = dealt(h, buckets)
-            rows = [order[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.full(len(names), number)), *[pa.array([c[r].tobytes() for r in rows], pa.binary()) for c in (h, x.astype(narrow), n.astype(np.int64))]], ["b", "part", "h", "x", "c"])
+            rows = [packed(h[r], x[r], n[r], narrow) for r in (order[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True))]
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.full(len(names), number)), *[pa.array(c, pa.binary()) for c in zip(*rows, strict=True)]], ["b", "part", *BYTES])
 
-    def merge(table: pa.Table) -> pa.Table:
-        h, x, c = (np.frombuffer(b"".join(table.column(n).to_pylist()), k) for n, k in (("h", np.uint64), ("x", narrow), ("c", np.int64)))
-        h, x, c = counted(h, x, c)
-        return pa.table({"b": table.column("b")[:1], "part": pa.array([0], pa.int64()), "h": [h.tobytes()], "x": [x.tobytes()], "c": [c.tobytes()]})
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The sums of a bucket's parts."""
+        b = []
 
-    kind = "b long, part long, h binary, x binary, c binary"
+        def parts() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            for batch in batches:
+                b[:] = [batch.column("b")[0].as_py()]
+                for i in range(batch.num_rows):
+                    words, runs, x, c = unpacked(batch, i, narrow)
+                    yield np.repeat(words, runs), x.copy(), c.astype(np.int64)
+
+        whole = packed(*added_up(parts()), narrow)
+        yield pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array([0], pa.int64()), *[pa.array([x], pa.binary()) for x in whole]], ["b", "part", *BYTES])
+
+    kind = "b long, part long, h binary, runs binary, x binary, n binary"
     counts = docs.select("learnt", "text").where("learnt").mapInArrow(count, kind)
     salts = int(size) // (4 * FLUSH * MERGED)
     if salts:
         counts = counts.withColumn("part", F.pmod(F.xxhash64("part", F.spark_partition_id()), F.lit(salts))).groupBy("b", "part").applyInArrow(merge, kind)
     counts = stage(counts.groupBy("b").applyInArrow(merge, kind).drop("part"), "counts")
 
-    def load(b: int, h: bytes, x: bytes, c: bytes) -> Restaurants:
-        return Restaurants(b, np.frombuffer(h, np.uint64), np.frombuffer(x, narrow), np.frombuffer(c, np.int64), fine)
+    def load(batch: pa.RecordBatch, i: int) -> Restaurants:
+        return Restaurants.of(batch.column("b")[i].as_py(), *unpacked(batch, i, narrow), fine)
 
     def added(table: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(x, np.int64) for x in table.column("v").to_pylist())
@@ -239,8 +310,8 @@ def score(df: DataFrame, id: str = "doc_id", text: str = "text", train: str | No
             """The sum of a task's totals, in ranges."""
             found = np.zeros(length, np.int64)
             for batch in batches:
-                for row in batch.to_pylist():
-                    state = load(**row)
+                for row in range(batch.num_rows):
+                    state = load(batch, row)
                     for i, known in enumerate(so_far):
                         state.sweep(known, i)
                     found += state.totals()
@@ -257,9 +328,9 @@ def score(df: DataFrame, id: str = "doc_id", text: str = "text", train: str | No
 
     def request(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each group of texts, its header (bucket -1), and each bucket's words, classes and texts."""
-        names = ["b", "flush", "h", "x", "n", "docs", "ids", "learnt"]
+        names = ["b", "flush", *BYTES, "docs", "ids", "learnt"]
         for h, x, doc, (rid, ids, learnt_) in flushes(batches, False):
-            order = np.lexsort((doc, x, h))
+            order = np.lexsort((x, h))  # which leaves equal ones in the order of their texts
             h, x, doc = h[order], x[order], doc[order]
             edge = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (x[1:] != x[:-1])])
             n = np.diff(np.r_[edge, len(h)])
@@ -268,59 +339,83 @@ def score(df: DataFrame, id: str = "doc_id", text: str = "text", train: str | No
             for k, (s, e) in zip(b.tolist(), zip(ends[:-1], ends[1:], strict=True), strict=True):
                 r = by[s:e]
                 at = np.repeat(edge[r] - (np.cumsum(n[r]) - n[r]), n[r]) + np.arange(n[r].sum())
-                rows.append((k, rid[0], h[edge][r].tobytes(), x[edge][r].astype(narrow).tobytes(), n[r].astype(np.uint32).tobytes(), doc[at].astype(np.uint16).tobytes(), None, None))
-            rows.append((-1, rid[0], None, None, np.bincount(doc, minlength=len(rid)).astype(np.uint32).tobytes(), None, ids, learnt_))
-            kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 4, pa.list_(pa.int64()), pa.list_(pa.bool_())]
+                rows.append((k, rid[0], *packed(h[edge[r]], x[edge[r]], n[r], narrow), doc[at].astype(np.uint16).tobytes(), None, None))
+            rows.append((-1, rid[0], None, None, None, np.bincount(doc, minlength=len(rid)).astype(np.uint32).tobytes(), None, ids, learnt_))
+            kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 5, pa.list_(pa.int64()), pa.list_(pa.bool_())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    asked = docs.mapInArrow(request, "b long, flush long, h binary, x binary, n binary, docs binary, ids array<long>, learnt array<boolean>")
+    asked = docs.mapInArrow(request, "b long, flush long, h binary, runs binary, x binary, n binary, docs binary, ids array<long>, learnt array<boolean>")
     asked = stage(asked, "asked")
     # buckets with very frequent words are scored by many tasks
     loads = asked.where("b >= 0").groupBy("b").agg(F.sum(F.octet_length("docs") / 2).alias("t")).withColumn("s", F.ceil(F.col("t") / SCORED).cast("int")).select("b", "s")
     loads = stage(loads, "loads")
-    words = asked.where("b >= 0").select("b", "flush", "h", "x", "n", "docs").join(loads, "b").withColumn("salt", F.pmod(F.xxhash64("flush"), F.col("s")).cast("int")).drop("s")
-    models = loads.join(counts, "b", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("s") - 1))).drop("s")
-
-    def answer(asks: pa.Table, model: pa.Table) -> pa.Table:
-        row = model.slice(0, 1).to_pylist()[0]
-        nothing = b""
-        state = load(row["b"], row["h"] or nothing, row["x"] or nothing, row["c"] or nothing)
+    words = asked.where("b >= 0").select("b", "flush", *BYTES, "docs").join(loads, "b").withColumn("salt", F.pmod(F.xxhash64("flush"), F.col("s")).cast("int")).drop("s")
+    models = loads.join(counts, "b").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("s") - 1))).drop("s")
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums by text of what is asked of a bucket. Its model, the row without a group of texts, comes first, or none does."""
+        known, waiting = None, []
+        for batch in batches:
+            at = np.flatnonzero(batch.column("flush").is_null().to_numpy(zero_copy_only=False))
+            if known is None and len(at):
+                known = learned(load(batch, int(at[0])))
+                for x in waiting:
+                    yield answered(x, *known)
+                waiting = []
+            if known is None:
+                waiting.append(batch)
+            else:
+                yield answered(batch, *known)
+        if waiting:
+            none = np.zeros(0, np.int64)
+            known = learned(Restaurants(0, none.astype(np.uint64), none, none, fine))
+            for x in waiting:
+                yield answered(x, *known)
+
+    def learned(state: Restaurants) -> tuple[Restaurants, list[Asked], np.ndarray]:
         states = []
         for i in range(SWEEPS):
             state.sweep(history[i], i)
             if i >= BURN_IN:
-                states.append((history[i + 1], state.__dict__.copy()))
-        seen = np.r_[np.bincount(state.word, weights=state.c2, minlength=len(state.words)), 0.0]
+                states.append(Asked(state, history[i + 1]))
+        seen = np.r_[state.counts(), 0.0]
+        return state, states, np.log10((seen + 0.1) / (n_train + 0.1 * (n_words + 1)))
+
+    def answered(batch: pa.RecordBatch, state: Restaurants, states: list[Asked], base: np.ndarray) -> pa.RecordBatch:
         out = []
-        for flush, h, x, n, docs_ in zip(*(asks.column(c).to_pylist() for c in ("flush", "h", "x", "n", "docs")), strict=True):
-            h, x, n = np.frombuffer(h, np.uint64), np.frombuffer(x, narrow).astype(np.int64), np.frombuffer(n, np.uint32).astype(np.int64)
-            docs_ = np.frombuffer(docs_, np.uint16)
+        for i in range(batch.num_rows):
+            flush = batch.column("flush")[i].as_py()
+            if flush is None:
+                continue
+            h, runs, x, n = unpacked(batch, i, narrow)
+            docs_ = np.frombuffer(batch.column("docs")[i].as_buffer(), np.uint16)
             word = np.searchsorted(state.words, h)
             word = np.where(np.r_[state.words, U(0)][word] == h, word, -1) if len(state.words) else np.full(len(h), -1)
-            p = np.zeros(len(h))
-            for known, fields in states:
-                state.__dict__.update(fields)
-                p += state.ask(known, word, x)
-            base = np.log10((seen[word] + 0.1) / (n_train + 0.1 * (n_words + 1)))
-            count_ = int(docs_.max()) + 1
-            sums = [np.bincount(docs_, weights=np.repeat(v, n), minlength=count_) for v in ((word >= 0).astype(float), base, np.log10(p / len(states)))]
-            out.append((flush, row["b"], *[s.tobytes() for s in sums]))
-        kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 3]
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["flush", "b", "known", "base", "score"])
-
-    parts = words.groupBy("b", "salt").cogroup(models.groupBy("b", "salt")).applyInArrow(answer, "flush long, b long, known binary, base binary, score binary")
+            word, x = np.repeat(word, runs), x.astype(np.int64)
+            at = state.places(word, x)
+            p = sum(ask(word, x, *at) for ask in states)
+            # of the texts that have words here, as most haven't once there are many buckets
+            some = np.flatnonzero(np.bincount(docs_))
+            known, *sums = (np.bincount(docs_, weights=np.repeat(v, n))[some] for v in ((word >= 0).astype(float), base[word], np.log10(p / len(states))))
+            out.append((flush, batch.column("b")[i].as_py(), some.astype(np.uint16).tobytes(), known.astype(np.uint32).tobytes(), *[s.tobytes() for s in sums]))
+        kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 4]
+        columns = zip(*out, strict=True) if out else [[]] * 6
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["flush", "b", "some", "known", "base", "score"])
+
+    asks = words.unionByName(models, allowMissingColumns=True).repartition("b", "salt").sortWithinPartitions("b", "salt", F.col("flush").asc_nulls_first())
+    parts = asks.groupBy("b", "salt").applyInArrow(answer, "flush long, b long, some binary, known binary, base binary, score binary")
     heads = asked.where("b < 0").select("flush", F.col("b"), F.col("n"), "ids", "learnt")
-    both = parts.select("flush", "b", "known", "base", "score", F.lit(None).cast("binary").alias("n"), F.lit(None).cast("array<long>").alias("ids"), F.lit(None).cast("array<boolean>").alias("learnt")).unionByName(heads, allowMissingColumns=True)
+    both = parts.unionByName(heads, allowMissingColumns=True)
 
     def gather(table: pa.Table) -> pa.Table:
-        table = table.sort_by("b")
-        head = table.slice(0, 1).to_pylist()[0]
+        order = np.argsort(table.column("b").to_numpy())
+        head = table.slice(int(order[0]), 1).to_pylist()[0]
         n = np.frombuffer(head["n"], np.uint32).astype(np.int64)
-        sums = {name: np.zeros(len(n)) for name in ("known", "base", "score")}
-        for name, total in sums.items():
-            for part in table.column(name).slice(1).to_pylist():
-                part = np.frombuffer(part, np.float64)
-                total[: len(part)] += part
+        sums = {"known": np.zeros(len(n)), "base": np.zeros(len(n)), "score": np.zeros(len(n))}
+        for i in order[1:].tolist():
+            some = np.frombuffer(table.column("some")[i].as_buffer(), np.uint16)
+            for name, total in sums.items():
+                total[some] += np.frombuffer(table.column(name)[i].as_buffer(), np.uint32 if name == "known" else np.float64)
         held = [not x for x in head["learnt"]]
         return pa.table({"id": pa.array(head["ids"], pa.int64()), "held_out": held, "n_tokens": n, "n_known": np.rint(sums["known"]).astype(np.int64), "train_tokens": np.full(len(n), n_train), "base_score": sums["base"], "score": sums["score"], "perplexity": 10 ** (-sums["score"] / np.maximum(n, 1))})
 

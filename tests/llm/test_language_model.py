@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from siltstone.llm import language_model as lm
@@ -97,3 +98,35 @@ def test_seating_against_exact_enumeration():
 
 def test_condition():
     assert [lm.in_training(i) for i in range(30)] == [zlib.crc32(str(i).encode()) % 10 != 0 for i in range(30)]
+
+
+def test_parts_of_a_frequent_word(monkeypatch):
+    """The parts of a bucket are added up a few at a time, however many there are."""
+    rng = np.random.default_rng(4)
+    parts = [lm.counted(rng.integers(1, 4, 400).astype(np.uint64), rng.integers(0, 300, 400).astype(np.uint16), np.ones(400, np.int64)) for _ in range(200)]
+    want, sizes, plain = lm.counted(*(np.concatenate(c) for c in zip(*parts, strict=True))), [], lm.counted
+    monkeypatch.setattr(lm, "HELD", 1000)
+    monkeypatch.setattr(lm, "counted", lambda h, x, n: (sizes.append(len(h)), plain(h, x, n))[1])
+    assert all((a == b).all() for a, b in zip(lm.added_up(iter(parts)), want, strict=True))
+    assert max(sizes) <= 1000 + 900 + 400
+
+
+def test_packed():
+    for h, x, n in (([], [], []), ([7], [3], [1]), ([1, 1, 1, 5, 9, 9], [0, 4, 65535, 4, 0, 1], [1, 255, 3, 1, 1 << 40, 2])):
+        h, x, n = np.array(h, np.uint64), np.array(x, np.uint32), np.array(n, np.int64)
+        row = pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in lm.packed(h, x, n, np.uint16)], list(lm.BYTES))
+        words, runs, x_, n_ = lm.unpacked(row, 0, np.uint16)
+        assert (np.repeat(words, runs) == h).all() and (x_ == x).all() and (n_ == n).all() and len(words) == len(set(h.tolist()))
+
+
+def test_asked_many_times():
+    """What one state answers is made once: the same for any grouping of what is asked, as from its own probabilities."""
+    rng = np.random.default_rng(6)
+    state = lm.Restaurants(3, *lm.counted(rng.integers(1, 90, 5000).astype(np.uint64), rng.integers(0, lm.FINE, 5000).astype(np.uint32) % 999, np.ones(5000, np.int64)))
+    state.sweep(state.totals(), 0)
+    known = state.totals()
+    asked, word = lm.Asked(state, known), state.key2 // lm.FINE
+    p = asked(word, state.x2.astype(np.int64), *state.places(word, state.x2.astype(np.int64)))
+    assert (p == state.probabilities(known)[2]).all() and (state.counts() == np.bincount(word, weights=state.c2)).all()
+    some = np.array([-1, 0, 5]), np.array([998, 70000 % lm.FINE, 2])
+    assert (asked(*some, *state.places(*some)) == np.concatenate([state.ask(known, some[0][i : i + 1], some[1][i : i + 1]) for i in range(3)])).all()
