@@ -166,5 +166,6 @@ def repeat_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     numbered = stage(docs.select(F.struct(*docs.columns).alias("_doc"), F.monotonically_increasing_id().alias("_rid")), "numbered")
     given = numbered.select("_rid", *[F.col(f"_doc.{c}").alias(c) for c in ("doc_id", "text", "source")])
     copies = stage(mix(given, carry=["_rid"], key=["doc_id"]).select("_rid", "copies").where("copies > 0"), "copies")
-    out = numbered.join(copies, "_rid").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    # by shuffle at every size, as both grow with the data; texts aren't sorted for it, as numbers are looked up
+    out = numbered.join(copies.hint("shuffle_hash"), "_rid").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return out.select("_doc.*")

@@ -281,7 +281,8 @@ def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     numbered = stage(docs.select(F.struct(*docs.columns).alias("_doc"), F.monotonically_increasing_id().alias("_rid")), "numbered")
     given = numbered.select("_rid", F.col("_doc.doc_id").alias("doc_id"), F.col("_doc.text").alias("text"))
     kept = stage(near_duplicates(given, percent=CORPUS_PERCENT, number="_rid").where("first").select(F.col("rid").alias("_rid")), "kept")
-    return numbered.join(kept, "_rid", "left_semi").select("_doc.*")
+    # by shuffle at every size, as both grow with the data; texts aren't sorted for it, as numbers are looked up
+    return numbered.join(kept.hint("shuffle_hash"), "_rid", "left_semi").select("_doc.*")
 
 
 ORACLE = f"""

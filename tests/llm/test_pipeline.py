@@ -8,7 +8,7 @@ import corpus_pipeline
 import numpy as np
 from tokenizers import Tokenizer
 
-from siltstone.llm import pii, repetition, tokens
+from siltstone.llm import mixing, neardup, pii, repetition, tokens
 from siltstone.llm.common import stage
 
 SF = "/root/testdata/sf0.001"
@@ -77,3 +77,11 @@ def test_empty(spark):
     for _, step in corpus_pipeline.STAGES:
         docs = step(spark, docs, SF)
     assert docs.count() == 0
+
+
+def test_texts_are_joined_alike_at_every_size(spark):
+    """A stage that Spark lets broadcast a side while it is small would shuffle all texts from some size on."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for step in (neardup.keep_first, mixing.repeat_documents):
+        plan = step(spark, docs, SF)._jdf.queryExecution().executedPlan().toString()
+        assert re.search(r"ShuffledHashJoin(\(\w+=\w+\))? \[_rid", plan) and not re.search(r"Broadcast\w+Join", plan)
