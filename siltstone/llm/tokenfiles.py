@@ -14,23 +14,29 @@ four values at a time by their control byte.
 
 from __future__ import annotations
 
+import contextlib
+import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import scratch, stage, tasks
-from siltstone.llm.tokens import VOCABULARY, tokenized, width
+from siltstone.llm.common import scratch, tasks
+from siltstone.llm.tokens import VOCABULARY, encoded, forget, width
 
 MAGIC = 0x31444954
 BLOCK_IDS = 1 << 20
 FILE_IDS = 10 << 20
+#: Bytes of ids in a row group of the table that is sorted into files.
+GROUP_BYTES = 4 << 20
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
 OFFSETS = np.cumsum(LENGTHS, axis=1) - LENGTHS
 TOTALS = LENGTHS.sum(axis=1)
@@ -71,33 +77,51 @@ def pack_block(doc_ids: list[int | None], ids: list[np.ndarray], rank: np.ndarra
     return b"".join([head.tobytes(), np.array([d or 0 for d in doc_ids], "<i8").tobytes(), np.array([d is None for d in doc_ids], np.uint8).tobytes(), np.array([len(x) for x in ids], "<u4").tobytes(), control, data])
 
 
-def unpack_blocks(content: bytes, ids: np.ndarray) -> Iterator[tuple[list[int | None], list[np.ndarray]]]:
-    """The documents of a file, block by block: their ids and their token ids."""
+def blocks(file: BinaryIO) -> Iterator[tuple[int, int, int, int]]:
+    """Documents, ids, control bytes and data bytes of a file's blocks in turn; the rest of each may be read meanwhile."""
     at = 0
-    while at < len(content):
-        magic, docs, count, controls, bytes_ = (int(x) for x in np.frombuffer(content, "<u4", 5, at))
+    while head := file.read(20):
+        magic, docs, count, controls, bytes_ = np.frombuffer(head, "<u4").tolist() if len(head) == 20 else [0] * 5
         if magic != MAGIC:
             raise ValueError("not a token-id file")
-        at += 20
-        doc_ids = np.frombuffer(content, "<i8", docs, at)
-        null = np.frombuffer(content, np.uint8, docs, at + 8 * docs)
-        sizes = np.frombuffer(content, "<u4", docs, at + 9 * docs)
-        at += 13 * docs
-        values = ids[decode(content[at : at + controls], content[at + controls : at + controls + bytes_], count)]
-        at += controls + bytes_
+        yield docs, count, controls, bytes_
+        at += 20 + 13 * docs + controls + bytes_
+        file.seek(at)
+
+
+def unpack_blocks(file: BinaryIO, ids: np.ndarray) -> Iterator[tuple[list[int | None], list[np.ndarray]]]:
+    """The documents of a file, block by block: their ids and their token ids. No more than a block is held."""
+    for docs, count, controls, bytes_ in blocks(file):
+        doc_ids, null, sizes = (np.frombuffer(file.read(docs * w), kind) for w, kind in ((8, "<i8"), (1, np.uint8), (4, "<u4")))
+        control, data = file.read(controls), file.read(bytes_)
+        if int(sizes.sum()) != count or len(control) != controls or len(data) != bytes_:
+            raise ValueError("a token-id file that was cut off")
+        values = ids[decode(control, data, count)]
         yield [None if z else d for d, z in zip(doc_ids.tolist(), null.tolist(), strict=True)], np.split(values, np.cumsum(sizes)[:-1])
 
 
-def put(uri: str, content: Iterator[bytes]) -> None:
-    """Write a file under a name of its own, then move it: a repeated task leaves one whole file."""
+@contextlib.contextmanager
+def whole(uri: str) -> Iterator[pa.NativeFile]:
+    """Write a file under a hidden name of its own, then move it: a repeated task leaves one whole file.
+
+    Spark's own writers start processes that set a local file's mode; a process that starts shares its
+    executor's memory and so shows as a second one of that size.
+    """
     store, path = fs.FileSystem.from_uri(uri)
-    part = f"{path}.{uuid.uuid4().hex}.tmp"
+    folder, _, name = path.rpartition("/")
+    part = f"{folder}/_{name}.{uuid.uuid4().hex}.tmp"
     with store.open_output_stream(part) as out:
-        for x in content:
-            out.write(x)
+        yield out
     store.move(part, path)
 
 
+@contextlib.contextmanager
+def table_file(uri: str, first: pa.RecordBatch) -> Iterator[pq.ParquetWriter]:
+    """A Parquet file with the columns of ``first``."""
+    with whole(uri) as out, pq.ParquetWriter(out, first.schema, compression="zstd", compression_level=3, use_dictionary=False, write_statistics=False) as table:
+        yield table
+
+
 def write_token_files(df: DataFrame, folder: str, id: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, file_ids: int = FILE_IDS) -> DataFrame:
     """Encode ``df``'s texts into files in ``folder``, ascending by ``id`` (long), nulls first.
 
@@ -107,20 +131,40 @@ def write_token_files(df: DataFrame, folder: str, id: str = "doc_id", text: str
     """
     spark = df.sparkSession
     kind = width(vocabulary)
-    table = stage(tokenized(df.withColumn("_id", F.col(id).cast("long")), text, ["_id"], vocabulary), "tokens")
-
-    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1, np.int64)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                got = np.bincount(np.frombuffer(b"".join(batch.column("ids").slice(at, 1000).to_pylist()), kind))
+    parts, counts = scratch(spark, "tokens"), scratch(spark, "counts")
+    for x in (folder, parts, counts):
+        store, path = fs.FileSystem.from_uri(x)
+        store.create_dir(path, recursive=True)
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, total, docs, held = TaskContext.get().partitionId(), np.zeros(1, np.int64), 0, []
+        columns = (pa.RecordBatch.from_arrays([chunk.column("_id"), *of], ["_id", "n_ids", "ids", "crc"]) for chunk, of in encoded(batches, kind, vocabulary))
+        first = next(columns, None)
+        if first is None:
+            return
+        with table_file(f"{parts}/part-{number:06d}.parquet", first) as table:
+            for batch in (x for part in ([first], columns) for x in part):
+                got = np.bincount(np.frombuffer(b"".join(batch.column("ids").to_pylist()), kind))
                 total = np.pad(total, (0, max(0, len(got) - len(total))))
                 total[: len(got)] += got
+                docs += batch.num_rows
+                held.append(batch)
+                if sum(x.nbytes for x in held) >= GROUP_BYTES:
+                    table.write_table(pa.Table.from_batches(held))
+                    held = []
+            if held:
+                table.write_table(pa.Table.from_batches(held))
         found = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["id", "n"])
-
+        found = pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["id", "n"])
+        with table_file(f"{counts}/part-{number:06d}.parquet", found) as table:
+            table.write_batch(found)
+        yield pa.RecordBatch.from_arrays([pa.array([docs], pa.int64())], ["docs"])
+
+    # a task that has ended isn't run again, as its one row goes to the driver
+    df.select(F.col(id).cast("long").alias("_id"), F.col(text).cast("binary").alias("text")).mapInArrow(tokens, "docs long").collect()
+    table = spark.read.schema("_id long, n_ids long, ids binary, crc long").parquet(parts)
     # at most as many rows as the vocabulary has ids
-    counted = table.select("ids").mapInArrow(counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    counted = spark.read.schema("id long, n long").parquet(counts).groupBy("id").agg(F.sum("n").alias("n")).collect()
     seen = np.zeros(1 << (8 * np.dtype(kind).itemsize if kind == "<u2" else 20), np.int64)
     for row in counted:
         seen[row["id"]] = row["n"]
@@ -128,15 +172,15 @@ def write_token_files(df: DataFrame, folder: str, id: str = "doc_id", text: str
     order = order[: max(1, int((seen > 0).sum()))]
     rank = np.zeros(len(seen), np.uint32)
     rank[order] = np.arange(len(order))
-    store, path = fs.FileSystem.from_uri(folder)
-    store.create_dir(path, recursive=True)
-    put(f"{folder}/ranks", iter([order.astype("<u4").tobytes()]))
+    with whole(f"{folder}/ranks") as out:
+        out.write(order.astype("<u4").tobytes())
     shared = spark.sparkContext.broadcast(rank)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, tally = TaskContext.get().partitionId(), [0, 0]
+        forget()
 
-        def blocks() -> Iterator[bytes]:
+        def packed() -> Iterator[bytes]:
             docs, ids, held = [], [], 0
             for batch in batches:
                 for d, x in zip(batch.column("_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
@@ -151,55 +195,79 @@ def write_token_files(df: DataFrame, folder: str, id: str = "doc_id", text: str
                 tally[0], tally[1] = tally[0] + len(docs), tally[1] + held
                 yield pack_block(docs, ids, shared.value)
 
-        content = blocks()
+        content = packed()
         first = next(content, None)
         if first is not None:
-            put(f"{folder}/ids-{number:06d}", (x for part in ([first], content) for x in part))
+            with whole(f"{folder}/ids-{number:06d}") as out:
+                for block in (x for part in ([first], content) for x in part):
+                    out.write(block)
             yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array(tally[:1], pa.int64()), pa.array(tally[1:], pa.int64())], ["file", "docs", "ids"])
 
     files = max(tasks(spark), -(-int(seen.sum()) // file_ids))
     # equal ids, and equal rows, may go to several files: those are of bounded size however often an id occurs
     ranged = table.withColumn("_at", F.monotonically_increasing_id()).repartitionByRange(files, "_id", "n_ids", "crc", "_at").sortWithinPartitions("_id", "n_ids", "crc").select("_id", "ids")
-    return stage(ranged.mapInArrow(write, "file long, docs long, ids long"), "files")
+    # a row per file
+    written = ranged.mapInArrow(write, "file long, docs long, ids long").toArrow()
+    return spark.createDataFrame(written, "file long, docs long, ids long")
 
 
 def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """What the files of ``folder`` hold, one row per document: file, place (in it), doc_id, ids (array of long)."""
-    return _read(spark, folder, "ids array<long>", lambda docs, ids: [pa.array([x.astype(np.int64) for x in ids], pa.list_(pa.int64()))])
 
+    def documents(number: int, file: BinaryIO, ranks: np.ndarray) -> Iterator[list]:
+        place = 0
+        for docs, ids in unpack_blocks(file, ranks):
+            n = len(docs)
+            yield [np.full(n, number), np.arange(place, place + n), pa.array(docs, pa.int64()), pa.array([x.astype(np.int64) for x in ids], pa.list_(pa.int64()))]
+            place += n
 
-def _read(spark: SparkSession, folder: str, columns: str, of) -> DataFrame:
-    ranks = np.frombuffer(bytes(spark.read.format("binaryFile").load(f"{folder}/ranks").first()["content"]), "<u4")
-    shared = spark.sparkContext.broadcast(ranks)
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "ids-??????").load(folder)
+    return _read(spark, folder, "file long, place long, doc_id long, ids array<long>", documents)
+
+
+def _read(spark: SparkSession, folder: str, columns: str, of: Callable[[int, BinaryIO, np.ndarray], Iterator[list]]) -> DataFrame:
+    """What ``of`` gives for each file: it gets the file's number, the file and the ranks.
+
+    A task has four files or so, fewer where that would leave cores idle.
+    """
+    store, path = fs.FileSystem.from_uri(folder)
+    with store.open_input_file(f"{path}/ranks") as file:
+        ranks = np.frombuffer(file.read(), "<u4")
+    found = [x.base_name for x in store.get_file_info(fs.FileSelector(path)) if re.fullmatch(r"ids-\d{6,}", x.base_name)]
+    shared = spark.sparkContext.broadcast((sorted(found, key=lambda x: int(x[4:])), ranks))
     names = [c.split()[0] for c in columns.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, ranks = shared.value
+        store, path = fs.FileSystem.from_uri(folder)
         for batch in batches:
-            for i in range(batch.num_rows):
-                place, file = 0, int(batch.column("path")[i].as_py()[-6:])
-                for docs, ids in unpack_blocks(batch.column("content")[i].as_py(), shared.value):
-                    n = len(docs)
-                    places = np.arange(place, place + n)
-                    place += n
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, file)), pa.array(places), pa.array(docs, pa.int64()), *of(docs, ids)], ["file", "place", "doc_id", *names])
+            for i in batch.column("id").to_pylist():
+                with store.open_input_file(f"{path}/{files[i]}") as file:
+                    for arrays in of(int(files[i][4:]), file, ranks):
+                        yield pa.RecordBatch.from_arrays([pa.array(x) if isinstance(x, np.ndarray) else x for x in arrays], names)
 
-    return found.select("path", "content").mapInArrow(run, f"file long, place long, doc_id long, {columns}")
+    n = len(found)
+    parts = max(1, min(n, max(n // 4, 2 * spark.sparkContext.defaultParallelism)))
+    return spark.range(0, n, 1, parts).mapInArrow(run, columns)
 
 
 def read_token_spans(spark: SparkSession, folder: str) -> DataFrame:
     """One row per document of the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
-
-    def spans(docs: list, ids: list[np.ndarray]) -> list[pa.Array]:
-        return [pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64())]
-
-    docs = stage(_read(spark, folder, "n_tokens long, ids_crc32 long", spans), "spans")
-    files = docs.groupBy("file").agg(F.sum("n_tokens").alias("ids"))  # a row per file
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    files = files.select("file", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("file").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    docs = docs.withColumn("within", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
-    return docs.join(files, "file").select("doc_id", (F.col("before") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
+    # the heads of the blocks first, of which there is a row per file
+    heads = _read(spark, folder, "file long, ids long", lambda number, file, _: iter([[np.array([number]), np.array([sum(n for _, n, *_ in blocks(file))])]]))
+    before, total = {}, 0
+    for row in sorted(heads.collect()):
+        before[row["file"]], total = total, total + row["ids"]
+    shared = spark.sparkContext.broadcast(before)
+
+    def spans(number: int, file: BinaryIO, ranks: np.ndarray) -> Iterator[list]:
+        at = shared.value[number]
+        for docs, ids in unpack_blocks(file, ranks):
+            sizes = np.array([len(x) for x in ids], np.int64)
+            ends = at + np.cumsum(sizes)
+            yield [pa.array(docs, pa.int64()), ends - sizes, sizes, pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64())]
+            at = int(ends[-1])
+
+    return _read(spark, folder, "doc_id long, start long, n_tokens long, ids_crc32 long", spans)
 
 
 def op3_tokenfiles(spark: SparkSession, sf_dir: str) -> DataFrame:

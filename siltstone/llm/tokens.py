@@ -90,11 +90,27 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def forget() -> None:
+    """Give back what a worker keeps for encoding."""
+    encoder.cache_clear()
+    pa.default_memory_pool().release_unused()
+
+
 def width(path: str) -> str:
     """The smallest type that holds the vocabulary's ids."""
     return "<u2" if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else "<u4"
 
 
+def encoded(batches: Iterator[pa.RecordBatch], kind: str, vocabulary: str = VOCABULARY, end: int = END) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
+    """Slices of the batches, each with n_ids, ids (packed as ``kind``) and crc (of the 32-bit ids) of its column ``text``."""
+    encode = encoder(vocabulary)
+    last = np.array([end], "<u4").tobytes()
+    for chunk in chunks(batches):
+        ids = [encode.text(t) + last for t in chunk.column("text").to_pylist()]
+        packed = [np.frombuffer(x, "<u4").astype(kind).tobytes() for x in ids]
+        yield chunk, [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(packed, pa.binary()), pa.array([zlib.crc32(x) for x in ids], pa.int64())]
+
+
 def tokenized(df: DataFrame, text: str, carry: Sequence[str], vocabulary: str = VOCABULARY, end: int = END) -> DataFrame:
     """The columns ``carry`` of each row, n_ids, ids (packed in ``width``) and crc (of the 32-bit ids).
 
@@ -105,11 +121,7 @@ def tokenized(df: DataFrame, text: str, carry: Sequence[str], vocabulary: str =
     schema = given.select("_row").schema.add("n_ids", "long").add("ids", "binary").add("crc", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary)
-        last = np.array([end], "<u4").tobytes()
-        for chunk in chunks(batches):
-            ids = [encode.text(t) + last for t in chunk.column("text").to_pylist()]
-            packed = [np.frombuffer(x, "<u4").astype(kind).tobytes() for x in ids]
-            yield pa.RecordBatch.from_arrays([chunk.column("_row"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(packed, pa.binary()), pa.array([zlib.crc32(x) for x in ids], pa.int64())], ["_row", "n_ids", "ids", "crc"])
+        for chunk, columns in encoded(batches, kind, vocabulary, end):
+            yield pa.RecordBatch.from_arrays([chunk.column("_row"), *columns], ["_row", "n_ids", "ids", "crc"])
 
     return given.mapInArrow(run, schema).select("_row.*", "n_ids", "ids", "crc")

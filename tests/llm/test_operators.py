@@ -1,10 +1,12 @@
 """Each operator on small tables with nulls, empty and long texts, ties, repeated rows and clashing names, by brute force."""
 
 import hashlib
+import io
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -108,6 +110,38 @@ def test_token_files_of_one_id(spark):
     assert [r.doc_id for r in found] == [None] * 100 + [7] * 200
 
 
+def test_token_files_without_child_processes(docs, spark, tmp_path, monkeypatch):
+    """No file comes from Hadoop's local file system, which starts a process for each; its checksums would show that."""
+    monkeypatch.setattr(common, "shared_dir", lambda _: f"file://{tmp_path}/shared")
+    docs.select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    assert tokenfiles.op3_tokenfiles(spark, str(tmp_path)).count() == len(TEXTS)
+    names = [p.name for p in (tmp_path / "shared").rglob("*") if p.is_file()]
+    assert [n for n in names if n.startswith("ids-")] and not [n for n in names if n.endswith((".crc", ".tmp")) or n == "_SUCCESS"]
+
+
+def test_token_files_block_by_block(docs, spark):
+    """A reader holds a block at a time, takes numbers of seven digits, and refuses what was cut off."""
+    folder = common.scratch(spark, "test")
+    tokenfiles.write_token_files(docs.where("doc_id = 12"), folder)
+    path = Path(folder.removeprefix("file://"))
+    (file,) = path.glob("ids-*")
+    content, ranks = file.read_bytes(), np.frombuffer((path / "ranks").read_bytes(), "<u4")
+
+    class Reader(io.BytesIO):
+        def read(self, n):
+            assert 0 <= n < len(content)
+            return super().read(n)
+
+    found = list(tokenfiles.unpack_blocks(Reader(content * 3), ranks))
+    assert len(found) == 3 and all(d == [12] and len(x[0]) == 20001 for d, x in found)
+    for cut in (10, 25, len(content) - 1):
+        with pytest.raises(ValueError):
+            list(tokenfiles.unpack_blocks(io.BytesIO(content[:cut]), ranks))
+    (path / "ids-1000000").write_bytes(content)
+    assert [(r.file, r.doc_id) for r in tokenfiles.read_token_files(spark, folder).orderBy("file").collect()] == [(int(file.name[4:]), 12), (1000000, 12)]
+    assert sorted(r.start for r in tokenfiles.read_token_spans(spark, folder).collect()) == [0, 20001]
+
+
 def test_variable_length_code():
     rng = np.random.default_rng(0)
     for n in (0, 1, 3, 4, 1000):
